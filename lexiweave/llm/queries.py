@@ -45,8 +45,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiweave.llm.mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiweave.llm.decontamination import scan
+
+    out = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id)
+    for f in (op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id, op8_source_mix, op10_decontaminate)
 }
 SQL: dict[str, str] = {}
