@@ -45,6 +45,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiweave.llm.pii import pseudonymise_documents
+
+    return pseudonymise_documents(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiweave.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiweave.llm.mixing import taken
 
@@ -60,6 +72,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id, op8_source_mix, op10_decontaminate)
+    for f in (op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id, op7_feistel_pseudonyms, op8_source_mix, op9_quality_bayes, op10_decontaminate)
 }
 SQL: dict[str, str] = {}
