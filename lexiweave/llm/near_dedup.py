@@ -5,8 +5,9 @@
 2. A class keeps the ``sketch`` smallest hashes of its set. The ``indexed``
    smallest of these go to inverted lists.
 3. Lists of up to ``list_limit`` classes give all their pairs. In longer lists
-   every class is paired with three hubs; classes that these leave in different
-   components meet in blocks of the list (see ``_block_pairs``), so that no
+   every class is paired with three hubs, then with three more from outside the
+   list's largest component; classes that these leave in different components
+   meet on whole sets in blocks of the list (see ``_block_links``), so that no
    list is cut off and none is expanded in one task.
 4. The union sketch of a pair estimates its similarity. Pairs that the
    estimate, with a margin of ``sigmas`` deviations, leaves possible are
@@ -45,7 +46,8 @@ class Params:
     sketch: int = 128
     indexed: int = 24
     list_limit: int = 24
-    block: int = 256
+    block: int = 512
+    block_shingles: int = 1 << 19
     sigmas: float = 5.0
 
 
@@ -141,54 +143,90 @@ def _estimated(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def _block_pairs(members: DataFrame, reps: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
-    """Pairs within long lists whose classes are still in different components.
+def _forest(a: list[np.ndarray], b: list[np.ndarray], ids: np.ndarray, group: np.ndarray, earlier: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks of whole sets, as few as join what they join.
 
-    ``members(v, rep, n_shingles, component)``. A list is dealt by component
-    (small ones together) and size band into blocks; two blocks meet only if
-    they are not of one component and their bands can be similar. The classes
-    of two blocks are compared in one task of bounded size, and only pairs
-    whose sketches share enough come out.
+    ``a`` comes first in ``ids``, ``group`` and ``earlier``; rows of one group
+    are joined already, and rows with the same earlier list meet there.
+    """
+    sets = a + b
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    place: list[list[int]] = [[] for _ in range(len(values))]
+    del values
+    for row in range(len(a)):
+        for c in codes[starts[row] : starts[row + 1]].tolist():
+            place[c].append(row)
+    holders = [np.array(x, np.int64) for x in place]
+    _, root = np.unique(group, return_inverse=True)
+    root, out = root.copy(), []
+    for row in range(len(a), len(sets)):
+        found = [holders[c] for c in codes[starts[row] : starts[row + 1]].tolist()]
+        both = np.bincount(np.concatenate(found), minlength=len(a)) if found else np.zeros(len(a), np.int64)
+        ok = (both > 0) & (100 * both >= percent * (sizes[: len(a)] + sizes[row] - both)) & (ids[: len(a)] != ids[row])
+        ok &= earlier[: len(a)] != earlier[row]
+        for other in np.flatnonzero(ok):
+            if root[other] != root[row]:
+                root[root == root[other]] = root[row]
+                out.append((int(ids[other]), int(ids[row])))
+    return out
+
+
+def _block_links(members: DataFrame, sets: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
+    """Confirmed links ``(a, b)`` within long lists between classes still in different components.
+
+    ``members(v, rep, n_shingles, component, earlier)``, ``earlier`` being the
+    class's list before this one. A list is dealt by component (small ones
+    together), earlier list and size band into blocks of bounded size. Two
+    blocks meet only if they are not of one component, not of one earlier list
+    (there their classes met) and of bands that can be similar. A task compares
+    the whole sets of two blocks and returns no more links than it has classes.
     """
     size = members.groupBy("v", "component").agg(F.count("*").alias("mates"))
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / -float(np.log(p.percent / 100))).cast("int")
     placed = members.join(size, ["v", "component"]).withColumns({
         "label": F.when(F.col("mates") >= p.block // 4, F.col("component")).otherwise(F.lit(-1)), "band": band
     }).drop("mates")
-    cells = placed.groupBy("v", "label", "band").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"))
+    cells = placed.groupBy("v", "label", "earlier", "band").agg(
+        F.ceil(F.greatest(F.count("*") / p.block, F.sum("n_shingles") / p.block_shingles)).cast("int").alias("parts")
+    )
     placed = scratch.keep(
-        placed.join(cells, ["v", "label", "band"]).select(
-            "v", "rep", "n_shingles", "component",
-            F.struct("label", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")).alias("block"),
+        placed.join(cells, ["v", "label", "earlier", "band"]).select(
+            "v", "rep", "component", "earlier",
+            F.struct("label", "earlier", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")).alias("block"),
         ), "placed",
     )
     blocks = placed.groupBy("v", "block").agg(F.count("*").alias("n"))
     meets = blocks.select("v", F.col("block").alias("i")).join(blocks.select("v", F.col("block").alias("j")), "v").where(
-        "i <= j and not (i.label = j.label and i.label <> -1) and abs(i.band - j.band) <= 1"
+        "i <= j and not (i.label = j.label and i.label <> -1) and not (i.earlier = j.earlier and i.earlier <> -1) and abs(i.band - j.band) <= 1"
     )
-    placed = placed.join(reps.select("rep", "sketch"), "rep")
+    placed = placed.join(sets, "rep")
     left = meets.join(placed.withColumnRenamed("block", "i"), ["v", "i"]).withColumn("side", F.lit(0))
     right = meets.join(placed.withColumnRenamed("block", "j"), ["v", "j"]).withColumn("side", F.lit(1))
-    cols = ["v", "i", "j", "side", "rep", "n_shingles", "component", "sketch"]
-    floor = max(0.0, p.percent / 100 - p.sigmas * (0.75 * 0.25 / p.sketch) ** 0.5)
+    cols = ["v", "i", "j", "side", "rep", "component", "earlier", "shingles"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        l, r = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        values, codes = np.unique(np.concatenate([*l.sketch, *r.sketch]), return_inverse=True)
-        ends = np.cumsum([len(s) for s in [*l.sketch, *r.sketch]])
-        grid = np.zeros((len(ends), len(values)), np.float32)
-        grid[np.repeat(np.arange(len(ends)), np.diff([0, *ends])), codes] = 1
-        a, b = grid[: len(l)], grid[len(l) :]
-        shared = a @ b.T
-        least = np.minimum(a.sum(1)[:, None], b.sum(1)[None, :])
-        nl, nr = l.n_shingles.to_numpy()[:, None], r.n_shingles.to_numpy()[None, :]
-        ok = (shared >= floor * least) & (l.component.to_numpy()[:, None] != r.component.to_numpy()[None, :])
-        ok &= 100 * np.minimum(nl, nr) >= p.percent * np.maximum(nl, nr)
-        i, j = np.nonzero(ok)
-        u, v = l.rep.to_numpy()[i], r.rep.to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
-
-    return left.select(cols).union(right.select(cols)).groupBy("v", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        pdf = pdf.sort_values(["side", "rep"], kind="stable")
+        n = int((pdf.side == 0).sum())
+        sets = list(pdf.shingles)
+        # Rows without an earlier list differ from each other.
+        earlier = np.where(pdf.earlier == -1, -2 - np.arange(len(pdf)), pdf.earlier)
+        out = _forest(sets[:n], sets[n:], pdf.rep.to_numpy(), pdf.component.to_numpy(), earlier, p.percent) if 0 < n < len(pdf) else []
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return left.select(cols).union(right.select(cols)).groupBy("v", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _whole_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                texts = batch.column(1).slice(at, 256).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, 256), pa.array([shingle_set(t, words) for t in texts], pa.list_(pa.int64()))], names=["rep", "shingles"]
+                )
+    return run
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,11 +255,17 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     close = few.select("v", F.col("rep").alias("a"), F.col("n_shingles").alias("n")).join(
         few.select("v", F.col("rep").alias("b"), F.col("n_shingles").alias("m")), "v"
     ).where(f"a < b and 100 * least(n, m) >= {p.percent} * greatest(n, m)").select("a", "b")
-    rank = F.struct(F.xxhash64("v", "rep"), "rep")
-    hubs = many.groupBy("v").agg(
-        F.array(F.min(F.struct("n_shingles", "rep"))["rep"], F.min(rank)["rep"], F.max(rank)["rep"]).alias("hubs")
-    )
-    starred = many.join(hubs, "v").select("rep", F.explode("hubs").alias("hub")).where("rep <> hub").select(
+    # The hubs of a long list: the class whose values are the most common, the smallest one, and one by chance.
+    central = many.groupBy("rep").agg(F.sum("length").alias("central"))
+    many = scratch.keep(many.join(central, "rep"), "long")
+
+    def hubs_of(members: DataFrame, turn: int) -> DataFrame:
+        return members.groupBy("v").agg(F.array_distinct(F.array(
+            F.max(F.struct("central", -F.col("rep"), "rep"))["rep"], F.min(F.struct("n_shingles", "rep"))["rep"],
+            F.min(F.struct(F.xxhash64("v", "rep", F.lit(turn)), "rep"))["rep"],
+        )).alias("hubs"))
+
+    starred = many.join(hubs_of(many, 1), "v").select("rep", F.explode("hubs").alias("hub")).where("rep <> hub").select(
         F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")
     )
     likely = scratch.keep(_estimated(close.union(starred).distinct(), reps, p), "likely")
@@ -251,19 +295,40 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     links = links.union(confirmed(across(likely, found), "second"))
     found = scratch.keep(connected_components(links, "a", "b"), "found")
 
-    # Long lists: what the hubs left apart. A similar pair shares well over `least` of the indexed values,
-    # all of them from long lists, or it was met in a short one; so its rarest few lists suffice.
-    least = max(1, p.indexed // 4)
-    rare = many.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("length", "v"))).alias("by"), F.first("n_shingles").alias("n_shingles"))
+    # Long lists: what the hubs left apart. A similar pair shares well over a quarter of the indexed values,
+    # all of them from long lists, or it was met in a short one; so the rarest few lists of a class suffice.
     small = F.least(F.col("n_shingles"), F.lit(p.indexed))
-    need = F.greatest(F.lit(1), (small * least / p.indexed).cast("int"))
-    rare = rare.where(F.size("by") >= need).select("rep", "n_shingles", F.explode(F.expr("slice(by, 1, size(by))")).alias("at"), F.size("by").alias("c"), need.alias("need"), "by")
-    rare = rare.where(F.expr("array_position(by, at) <= c - need + 1")).select("rep", "n_shingles", F.col("at.v").alias("v"))
-    placed = rare.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = placed.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("v")
-    apart = placed.join(split, "v").select("v", "rep", "n_shingles", "component")
-    late = scratch.keep(_estimated(_block_pairs(apart, reps, scratch, p), reps, p), "late")
-    links = links.union(confirmed(late, "third"))
+    need = F.greatest(F.lit(1), F.floor(small / 4)).cast("int")
+    by = F.sort_array(F.collect_list(F.struct("length", "v")))
+    rare = many.groupBy("rep").agg(by.alias("by"), F.first("n_shingles").alias("n_shingles"), F.first("central").alias("central"))
+    rare = rare.where(F.size("by") >= need).select(
+        "rep", "n_shingles", "central", "by", F.posexplode(F.slice("by", F.lit(1), F.size("by") - need + 1)).alias("at", "key")
+    ).select("rep", "n_shingles", "central", F.col("key.v").alias("v"), F.when(F.col("at") > 0, F.get("by", F.col("at") - 1)["v"]).otherwise(F.lit(-1)).alias("earlier"))
+    rare = scratch.keep(rare, "rare")
+
+    def still_apart(found: DataFrame) -> DataFrame:
+        """The lists that hold several components, with the largest one of each."""
+        placed = rare.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        held = placed.groupBy("v", "component").agg(F.count("*").alias("n"))
+        held = held.groupBy("v").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        return placed.join(held, "v")
+
+    # Once more with hubs from outside the largest component of each list.
+    apart = scratch.keep(still_apart(found), "apart")
+    rest = hubs_of(apart.where("component <> largest"), 2)
+    again = apart.join(rest, "v").select("rep", "component", F.explode("hubs").alias("hub")).where("rep <> hub").select(
+        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")
+    ).distinct()
+    likely = scratch.keep(_estimated(across(again, found), reps, p), "likely2")
+    links = links.union(confirmed(likely, "third"))
+    found = scratch.keep(connected_components(links, "a", "b"), "found")
+
+    # And what is left, block by block, on whole sets.
+    apart = scratch.keep(still_apart(found).select("v", "rep", "n_shingles", "component", "earlier"), "apart")
+    ids = apart.select(F.col("rep").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids
+    sets = own.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(p.words), "rep long, shingles array<long>")
+    links = links.union(scratch.keep(_block_links(apart, sets, scratch, p), "fourth"))
     found = connected_components(links, "a", "b")
     joined = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return joined.select(
