@@ -1,4 +1,555 @@
 """The registered queries of the association engine and their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiweave.functions import text as T
+from lexiweave.operators import balance, compare, ledger, lexicon, network, stats
+from lexiweave.plans import cleaning, views
+from lexiweave.plans.views import with_views
+from lexiweave.sources import envelopes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Scalar functions
+
+_FLAT = _STRIP.format("replace(coalesce(text, ''), chr(10), ' ')")
+_PARSED = (
+    "list_filter(list_transform(string_split(regexp_replace(" + _FLAT + ", '[\"''`“”‘’]', '', 'g'), ','), lambda x: "
+    + _STRIP.format("x") + "), lambda x: x <> '')[1:3]"
+)
+
+
+@query(f"SELECT conv_id, turn, array_to_string({_PARSED}, '|') AS parsed, len({_PARSED}) = 3 AS ok FROM conversations")
+def parse_associations(spark, d):
+    p = T.parse_associations(F.col("text"))
+    return views.raw_text(spark, d).select("conv_id", "turn", T.join_pipe(p).alias("parsed"), T.is_complete(p).alias("ok"))
+
+
+@query(with_views("requests") + " SELECT left(sha1(cue || '|' || trial), 16) AS custom_id, cue, trial::INT AS trial FROM requests, range(20) r(trial)")
+def request_ids(spark, d):
+    return ledger.request_index(views.requests(spark, d), 20)
+
+
+@query(with_views("messy") + """, n AS (SELECT trial, trim(lower(replace(cue, '_', ' '))) AS cue, list_transform(list_filter([R1, R2, R3], lambda x: x IS NOT NULL), lambda x: trim(lower(replace(x, '_', ' ')))) AS r FROM messy)
+    SELECT trial, cue, array_to_string([x FOR i, x IN zipped], '|') AS responses FROM (SELECT trial, cue, list_filter(list_transform(range(1, len(k) + 1), lambda i: {'i': i, 'x': k[i]}), lambda s: list_position(k, s.x) = s.i) AS zipped
+    FROM (SELECT trial, cue, list_filter(r, lambda x: x <> '' AND x <> cue) AS k FROM n))""".replace("[x FOR i, x IN zipped]", "list_transform(zipped, lambda s: s.x)"))
+def normalize_legacy(spark, d):
+    m = views.messy(spark, d)
+    cue = T.normal_token(F.col("cue"))
+    tokens = F.transform(F.filter(F.array(*T.RESPONSES), lambda x: x.isNotNull()), T.normal_token)
+    named = m.select("trial", cue.alias("cue"), tokens.alias("r"))
+    return named.select("trial", "cue", T.join_pipe(T.distinct_tokens(F.filter("r", lambda x: x != F.col("cue")))).alias("responses"))
+
+
+@query(f"SELECT conv_id, turn, coalesce(p[1], '') AS R1, coalesce(p[2], '') AS R2, coalesce(p[3], '') AS R3 FROM (SELECT conv_id, turn, {_PARSED} AS p FROM conversations)")
+def wide_rows(spark, d):
+    joined = views.raw_text(spark, d).withColumn("parsed", T.join_pipe(T.parse_associations(F.col("text"))))
+    return joined.withColumn("p", T.split_pipe(F.col("parsed"))).select("conv_id", "turn", *[c.alias(k) for k, c in T.wide(F.col("p")).items()])
+
+
+_NORMAL = ", ".join(f"replace(lower(coalesce({c}, '')), '_', ' ') AS {c}" for c in T.CELLS)
+
+
+@query(with_views("messy") + f" SELECT trial, {_NORMAL} FROM messy")
+def clean_case_underscore(spark, d):
+    return cleaning.normalise(views.messy(spark, d)).select("trial", *T.CELLS)
+
+
+
+
+def _article_steps() -> str:
+    steps, last = [], "n"
+    for k, a in enumerate(T.ARTICLES):
+        cols = ", ".join(f"CASE WHEN starts_with({r}, '{a}') AND {r} NOT IN (SELECT cue FROM c) THEN substr({r}, {len(a) + 1}) ELSE {r} END AS {r}" for r in T.RESPONSES)
+        steps.append(f"s{k} AS (SELECT trial, cue, {cols} FROM {last})")
+        last = f"s{k}"
+    return ", ".join(steps)
+
+
+_ARTICLES = f", n AS (SELECT trial, {_NORMAL} FROM messy), c AS (SELECT DISTINCT cue FROM n), {_article_steps()}"
+
+
+@query(with_views("messy") + _ARTICLES + " SELECT trial, cue, R1, R2, R3 FROM s3")
+def strip_articles(spark, d):
+    rows = cleaning.normalise(views.messy(spark, d))
+    return cleaning.strip_articles(rows, rows.select("cue")).select("trial", *T.CELLS)
+
+
+def _sql_map(src: str, table: str, k: str, v: str) -> str:
+    cols = ", ".join(f"coalesce((SELECT {v} FROM {table} WHERE {k} = t.{c}), t.{c}) AS {c}" for c in T.CELLS)
+    return f"SELECT trial, {cols} FROM {src} t"
+
+
+@query(with_views("trials", "compounds") + " " + _sql_map("trials", "compounds", "squashed", "expanded"))
+def compound_map(spark, d):
+    return lexicon.replace_cells(views.trials(spark, d), list(T.CELLS), lexicon.compound_dictionary(views.lexicon(spark, d))).select("trial", *T.CELLS)
+
+
+@query(with_views("trials", "spelling") + " " + _sql_map("trials", "spelling", "wrong", "correct"))
+def spelling_map(spark, d):
+    return lexicon.replace_cells(views.trials(spark, d), list(T.CELLS), views.spelling(spark, d)).select("trial", *T.CELLS)
+
+
+_RULES = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
+_TRIES = " UNION ALL ".join(["SELECT word, word AS lemma FROM cells"] + [f"SELECT word, left(word, length(word) - {len(e)}) || '{r}' FROM cells WHERE ends_with(word, '{e}')" for e, r in _RULES])
+
+
+@query(with_views("trials", "lexicon") + f""", cells AS (SELECT DISTINCT unnest([cue, R1, R2, R3]) AS word FROM trials), tries AS ({_TRIES}),
+    best AS (SELECT word, arg_min(lemma, (length(lemma), lemma)) AS lemma FROM tries WHERE lemma IN (SELECT word FROM lexicon) AND lemma <> '' GROUP BY word)
+    SELECT word, CASE l WHEN 'men' THEN 'man' WHEN 'hands' THEN 'hand' ELSE l END AS lemma FROM (SELECT word, coalesce(lemma, word) AS l FROM cells LEFT JOIN best USING (word))""")
+def lemma_rules(spark, d):
+    t = views.trials(spark, d).select(F.explode(F.array(*T.CELLS)).alias("word")).distinct().withColumn("lemma", F.col("word"))
+    return lexicon.lemmatise(t, ["lemma"], views.lexicon(spark, d)).select("word", "lemma")
+
+
+@query(with_views("messy") + f", n AS (SELECT trial, {_NORMAL} FROM messy) SELECT trial, cue, " + ", ".join(f"CASE WHEN {r} = cue THEN '' ELSE {r} END AS {r}" for r in T.RESPONSES) + " FROM n")
+def blank_self(spark, d):
+    rows = cleaning.normalise(views.messy(spark, d))
+    return rows.withColumns({r: T.drop_self(F.col(r), F.col("cue")) for r in T.RESPONSES}).select("trial", *T.CELLS)
+
+
+@query(with_views("messy") + f""", n AS (SELECT trial, {_NORMAL} FROM messy), b AS (SELECT trial, cue, """ + ", ".join(f"CASE WHEN {r} = cue THEN '' ELSE {r} END AS {r}" for r in T.RESPONSES) + """ FROM n),
+    u AS (SELECT trial, cue, R1, CASE WHEN R2 = R1 THEN '' ELSE R2 END AS R2, CASE WHEN R3 = R1 OR R3 = R2 THEN '' ELSE R3 END AS R3 FROM b),
+    k AS (SELECT trial, cue, list_filter([R1, R2, R3], lambda x: x <> '') AS k FROM u)
+    SELECT trial, cue, coalesce(k[1], '') AS R1, coalesce(k[2], '') AS R2, coalesce(k[3], '') AS R3 FROM k""")
+def dedupe_and_shift(spark, d):
+    return cleaning.compact_responses(cleaning.normalise(views.messy(spark, d))).select("trial", *T.CELLS)
+
+
+@query(with_views("messy", "spelling", "compounds") + f""", c0 AS (SELECT DISTINCT replace(lower(cue), '_', ' ') AS cue FROM messy),
+    c1 AS (SELECT coalesce(correct, cue) AS cue FROM c0 LEFT JOIN spelling ON wrong = cue), c2 AS (SELECT DISTINCT coalesce(expanded, cue) AS cue FROM c1 LEFT JOIN compounds ON squashed = cue),
+    cells AS (SELECT cue AS word FROM c2), tries AS ({_TRIES}), best AS (SELECT word, arg_min(lemma, (length(lemma), lemma)) AS lemma FROM tries WHERE lemma IN (SELECT word FROM lexicon) AND lemma <> '' GROUP BY word)
+    SELECT DISTINCT CASE l WHEN 'men' THEN 'man' WHEN 'hands' THEN 'hand' ELSE l END AS cue FROM (SELECT coalesce(lemma, word) AS l FROM cells LEFT JOIN best USING (word)) WHERE l <> ''""")
+def unique_cues(spark, d):
+    lex = views.lexicon(spark, d)
+    return cleaning.unique_cues(views.messy(spark, d), views.spelling(spark, d), lexicon.compound_dictionary(lex), lex)
+
+
+_BOOL = "CASE event_id % 5 WHEN 0 THEN 'True' WHEN 1 THEN ' YES ' WHEN 2 THEN '1' WHEN 3 THEN '0' END"
+
+
+@query(f"SELECT event_id, coalesce(lower(trim({_BOOL})) IN ('true', '1', 'yes'), false) AS ok FROM events")
+def bool_coerce(spark, d):
+    return views.table(spark, d, "events").select("event_id", T.lenient_bool(F.expr(_BOOL)).alias("ok"))
+
+
+@query("SELECT conv_id, turn, translate(text, chr(10) || chr(13), '  ') AS text FROM conversations")
+def scrub_crlf(spark, d):
+    return views.raw_text(spark, d).withColumn("text", T.one_line(F.col("text")))
+
+
+@query("SELECT 'c' || conv_id || '-' || turn AS custom_id, turn % 3 <> 2 AS ok, CASE turn % 3 WHEN 2 THEN 'errored' ELSE " + _STRIP.format("text") + " END AS text, CASE WHEN turn % 3 <> 2 THEN conv_id END AS input_tokens, CASE WHEN turn % 3 <> 2 THEN turn END AS output_tokens FROM conversations")
+def envelope_a(spark, d):
+    c = views.raw_text(spark, d)
+    body = F.struct(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("custom_id"),
+        F.struct(
+            F.when(F.col("turn") % 3 == 2, "errored").otherwise("succeeded").alias("type"),
+            F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("tool").alias("type"), F.lit("no").alias("text"))).alias("content"),
+                     F.struct(F.col("conv_id").alias("input_tokens"), F.col("turn").alias("output_tokens")).alias("usage")).alias("message"),
+        ).alias("result"),
+    )
+    return envelopes.from_a(c.select(F.to_json(body).alias("payload")))
+
+
+@query("SELECT 'c' || conv_id || '-' || turn AS custom_id, turn % 3 <> 2 AS ok, CASE turn % 3 WHEN 2 THEN 'HTTP 500' ELSE " + _STRIP.format("text") + " END AS text, CASE WHEN turn % 3 <> 2 THEN conv_id END AS input_tokens, CASE WHEN turn % 3 <> 2 THEN turn END AS output_tokens FROM conversations")
+def envelope_b(spark, d):
+    c = views.raw_text(spark, d)
+    body = F.struct(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("custom_id"),
+        F.struct(
+            F.when(F.col("turn") % 3 == 2, 500).otherwise(200).alias("status_code"),
+            F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"),
+                     F.struct(F.col("conv_id").alias("prompt_tokens"), F.col("turn").alias("completion_tokens")).alias("usage")).alias("body"),
+        ).alias("response"),
+    )
+    return envelopes.from_b(c.select(F.to_json(body).alias("payload")))
+
+
+_FILL = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.FILLERS) + ")"
+_THINK = "CASE WHEN conv_id % 2 = 0 THEN '<think>so</think> 1. ' || coalesce(text, '') ELSE '<think>' || coalesce(text, '') END"
+_A = f"list_filter(regexp_split_to_array(lower(regexp_replace(CASE WHEN contains(t, '</think>') THEN string_split(t, '</think>')[-1] ELSE replace(t, '<think>', '') END, '[<>\\n\\-*0-9.,]', ' ', 'g')), '\\s+'), lambda w: w <> '' AND w NOT IN {_FILL})"
+
+
+@query(f"SELECT conv_id, turn, coalesce(w[1], 'NaN') AS R1, coalesce(w[2], 'NaN') AS R2, coalesce(w[3], 'NaN') AS R3 FROM (SELECT conv_id, turn, {_A} AS w FROM (SELECT conv_id, turn, {_THINK} AS t FROM conversations))")
+def probe_clean_a(spark, d):
+    p = views.raw_text(spark, d).select("conv_id", "turn", T.probe_answers_a(F.expr(_THINK)).alias("w"))
+    return p.select("conv_id", "turn", *[F.get("w", F.lit(i)).alias(r) for i, r in enumerate(T.RESPONSES)])
+
+
+_B = f"list_filter(list_transform(CASE WHEN contains(t, ',') THEN string_split(t, ',') ELSE regexp_split_to_array(trim(t), '\\s+') END, lambda x: lower(trim(x))), lambda w: w <> '' AND w NOT IN {_FILL} AND len(regexp_split_to_array(w, '\\s+')) <= 2)"
+
+
+@query(f"SELECT conv_id, turn, coalesce(w[1], 'NaN') AS R1, coalesce(w[2], 'NaN') AS R2, coalesce(w[3], 'NaN') AS R3 FROM (SELECT conv_id, turn, {_B} AS w FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^a-zA-Z, ]', ' ', 'g') AS t FROM conversations))")
+def probe_clean_b(spark, d):
+    p = views.raw_text(spark, d).select("conv_id", "turn", T.probe_answers_b(F.col("text")).alias("w"))
+    return p.select("conv_id", "turn", *[F.get("w", F.lit(i)).alias(r) for i, r in enumerate(T.RESPONSES)])
+
+
+@query(with_views("compounds") + " SELECT squashed, expanded FROM compounds")
+def compound_dictionary(spark, d):
+    return lexicon.compound_dictionary(views.lexicon(spark, d))
+
+
+@query(with_views("requests") + " SELECT cue, 'Input: ' || cue || chr(10) || 'Output:' AS prompt FROM requests")
+def prompts(spark, d):
+    return views.requests(spark, d).select("cue", T.prompt(F.col("cue")).alias("prompt"))
+
+
+# Vectors and statistics
+
+_COS = "1 - list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[])"
+_DIST = f", dist AS (SELECT src, tgt, wt, CASE WHEN b.vec IS NOT NULL THEN {_COS} END AS distance FROM vector_edges JOIN vectors a ON src = a.word LEFT JOIN vectors b ON tgt = b.word)"
+
+
+def _dist(spark, d, oov="skip"):
+    return stats.edge_distances(views.vector_edges(spark, d), views.vectors(spark, d), oov, 64)
+
+
+@query(with_views("vectors", "vector_edges") + _DIST + " SELECT src, tgt, wt, round(distance, 5) AS distance FROM dist")
+def cosine_pairs(spark, d):
+    return _dist(spark, d).withColumn("distance", F.round("distance", 5))
+
+
+@query(with_views("vectors", "vector_edges") + _DIST + " SELECT src, tgt, wt, round(coalesce(distance, 1.0), 5) AS distance FROM dist")
+def oov_zero(spark, d):
+    return _dist(spark, d, "zero").withColumn("distance", F.round("distance", 5))
+
+
+@query(with_views("vectors") + f" SELECT b.word, round({_COS}, 5) AS distance FROM vectors a, vectors b WHERE a.word = '3'")
+def one_to_many_distance(spark, d):
+    return stats.nearest("3", views.vectors(spark, d)).withColumn("distance", F.round("distance", 5))
+
+
+@query(with_views("vectors", "vector_edges") + _DIST + ", words AS (SELECT src AS word FROM vector_edges UNION SELECT tgt FROM vector_edges) SELECT (SELECT count(*) FROM words WHERE word NOT IN (SELECT word FROM vectors)) AS missing_words, (SELECT count(*) FROM dist WHERE distance IS NULL) AS missing_edges")
+def oov_counts(spark, d):
+    e = views.vector_edges(spark, d)
+    words = network.vocabulary(e).join(views.vectors(spark, d).select("word"), "word", "left_anti").agg(F.count("*").alias("missing_words"))
+    return words.crossJoin(_dist(spark, d).agg(F.count_if(F.col("distance").isNull()).alias("missing_edges")))
+
+
+_RANKED = ", r AS (SELECT wt, distance, rank() OVER (ORDER BY wt) + (count(*) OVER (PARTITION BY wt) - 1) / 2.0 AS rw, rank() OVER (ORDER BY distance) + (count(*) OVER (PARTITION BY distance) - 1) / 2.0 AS rd FROM dist WHERE distance IS NOT NULL)"
+
+
+@query(with_views("vectors", "vector_edges") + _DIST + _RANKED + " SELECT count(*) AS n, round(corr(wt, distance), 5) AS pearson_r, round(corr(rw, rd), 5) AS spearman_r FROM r")
+def correlations(spark, d):
+    c = stats.correlations(_dist(spark, d))
+    return c.withColumns({k: F.round(k, 5) for k in ("pearson_r", "spearman_r")})
+
+
+@query()
+def correlation_table(spark, d):
+    return stats.correlation_table(_dist(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query(with_views("vectors", "vector_edges") + _DIST + " SELECT round(quantile_cont(wt, 0.9), 5) AS wt_cut, round(quantile_cont(distance, 0.9), 5) AS distance_cut FROM dist WHERE distance IS NOT NULL")
+def quantile_cutoffs(spark, d):
+    rows = _dist(spark, d).where("distance is not null")
+    return rows.agg(F.round(F.percentile("wt", 0.9), 5).alias("wt_cut"), F.round(F.percentile("distance", 0.9), 5).alias("distance_cut"))
+
+
+@query(with_views("vectors", "vector_edges") + _DIST + ", q AS (SELECT quantile_cont(wt, 0.6) AS qw, quantile_cont(distance, 0.6) AS qd FROM dist WHERE distance IS NOT NULL) SELECT src, tgt, wt, round(distance, 5) AS distance FROM dist, q WHERE wt >= qw AND distance >= qd")
+def outliers(spark, d):
+    return stats.outliers(_dist(spark, d), 0.6, 0.6).withColumn("distance", F.round("distance", 5))
+
+
+# Requests and ledger
+
+_INDEX = ", idx AS (SELECT left(sha1(cue || '|' || trial), 16) AS custom_id, cue, trial::INT AS trial FROM requests, range(20) r(trial))"
+
+
+def _index(spark, d):
+    return ledger.request_index(views.requests(spark, d), 20)
+
+
+def _of_type(spark, d, kind):
+    return views.ledger(spark, d).where(F.col("event_type") == kind)
+
+
+@query(with_views("requests", "ledger") + _INDEX + " SELECT custom_id, cue, trial FROM idx WHERE custom_id NOT IN (SELECT custom_id FROM ledger WHERE event_type IN ('click', 'view', 'purchase'))")
+def pending_requests(spark, d):
+    return ledger.pending(_index(spark, d), *[_of_type(spark, d, k) for k in ("click", "view", "purchase")])
+
+
+@query(with_views("requests", "ledger") + _INDEX + ", half AS (SELECT * FROM idx WHERE trial < 10) SELECT event_id, l.custom_id, h.cue, h.trial, h.custom_id IS NOT NULL AS known FROM ledger l LEFT JOIN half h USING (custom_id)")
+def unmatched_results(spark, d):
+    results = views.ledger(spark, d).select("event_id", "custom_id")
+    return ledger.match_results(results, _index(spark, d).where("trial < 10"))
+
+
+@query(with_views("ledger") + ", e AS (SELECT DISTINCT custom_id, cue, trial FROM ledger WHERE event_type = 'click'), l AS (SELECT DISTINCT custom_id, cue, trial FROM ledger WHERE event_type = 'view') SELECT * FROM e UNION ALL SELECT * FROM l WHERE custom_id NOT IN (SELECT custom_id FROM e) AND (cue, trial) NOT IN (SELECT (cue, trial) FROM e)")
+def new_by_cue_trial(spark, d):
+    rows = [_of_type(spark, d, k).select("custom_id", "cue", "trial").distinct() for k in ("click", "view")]
+    return ledger.merge_late(*rows)
+
+
+@query(with_views("requests", "ledger") + " SELECT cue, trial_id::INT AS trial_id FROM requests, range(1, 21) r(trial_id) WHERE (cue, trial_id) NOT IN (SELECT (cue, trial::BIGINT) FROM ledger)")
+def probe_tasks(spark, d):
+    tasks = ledger.request_index(views.requests(spark, d), 20, first=1).select("cue", F.col("trial").alias("trial_id"))
+    done = views.ledger(spark, d).select("cue", F.col("trial").alias("trial_id"))
+    return tasks.join(done, ["cue", "trial_id"], "left_anti")
+
+
+@query(with_views("trials") + " SELECT trial, cue FROM trials WHERE cue IN (SELECT R1 FROM trials)")
+def semi_cues(spark, d):
+    t = views.trials(spark, d)
+    return t.select("trial", "cue").join(t.select(F.col("R1").alias("cue")), "cue", "left_semi").select("trial", "cue")
+
+
+@query(with_views("trials") + " SELECT DISTINCT R1 AS cue FROM trials WHERE R1 NOT IN (SELECT cue FROM trials)")
+def absent_cues(spark, d):
+    t = views.trials(spark, d)
+    return t.select(F.col("R1").alias("cue")).subtract(t.select("cue"))
+
+
+@query(with_views("ledger") + " SELECT custom_id, cue, trial, event_id FROM ledger WHERE cue IN (SELECT cue FROM ledger GROUP BY cue HAVING count(*) >= 50)")
+def complete_cues(spark, d):
+    return ledger.complete_cues(views.ledger(spark, d), 50).select("custom_id", "cue", "trial", "event_id")
+
+
+@query(with_views("ledger") + " SELECT cue, count(*) AS completed, count(DISTINCT custom_id) AS distinct_ids FROM ledger GROUP BY cue")
+def completed_by_cue(spark, d):
+    return ledger.completed_by_cue(views.ledger(spark, d))
+
+
+@query(with_views("ledger") + " SELECT sum(coalesce(k, 0))::BIGINT AS input_tokens, sum(coalesce(k % 7, 0))::BIGINT AS output_tokens, round(sum(coalesce(k, 0)) / 1e6 * 0.25 + sum(coalesce(k % 7, 0)) / 1e6 * 2.0, 6) AS cost_usd FROM ledger")
+def usage_cost(spark, d):
+    u = views.ledger(spark, d).select(F.col("k").alias("input_tokens"), (F.col("k") % 7).alias("output_tokens"))
+    return ledger.usage_cost(u, 0.25, 2.0)
+
+
+_STATES = ", st AS (SELECT custom_id, CASE min(event_type) WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'errored' WHEN 'view' THEN 'skipped' ELSE 'failed' END AS state FROM ledger GROUP BY custom_id)"
+
+
+@query(with_views("requests", "ledger") + _INDEX + _STATES + """, t AS (SELECT count(*) AS total, count(*) FILTER (state IN ('completed', 'errored')) AS completed, count(*) FILTER (state = 'errored') AS errored, count(*) FILTER (state = 'failed') AS failed,
+    count(*) FILTER (state = 'skipped') AS skipped FROM idx LEFT JOIN st USING (custom_id)) SELECT *, total - skipped - completed - failed AS remaining, CASE WHEN total - skipped > 0 THEN round(100.0::DOUBLE * (completed + failed) / (total - skipped), 4) ELSE 0.0 END AS percent_complete FROM t""")
+def run_progress(spark, d):
+    kind = F.min("event_type")
+    states = views.ledger(spark, d).groupBy("custom_id").agg(F.when(kind == "click", "completed").when(kind == "purchase", "errored").when(kind == "view", "skipped").otherwise("failed").alias("state"))
+    return ledger.run_progress(_index(spark, d), states)
+
+
+_MASTER = ", master AS (SELECT row_number() OVER (ORDER BY sha1('42|' || cue || '|' || pos), pos) - 1 AS position, cue FROM requests)"
+
+
+@query(with_views("requests", "ledger") + _MASTER + ", h AS (SELECT cue, count(*) AS n FROM ledger GROUP BY cue), p AS (SELECT position, coalesce(n, 0) AS n FROM master LEFT JOIN h USING (cue)) SELECT count(*) AS total_cues, coalesce(sum(n), 0)::BIGINT AS completed, count(*) FILTER (n > 0) AS touched, count(*) FILTER (n >= 50) AS \"full\", coalesce(min(position) FILTER (n < 50), count(*))::BIGINT AS next_start FROM p")
+def campaign_snapshot(spark, d):
+    master = balance.master_order(views.requests(spark, d), 42)
+    return ledger.campaign_snapshot(master, views.ledger(spark, d), 50)
+
+
+@query(with_views("ledger") + ", s AS (SELECT DISTINCT custom_id FROM ledger WHERE event_type <> 'view'), b AS (SELECT DISTINCT custom_id FROM ledger WHERE event_type = 'click'), dn AS (SELECT custom_id FROM ledger WHERE event_type = 'purchase') SELECT custom_id FROM s WHERE custom_id NOT IN (SELECT custom_id FROM b WHERE custom_id NOT IN (SELECT custom_id FROM dn))")
+def requeue(spark, d):
+    submitted = views.ledger(spark, d).where("event_type <> 'view'").select("custom_id").distinct()
+    return ledger.requeue(submitted, _of_type(spark, d, "click"), _of_type(spark, d, "purchase"))
+
+
+# Windows, samples, order
+
+@query(with_views("trials") + " SELECT trial, cue, R1 FROM (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY trial) AS rn FROM trials) WHERE rn <= 10")
+def cap_per_cue(spark, d):
+    return balance.cap_per_cue(views.trials(spark, d), 10, ["trial"]).select("trial", "cue", "R1")
+
+
+@query(with_views("trials") + " SELECT cue, R1, (rn - 1)::INT AS trial FROM (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY trial) AS rn, count(*) OVER (PARTITION BY cue) AS n FROM trials) WHERE n >= 5 AND rn <= 5")
+def cap_renumber(spark, d):
+    rows = views.trials(spark, d).withColumnRenamed("trial", "at")
+    return balance.cap_and_renumber(rows, 5, "at").select("cue", "R1", "trial")
+
+
+_BALANCE = """, cues AS (SELECT DISTINCT cue FROM trials WHERE length(cue) > 2 UNION SELECT 'never said'), dr AS (SELECT cue, R1, R2, R3, row_number() OVER (PARTITION BY cue ORDER BY sha1('42|' || cue || '|' || trial), trial) AS rn FROM trials WHERE cue IN (SELECT cue FROM cues)),
+    kept AS (SELECT cue, R1, R2, R3 FROM dr WHERE rn <= 10), h AS (SELECT cue, count(*) AS n FROM kept GROUP BY cue)"""
+
+
+@query(with_views("trials") + _BALANCE + " SELECT * FROM kept UNION ALL SELECT cue, '', '', '' FROM (SELECT cue, unnest(range(10 - coalesce(n, 0))) FROM cues LEFT JOIN h USING (cue))")
+def balance_n(spark, d):
+    t = views.trials(spark, d)
+    cues = t.where("length(cue) > 2").select("cue").union(spark.createDataFrame([("never said",)], "cue string"))
+    return balance.balance(t, cues, 10, 42, ["trial"])
+
+
+@query(with_views("trials") + """, dr AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY sha1('42|' || cue || '|' || trial), trial) AS rn FROM trials), kept AS (SELECT cue, trial, R1 || '|' || R2 || '|' || R3 AS responses FROM dr WHERE rn <= 8), h AS (SELECT cue, count(*) AS n FROM kept GROUP BY cue)
+    SELECT * FROM kept UNION ALL SELECT cue, unnest(range(n, 8)) AS trial, '' FROM h WHERE n < 8""")
+def balance_legacy(spark, d):
+    rows = views.trials(spark, d).select("cue", "trial", F.array(*T.RESPONSES).alias("responses"))
+    return balance.align(rows, 8, 42).select("cue", F.col("trial").cast("long").alias("trial"), T.join_pipe(F.col("responses")).alias("responses"))
+
+
+@query(with_views("ledger") + " SELECT custom_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY custom_id ORDER BY event_id) AS rn FROM ledger) WHERE rn = 1")
+def ledger_dedup(spark, d):
+    return balance.first_wins(views.ledger(spark, d), "custom_id", "event_id").select("custom_id", "event_id")
+
+
+@query(with_views("trials") + " SELECT trial, (unnest([1, 2, 3]))::INT AS position, unnest([R1, R2, R3]) AS response FROM trials")
+def response_positions(spark, d):
+    return views.trials(spark, d).select("trial", F.posexplode(F.array(*T.RESPONSES)).alias("p", "response")).select("trial", (F.col("p") + 1).alias("position"), "response")
+
+
+@query(with_views("requests") + _INDEX + " SELECT (rn - 1) // 64 AS chunk, count(*) AS n, min(custom_id) AS first_id, max(custom_id) AS last_id FROM (SELECT custom_id, row_number() OVER (ORDER BY custom_id) AS rn FROM idx) GROUP BY 1")
+def request_chunks(spark, d):
+    return balance.chunks(_index(spark, d), 64, "custom_id")
+
+
+@query(with_views("ledger") + " SELECT cue, trial, event_id, coalesce(event_type, '') AS state FROM ledger ORDER BY cue, trial, event_id")
+def sorted_export(spark, d):
+    return views.ledger(spark, d).select("cue", "trial", "event_id", T.blank(F.col("event_type")).alias("state")).orderBy("cue", "trial", "event_id")
+
+
+@query(with_views("requests") + " SELECT pos, cue FROM requests ORDER BY sha1('7|' || cue || '|' || pos), pos LIMIT 25")
+def sample_cues(spark, d):
+    return balance.sample_cues(views.requests(spark, d), 25, 7)
+
+
+@query(with_views("requests") + _MASTER + " SELECT position, cue FROM master")
+def master_order(spark, d):
+    return balance.master_order(views.requests(spark, d), 42)
+
+
+@query(with_views("requests") + _MASTER + " SELECT position, cue FROM master WHERE position >= 10 AND position < 30")
+def cue_window(spark, d):
+    return balance.cue_window(balance.master_order(views.requests(spark, d), 42), 10, 20)
+
+
+# Networks
+
+@query(with_views("directed") + " SELECT * FROM directed")
+def edges_directed(spark, d):
+    return network.directed_edges(views.trials(spark, d))
+
+
+@query(with_views("said") + " SELECT src, tgt, count(*) AS wt FROM said WHERE src <> '' AND tgt <> '' GROUP BY ALL")
+def edges_legacy(spark, d):
+    return network.response_edges(views.trials(spark, d).select("cue", F.array(*T.RESPONSES).alias("responses")))
+
+
+@query(with_views("pairs") + " SELECT * FROM pairs")
+def edges_undirected_max(spark, d):
+    return network.undirected(network.directed_edges(views.trials(spark, d)))
+
+
+@query(with_views("directed") + " SELECT DISTINCT src, tgt FROM directed")
+def edge_set(spark, d):
+    return network.directed_edges(views.trials(spark, d)).select("src", "tgt").distinct()
+
+
+@query(with_views("trials") + " SELECT cue, n, CASE WHEN n > 5 THEN 'over' WHEN n = 5 THEN 'exact' ELSE 'under' END AS class FROM (SELECT cue, count(*) AS n FROM trials GROUP BY cue)")
+def cue_balance_class(spark, d):
+    n = views.trials(spark, d).groupBy("cue").agg(F.count("*").alias("n"))
+    return n.withColumn("class", F.when(F.col("n") > 5, "over").when(F.col("n") == 5, "exact").otherwise("under"))
+
+
+@query(with_views("pairs") + " SELECT DISTINCT word FROM (SELECT src AS word FROM pairs UNION SELECT tgt FROM pairs)")
+def vocabulary(spark, d):
+    return network.vocabulary(network.undirected(network.directed_edges(views.trials(spark, d))))
+
+
+@query(with_views("pairs", "lexicon") + " SELECT * FROM pairs WHERE replace(src, ' ', '_') IN (SELECT word FROM lexicon) AND replace(tgt, ' ', '_') IN (SELECT word FROM lexicon)")
+def lexicon_subgraph(spark, d):
+    return lexicon.subgraph(network.undirected(network.directed_edges(views.trials(spark, d))), views.lexicon(spark, d))
+
+
+@query(with_views("heavy") + " SELECT * FROM heavy")
+def idiosyncratic_filter(spark, d):
+    return network.not_idiosyncratic(network.undirected(network.directed_edges(views.trials(spark, d))))
+
+
+_COMPONENTS = """, sym AS (SELECT src, tgt FROM heavy UNION SELECT tgt, src FROM heavy), reach(node, root) AS (SELECT DISTINCT src, src FROM sym UNION SELECT b.tgt, r.root FROM reach r JOIN sym b ON b.src = r.node WHERE r.root < b.tgt),
+    comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"""
+
+
+def _heavy(spark, d):
+    return network.not_idiosyncratic(network.undirected(network.directed_edges(views.trials(spark, d))))
+
+
+@query(with_views("heavy") + _COMPONENTS + " SELECT node, component FROM comp")
+def components(spark, d):
+    return network.components(_heavy(spark, d))
+
+
+_LARGEST = ", best AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)"
+
+
+@query(with_views("heavy") + _COMPONENTS + _LARGEST + " SELECT h.* FROM heavy h JOIN comp ON node = src JOIN best USING (component)")
+def largest_component(spark, d):
+    return network.largest_component(_heavy(spark, d))
+
+
+@query(with_views("heavy") + _COMPONENTS + _LARGEST + " SELECT h.* FROM heavy h JOIN comp ON node = src JOIN best USING (component)")
+def full_graph(spark, d):
+    return network.filtered_graph(views.trials(spark, d))
+
+
+@query(with_views("heavy") + ", near AS (SELECT CASE WHEN src = 'the' THEN tgt ELSE src END AS word, wt FROM heavy WHERE src = 'the' OR tgt = 'the') SELECT word, wt, round(wt / sum(wt) OVER (), 6) AS share FROM near ORDER BY wt DESC, word LIMIT 10")
+def strongest(spark, d):
+    return network.strongest(_heavy(spark, d), "the", 10).withColumn("share", F.round("share", 6))
+
+
+@query(with_views("trials") + " SELECT cue AS word FROM trials INTERSECT SELECT R1 FROM trials")
+def overlap_words(spark, d):
+    t = views.trials(spark, d)
+    return compare.overlap(t.select(F.col("cue").alias("word")), t.select(F.col("R1").alias("word")))
+
+
+@query(with_views("trials") + " SELECT cue AS word FROM trials EXCEPT SELECT R1 FROM trials")
+def unique_words(spark, d):
+    t = views.trials(spark, d)
+    return compare.unique(t.select(F.col("cue").alias("word")), t.select(F.col("R1").alias("word")))
+
+
+@query(with_views("heavy") + " SELECT (SELECT count(*) FROM pairs) AS n_left, (SELECT count(*) FROM heavy) AS n_right, (SELECT count(*) FROM (FROM pairs EXCEPT FROM heavy)) AS only_left, (SELECT count(*) FROM (FROM heavy EXCEPT FROM pairs)) AS only_right, 'DIFF' AS verdict")
+def edge_diff(spark, d):
+    pairs = network.undirected(network.directed_edges(views.trials(spark, d)))
+    return compare.edge_diff(pairs, network.not_idiosyncratic(pairs))
+
+
+# Whole pipelines and files
+
+@query()
+def full_clean(spark, d):
+    lex = views.lexicon(spark, d)
+    return cleaning.clean(views.messy(spark, d), views.spelling(spark, d), lexicon.compound_dictionary(lex), lex, 10, 42, ["trial"])
+
+
+@query()
+def stream_ledger(spark, d):
+    from lexiweave.runtime import Scratch
+    from lexiweave.streaming.ledger import ROWS, ledger_index, run_ledger
+
+    s = Scratch(spark, "stream")
+    rows = views.ledger(spark, d).select("custom_id", "cue", "trial", F.lit("").alias("raw_text"), F.lit("").alias("parsed"), F.lit(True).alias("ok"), F.lit("").alias("updated_at"))
+    for _ in range(2):  # the second time adds nothing
+        rows.write.mode("append").json(f"{s.root}/in")
+        run_ledger(spark, f"{s.root}/in", f"{s.root}/ledger", f"{s.root}/state")
+    return ledger_index(spark.read.schema(ROWS).parquet(f"{s.root}/ledger"))
+
+
+@query()
+def sink_roundtrip(spark, d):
+    from lexiweave.runtime import Scratch
+    from lexiweave.sources import files
+
+    path = f"{Scratch(spark, 'files').root}/edges"
+    files.write_edges(network.directed_edges(views.trials(spark, d)), path)
+    return files.read_csv(spark, path, files.EDGES)
+
+
+__all__ = ["QUERIES", "SQL"]
