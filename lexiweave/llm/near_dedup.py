@@ -46,7 +46,7 @@ class Params:
     sketch: int = 128
     indexed: int = 24
     list_limit: int = 24
-    block: int = 512
+    block: int = 1024
     block_shingles: int = 1 << 19
     sigmas: float = 5.0
 
@@ -149,27 +149,34 @@ def _forest(a: list[np.ndarray], b: list[np.ndarray], ids: np.ndarray, group: np
     ``a`` comes first in ``ids``, ``group`` and ``earlier``; rows of one group
     are joined already, and rows with the same earlier list meet there.
     """
-    sets = a + b
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sets, na = a + b, len(a)
     sizes = np.array([len(x) for x in sets])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    place: list[list[int]] = [[] for _ in range(len(values))]
-    del values
-    for row in range(len(a)):
-        for c in codes[starts[row] : starts[row + 1]].tolist():
-            place[c].append(row)
-    holders = [np.array(x, np.int64) for x in place]
+    left = np.concatenate(a)
+    by = np.argsort(left, kind="stable")
+    left, rows = left[by], np.repeat(np.arange(na), sizes[:na])[by]
+    right, at = np.concatenate(b), np.concatenate([[0], np.cumsum(sizes[na:])])
+    low, high = np.searchsorted(left, right, "left"), np.searchsorted(left, right, "right")
+    work = np.concatenate([[0], np.cumsum(high - low)])
     _, root = np.unique(group, return_inverse=True)
-    root, out = root.copy(), []
-    for row in range(len(a), len(sets)):
-        found = [holders[c] for c in codes[starts[row] : starts[row + 1]].tolist()]
-        both = np.bincount(np.concatenate(found), minlength=len(a)) if found else np.zeros(len(a), np.int64)
-        ok = (both > 0) & (100 * both >= percent * (sizes[: len(a)] + sizes[row] - both)) & (ids[: len(a)] != ids[row])
-        ok &= earlier[: len(a)] != earlier[row]
-        for other in np.flatnonzero(ok):
-            if root[other] != root[row]:
-                root[root == root[other]] = root[row]
-                out.append((int(ids[other]), int(ids[row])))
+    root, out, first = root.copy(), [], 0
+    while first < len(b):  # so many rows of b at a time that their common shingles fit
+        last = first + 1
+        while last < len(b) and work[at[last + 1]] - work[at[first]] <= 4_000_000 and last - first < 512:
+            last += 1
+        lo, n = low[at[first] : at[last]], (high - low)[at[first] : at[last]]
+        place = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+        mine = np.repeat(np.repeat(np.arange(last - first), sizes[na + first : na + last]), n)
+        both = np.bincount(mine * na + rows[place], minlength=(last - first) * na).reshape(last - first, na)
+        mine, own = slice(na + first, na + last), slice(0, na)
+        ok = (both > 0) & (100 * both >= percent * (sizes[own][None, :] + sizes[mine][:, None] - both))
+        ok &= (ids[own][None, :] != ids[mine][:, None]) & (earlier[own][None, :] != earlier[mine][:, None])
+        ok &= group[own][None, :] != group[mine][:, None]
+        for i, j in zip(*np.nonzero(ok), strict=True):
+            x, y = root[j], root[na + first + i]
+            if x != y:
+                root[root == x] = y
+                out.append((int(ids[j]), int(ids[na + first + i])))
+        first = last
     return out
 
 
@@ -183,23 +190,27 @@ def _block_links(members: DataFrame, sets: DataFrame, scratch: Scratch, p: Param
     (there their classes met) and of bands that can be similar. A task compares
     the whole sets of two blocks and returns no more links than it has classes.
     """
-    size = members.groupBy("v", "component").agg(F.count("*").alias("mates"))
+    large = p.block // 4
+
+    def labelled(df: DataFrame, column: str, label: str) -> DataFrame:
+        """The column's value where so many share it that blocks of their own pay, else -1."""
+        n = df.groupBy("v", column).agg(F.count("*").alias("__n"))
+        return df.join(n, ["v", column]).withColumn(label, F.when(F.col("__n") >= large, F.col(column)).otherwise(F.lit(-1))).drop("__n")
+
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / -float(np.log(p.percent / 100))).cast("int")
-    placed = members.join(size, ["v", "component"]).withColumns({
-        "label": F.when(F.col("mates") >= p.block // 4, F.col("component")).otherwise(F.lit(-1)), "band": band
-    }).drop("mates")
-    cells = placed.groupBy("v", "label", "earlier", "band").agg(
+    placed = labelled(labelled(members, "component", "label"), "earlier", "before").withColumn("band", band)
+    cells = placed.groupBy("v", "label", "before", "band").agg(
         F.ceil(F.greatest(F.count("*") / p.block, F.sum("n_shingles") / p.block_shingles)).cast("int").alias("parts")
     )
     placed = scratch.keep(
-        placed.join(cells, ["v", "label", "earlier", "band"]).select(
+        placed.join(cells, ["v", "label", "before", "band"]).select(
             "v", "rep", "component", "earlier",
-            F.struct("label", "earlier", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")).alias("block"),
+            F.struct("label", "before", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")).alias("block"),
         ), "placed",
     )
     blocks = placed.groupBy("v", "block").agg(F.count("*").alias("n"))
     meets = blocks.select("v", F.col("block").alias("i")).join(blocks.select("v", F.col("block").alias("j")), "v").where(
-        "i <= j and not (i.label = j.label and i.label <> -1) and not (i.earlier = j.earlier and i.earlier <> -1) and abs(i.band - j.band) <= 1"
+        "i <= j and not (i.label = j.label and i.label <> -1) and not (i.before = j.before and i.before <> -1) and abs(i.band - j.band) <= 1"
     )
     placed = placed.join(sets, "rep")
     left = meets.join(placed.withColumnRenamed("block", "i"), ["v", "i"]).withColumn("side", F.lit(0))

@@ -45,6 +45,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiweave.llm.lm_scoring import score
+
+    held_out = F.substring(F.sha1(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 1).isin("0", "1", "2")
+    out = score(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("per_word", 6).alias("per_word"))
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiweave.llm.pii import pseudonymise_documents
 
@@ -72,6 +80,33 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id, op7_feistel_pseudonyms, op8_source_mix, op9_quality_bayes, op10_decontaminate)
+    for f in (op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id, op6_stupid_backoff, op7_feistel_pseudonyms, op8_source_mix, op9_quality_bayes, op10_decontaminate)
+}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+        GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+    r(node, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node WHERE r.root < e.y),
+    c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+    SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id, c.root = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = doc_id""",
+    "op6_stupid_backoff": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    o AS (SELECT doc_id, CASE WHEN i > 1 THEN w[i - 1] END AS prev, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+    tr AS (SELECT * FROM o WHERE doc_id IN (SELECT doc_id FROM documents WHERE left(sha1(doc_id::VARCHAR), 1) NOT IN ('0', '1', '2'))), u AS (SELECT word, count(*) AS n FROM tr GROUP BY word), b AS (SELECT prev, word, count(*) AS n FROM tr WHERE prev IS NOT NULL GROUP BY ALL),
+    p AS (SELECT doc_id, CASE WHEN b.n > 0 THEN b.n / c.n WHEN o.prev IS NULL THEN coalesce(u.n, 1) / (SELECT sum(n) FROM u) ELSE 0.4::DOUBLE * (coalesce(u.n, 1) / (SELECT sum(n) FROM u)) END AS p
+        FROM o LEFT JOIN b ON b.prev = o.prev AND b.word = o.word LEFT JOIN u c ON c.word = o.prev LEFT JOIN u ON u.word = o.word)
+    SELECT doc_id, n_words, log_score, per_word FROM (SELECT doc_id, count(p) AS n_words, round(coalesce(sum(ln(p)), 0.0), 3) AS log_score, round(sum(ln(p)) / count(p), 6) AS per_word FROM d LEFT JOIN p USING (doc_id) GROUP BY doc_id)""",
+    "op10_decontaminate": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    m AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id::VARCHAR AS item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM m WHERE len(w) > 0)),
+    sz AS (SELECT DISTINCT n FROM bw),
+    dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sz)),
+    h AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw USING (n, g)),
+    t AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+    k AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
-SQL: dict[str, str] = {}
