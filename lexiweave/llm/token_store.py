@@ -31,86 +31,109 @@ SHARD_IDS = 1 << 20
 #: Encoded words that a Python worker keeps, twice over.
 CACHED_WORDS = 300_000
 
-_SPACES = re.compile(r"\s\s")
+_SPACE, _SPACES = re.compile(r"\s"), re.compile(r"\s\s")
 #: Marks that never join a letter or digit before them; an apostrophe may.
 _MARKS = ".,;:!?#$%&*|()+-"
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
 
-class _Known(dict):
-    """Ids, as bytes, of a word with a space before it, or of one that begins with a line end; made when first met."""
-
-    def __init__(self, encoder: WordEncoder, cached: int):
-        super().__init__()
-        self.encoder, self.cached, self.older, self.tails = encoder, cached, {}, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > self.cached:
-            self.older = dict(self)
-            self.clear()
-        got = self.older.get(word)
-        if got is None:
-            got = self._make(word)
-        self[word] = got
-        return got
-
-    def _make(self, word: str) -> bytes:
-        if word.isalpha() and max(word) < "\u0250":
-            return self.encoder.piece(" " + word)
-        if word[:1] == "\n" and word[1:].isalpha() and max(word) < "\u0250":
-            return self.encoder.line + self.encoder.piece(word[1:])
-        stem = word.rstrip(_MARKS)
-        if stem != word and stem and stem[-1].isalnum() and stem[-1] < "\u0250":
-            tail = word[len(stem) :]
-            if tail not in self.tails:
-                self.tails[tail] = self.encoder.whole(tail)
-            return self[stem] + self.tails[tail]
-        return self.encoder.whole(word if word[:1] == "\n" else " " + word)
-
-
 class WordEncoder:
     """Ids of texts by a byte-level BPE file, as bytes; words already seen are not encoded again.
 
     A byte-level BPE cuts a text before every space that a non-space character
-    follows, whatever comes before, around a lone line end, and between a
-    letter and a mark, and merges nothing across such a cut. So the ids of a
-    text are those of its words, each with the space before it. A word of
-    letters alone is one piece and goes straight to the tokenizer's model.
+    follows, whatever comes before, and merges nothing across such a cut. So
+    the ids of a text are those of its words, each with the space before it.
+    It cuts around a lone line end and between a letter and a mark as well.
+    New words of a batch are encoded as one text, a line each.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.model = self.tokenizer.model.tokenize
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        # How the model spells the bytes of each character that `piece` is given.
-        self.spelling = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in range(0x20, 0x250)}
-        self.line = self.whole("\n")
-        self.known = _Known(self, cached)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}").tobytes()
-
-    def piece(self, text: str) -> bytes:
-        return b"".join([x.id.to_bytes(self.width, "little") for x in self.model(text.translate(self.spelling))])
+        self.cached = cached
+        #: By the word, ids of the word with a space before it; words of an earlier time are moved over when met again.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.line = self._ids("\n")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), f"<u{self.width}").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Fill ``known`` for these words; those that begin with a line end stand after it, not after a space."""
+        if len(self.known) > self.cached:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        plain: dict[str, None] = {}
+        parted = []
+        for w in words:
+            got = older.get(w)
+            if got is not None:
+                known[w] = got
+                continue
+            stem = w.rstrip(_MARKS)
+            if stem != w and stem and stem[-1].isalnum() and stem[-1] < "\u0250":
+                parted.append((w, stem, w[len(stem) :]))
+                w = stem  # noqa: PLW2901
+                if w in known:
+                    continue
+            plain[w] = None
+        self._encode([w for w in plain if w[:1] != "\n"], "", " ")
+        self._encode([w for w in plain if w[:1] == "\n"], "\n", "")
+        for w, stem, tail in parted:
+            end = self.tails.get(tail)
+            if end is None:
+                end = self.tails[tail] = self._bytes(tail)
+            known[w] = known[stem] + end
+
+    def _encode(self, words: list[str], lead: str, space: str) -> None:
+        """Encode words after a space, or after the line end they begin with, many at a time."""
+        before, skip = (self._bytes(lead), len(lead)) if lead else (b"", 0)
+        plain = []
+        for w in words:
+            rest = w[skip:]
+            if not rest or len(self.line) != 1 or _SPACE.search(rest):
+                self.known[w] = self._bytes(space + w if space else w)
+            else:
+                plain.append(w)
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self._ids("".join(f"{space}{w[skip:]}\n" for w in part)), f"<u{self.width}")
+            ends, raw, start = np.flatnonzero(ids == self.line[0]).tolist(), ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("this tokenizer joins words to line ends")
+            for w, end in zip(part, ends, strict=True):
+                self.known[w] = before + raw[start * self.width : end * self.width]
+                start = end + 1
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        get = self.known.__getitem__
+        cut, new, known = [], set(), self.known
         for text in texts:
             if not text:
-                yield b""
+                cut.append(None)
                 continue
             if _SPACES.search(text):
                 first, *words = _BEFORE_WORD.split(text)
                 words = [w[1:] for w in words]  # none begins with a line end: a non-space character follows the space
             else:
                 first, *words = text.replace("\n", " \n").split(" ")  # a lone line end is a piece of its own
-            yield (self.whole(first) if first else b"") + b"".join(map(get, words))
+            cut.append((first, words))
+            new.update(words)
+        new.difference_update(known)
+        self._learn(new)
+        if self.known is not known:  # a new time has begun: words met before it must be at hand too
+            self._learn({w for c in cut if c for w in c[1]} - self.known.keys())
+        get = self.known.__getitem__
+        for c in cut:
+            yield b"" if c is None else (self._bytes(c[0]) if c[0] else b"") + b"".join(map(get, c[1]))
 
 
 @lru_cache(maxsize=2)
