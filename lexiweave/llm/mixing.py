@@ -185,7 +185,8 @@ def mix(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text
         "row", "s", "block", (F.greatest("start", F.col("block") * b) - F.col("start")).alias("from_word"),
         (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.col("start")).alias("to_word"),
     )
-    spans = pieces.join(slots, ["s", "block"]).select("row", "shard", "slot", "from_word", "to_word")
+    # Slots grow with the input, though the plan takes them for as few as the cells they are made of.
+    spans = pieces.join(slots.hint("merge"), ["s", "block"]).select("row", "shard", "slot", "from_word", "to_word")
     return spans, rows
 
 
