@@ -212,21 +212,22 @@ def _block_links(members: DataFrame, sets: DataFrame, scratch: Scratch, p: Param
     meets = blocks.select("v", F.col("block").alias("i")).join(blocks.select("v", F.col("block").alias("j")), "v").where(
         "i <= j and not (i.label = j.label and i.label <> -1) and not (i.before = j.before and i.before <> -1) and abs(i.band - j.band) <= 1"
     )
-    placed = placed.join(sets, "rep")
-    left = meets.join(placed.withColumnRenamed("block", "i"), ["v", "i"]).withColumn("side", F.lit(0))
-    right = meets.join(placed.withColumnRenamed("block", "j"), ["v", "j"]).withColumn("side", F.lit(1))
-    cols = ["v", "i", "j", "side", "rep", "component", "earlier", "shingles"]
+    # The narrow rows meet first; whole sets join last and cross to the comparing tasks once, those of a block that meets itself not twice.
+    cols = ["v", "i", "j", "side", "rep", "component", "earlier"]
+    left = meets.join(placed.withColumnRenamed("block", "i"), ["v", "i"]).withColumn("side", F.lit(0)).select(cols)
+    right = meets.where("i <> j").join(placed.withColumnRenamed("block", "j"), ["v", "j"]).withColumn("side", F.lit(1)).select(cols)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "rep"], kind="stable")
         n = int((pdf.side == 0).sum())
-        sets = list(pdf.shingles)
         # Rows without an earlier list differ from each other.
         earlier = np.where(pdf.earlier == -1, -2 - np.arange(len(pdf)), pdf.earlier)
-        out = _forest(sets[:n], sets[n:], pdf.rep.to_numpy(), pdf.component.to_numpy(), earlier, p.percent) if 0 < n < len(pdf) else []
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        sets, ids, group = list(pdf.shingles), pdf.rep.to_numpy(), pdf.component.to_numpy()
+        if n == len(pdf):  # a block that meets itself
+            sets, ids, group, earlier = sets * 2, np.tile(ids, 2), np.tile(group, 2), np.tile(earlier, 2)
+        return pd.DataFrame(_forest(sets[:n], sets[n:], ids, group, earlier, p.percent), columns=["a", "b"], dtype="int64")
 
-    return left.select(cols).union(right.select(cols)).groupBy("v", "i", "j").applyInPandas(compare, "a long, b long")
+    return left.union(right).join(sets, "rep").groupBy("v", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _whole_sets(words: int):
