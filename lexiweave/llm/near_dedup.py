@@ -241,6 +241,18 @@ def _whole_sets(words: int):
     return run
 
 
+def _joined_up(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``found(node, component)`` after further links ``(a, b)``, which join whole components."""
+    side = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    if links.isEmpty():
+        return found
+    moved = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = scratch.keep(connected_components(moved, "a", "b").withColumnRenamed("component", "to"), "joined")
+    known = found.join(joined.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # Ends that no earlier link had are nodes of their own until now.
+    return scratch.keep(known.union(joined.select("node", "to")).groupBy("node").agg(F.min("component").alias("component")), "found")
+
+
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -302,10 +314,8 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
 
     # The likeliest pair of each class first: what those connect need not be confirmed pair by pair.
     first = likely.groupBy("b").agg(F.max_by(F.struct("a", "sure", "est"), F.struct("est", -F.col("a"))).alias("x")).select("x.a", "b", "x.sure", "x.est")
-    links = confirmed(first, "first")
-    found = scratch.keep(connected_components(links, "a", "b"), "found")
-    links = links.union(confirmed(across(likely, found), "second"))
-    found = scratch.keep(connected_components(links, "a", "b"), "found")
+    found = scratch.keep(connected_components(confirmed(first, "first"), "a", "b"), "found")
+    found = _joined_up(found, confirmed(across(likely, found), "second"), scratch)
 
     # Long lists: what the hubs left apart. A similar pair shares well over a quarter of the indexed values,
     # all of them from long lists, or it was met in a short one; so the rarest few lists of a class suffice.
@@ -332,16 +342,14 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")
     ).distinct()
     likely = scratch.keep(_estimated(across(again, found), reps, p), "likely2")
-    links = links.union(confirmed(likely, "third"))
-    found = scratch.keep(connected_components(links, "a", "b"), "found")
+    found = _joined_up(found, confirmed(likely, "third"), scratch)
 
     # And what is left, block by block, on whole sets.
     apart = scratch.keep(still_apart(found).select("v", "rep", "n_shingles", "component", "earlier"), "apart")
     ids = apart.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids
     sets = own.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(p.words), "rep long, shingles array<long>")
-    links = links.union(scratch.keep(_block_links(apart, sets, scratch, p), "fourth"))
-    found = connected_components(links, "a", "b")
+    found = _joined_up(found, scratch.keep(_block_links(apart, sets, scratch, p), "fourth"), scratch)
     joined = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return joined.select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
