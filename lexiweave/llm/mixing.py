@@ -175,7 +175,9 @@ def mix(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text
             key = (s.to_numpy().astype(np.uint64) * np.uint64(1_000_003) + turn.astype(np.uint64) + np.uint64(p.seed)) * np.uint64(0xD6E8FEB86659FD93)
         return pd.Series(permute(at, blocks.to_numpy(), key))
 
-    slots = dealt.repartition("shard", "s").select("shard", "s", "blocks", "first", "slot0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select(
+    # A stated number, as the few cells would be put into one task by their size, and that task would make all slots.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = dealt.repartition(tasks, "shard", "s").select("shard", "s", "blocks", "first", "slot0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select(
         "shard", "s", (F.col("slot0") + F.col("i")).alias("slot"), block_of("s", F.col("first") + F.col("i"), "blocks").alias("block")
     )
     b = F.lit(p.block).cast("long")
