@@ -1,7 +1,9 @@
-"""Balanced label propagation: linked documents move to one shard under quotas."""
+"""Balanced label propagation: linked documents start and move together, under quotas."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,46 @@ def _pairs(spark, values: list[int], name: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(map(int, values))), f"shard int, {name} long")
 
 
-def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6) -> DataFrame:
+def _filled(sizes: list[int]):
+    """The shard of a ``place`` when shards of these sizes are filled one after another."""
+    shard = F.lit(len(sizes) - 1)
+    for s in reversed(range(len(sizes))):
+        shard = F.when(F.col("place") < sum(sizes[: s + 1]), F.lit(s)).otherwise(shard)
+    return shard.cast("int")
+
+
+def _start(live: DataFrame, n_shards: int, scratch: Scratch) -> DataFrame:
+    """``node, shard`` of linked nodes, dealt evenly, the members of a node's smallest link one after another."""
+    by = live.groupBy("node").agg(F.min(F.struct("members", "link")).alias("by")).select("node", "by.link", "by.members")
+    by = scratch.keep(by, "by")
+    linked = by.count()
+    large = F.col("members") > 1024
+    placed = running_total(
+        by, group=[],
+        buckets={
+            "link": F.pmod(F.xxhash64("link"), F.lit(hash_buckets(linked))),
+            "large": F.when(large, F.xxhash64("link")).otherwise(F.lit(0).cast("long")),
+            "part": F.when(large, F.pmod("node", (F.col("members") / 1024).cast("long"))).otherwise(F.lit(0).cast("long")),
+        },
+        order=["link", "node"], out="place",
+    )
+    return placed.select("node", _filled(quotas(linked, n_shards)).alias("shard"))
+
+
+def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int | None = None) -> DataFrame:
     """Place nodes 0..n-1 into shards whose row counts are at most one apart.
 
     ``nodes(node)`` holds the numbers 0..n-1 once each; ``links(node, link)``
-    joins nodes that name the same link. A linked node starts in shard
-    ``node % n_shards``. In each round every link counts its members in each
+    joins nodes that name the same link. Linked nodes are dealt evenly over the
+    shards in the order of their links, so where each node has one link, at most
+    ``n_shards - 1`` links that fit a shard start cut, room or none. In each
+    round every link counts its members in each
     shard, every node sums these votes over its links and asks for the shard
     with the most votes that has room; a target takes requests, link by link,
-    up to its quota. Nodes without a link fill what is left. Rounds end early
-    when nothing moves. Returns ``(node, shard, linked)``.
+    up to its quota. Nodes without a link fill what is left. Rounds end when
+    nothing moves, or when the number of moves has had no new low for more
+    than ``n_shards`` rounds (nodes of several links may go to and fro), or
+    after ``rounds`` if given. Returns ``(node, shard, linked)``.
 
     A link may hold any share of the nodes: its votes are one row per shard,
     and the members that ask for a full shard ask for another one next time.
@@ -37,11 +69,10 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6
     quota = quotas(n, n_shards)
     sizes = links.groupBy("link").agg(F.count("*").alias("members")).where("members > 1")
     live = scratch.keep(links.join(sizes, "link").select("node", "link", "members").distinct(), "links")
-    state = scratch.keep(
-        live.select("node").distinct().select("node", F.pmod("node", F.lit(n_shards)).cast("int").alias("shard")), "start"
-    )
+    state = scratch.keep(_start(live, n_shards, scratch), "start")
     n_buckets = hash_buckets(state.count())
-    for turn in range(rounds):
+    fewest, since = n + 1, 0
+    for turn in count() if rounds is None else range(rounds):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         room = [quota[s] - load.get(s, 0) for s in range(n_shards)]
         if not load:
@@ -75,11 +106,12 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6
                 "node", F.coalesce("moved_to", "shard").alias("shard"), F.col("moved_to").isNotNull().alias("moved")
             ), "round",
         )
-        any_moved = bool(step.where("moved").limit(1).count())
+        moves = step.where("moved").count()
         scratch.drop(state)
         state = step.select("node", "shard")
         state._lexiweave_path = step._lexiweave_path
-        if not any_moved:
+        fewest, since = (moves, 0) if moves < fewest else (fewest, since + 1)
+        if not moves or since > n_shards:
             break
     load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     free = [quota[s] - load.get(s, 0) for s in range(n_shards)]
@@ -87,19 +119,12 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6
         nodes.join(state, "node", "left_anti"), group=[],
         buckets={"node": F.pmod(F.xxhash64("node"), F.lit(hash_buckets(n)))}, order=["node"], out="place",
     )
-    edge, shard = 0, F.lit(n_shards - 1)
-    steps = []
-    for s in range(n_shards):
-        edge += free[s]
-        steps.append((edge, s))
-    for upper, s in reversed(steps):
-        shard = F.when(F.col("place") < upper, F.lit(s)).otherwise(shard)
     return state.select("node", "shard", F.lit(True).alias("linked")).unionByName(
-        loose.select("node", shard.cast("int").alias("shard"), F.lit(False).alias("linked"))
+        loose.select("node", _filled(free).alias("shard"), F.lit(False).alias("linked"))
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard documents so that equal texts meet and row counts are at most one apart.
 
     Returns one row per input row: ``doc_id, size, text_crc32, law, shard,

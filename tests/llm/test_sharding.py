@@ -34,6 +34,20 @@ def test_a_group_larger_than_a_shard_is_split_and_kept(spark):
     assert len({r.shard for r in out if r.doc_id < 60}) == 3
 
 
+def test_groups_meet_where_no_place_is_free(spark):
+    """Every row is linked: all pairs, a few huge groups, and large groups beside pairs."""
+    table = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = shard_documents(table([f"t{i // 2}" for i in range(400)]), 4)
+    assert sorted(Counter(r.shard for r in pairs.collect()).values()) == [100] * 4
+    assert sum(g.shards > 1 for g in cut_groups(pairs).collect()) <= 3
+    huge = shard_documents(table([f"t{i % 4}" for i in range(96)]), 16)
+    assert [g.shards for g in cut_groups(huge).collect()] == [4] * 4
+    mixed = shard_documents(table([f"t{i % 3}" if i < 6000 else f"u{i // 2}" for i in range(6400)]), 4)
+    groups = cut_groups(mixed).collect()
+    assert sum(g.shards > 1 for g in groups if g.members == 2) <= 3 and len(groups) == 203
+    assert all(g.shards <= 3 for g in groups) and sorted(Counter(r.shard for r in mixed.collect()).values()) == [1600] * 4
+
+
 def test_empty_and_repeatable(no_docs, docs):
     assert shard_documents(no_docs, 4).count() == 0
     assert sorted(shard_documents(docs, 4).select("doc_id", "shard", "slot").collect()) == sorted(
