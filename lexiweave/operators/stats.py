@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiweave.functions.text import cosine_distance
+from lexiweave.operators.network import vocabulary
 
 
 def edge_distances(edges: DataFrame, vectors: DataFrame, oov: str = "skip", dim: int | None = None) -> DataFrame:
@@ -94,12 +95,22 @@ def correlations(distances: DataFrame) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), _corr("wt", "distance").alias("pearson_r"), _corr("rank_w", "rank_d").alias("spearman_r"))
 
 
-def correlation_table(distances: DataFrame, missing_words: int = 0) -> DataFrame:
+def missing_words(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``word`` of the edges' words that have no vector, nor one with underscores for spaces."""
+    words = vocabulary(edges).where("word is not null").withColumn("__under", F.replace("word", F.lit(" "), F.lit("_")))
+    known = vectors.select(F.col("word").alias("__known"))
+    for name in ("word", "__under"):
+        words = words.join(known, words[name] == known["__known"], "left_anti")
+    return words.select("word")
+
+
+def correlation_table(edges: DataFrame, vectors: DataFrame, oov: str = "skip", dim: int | None = None) -> DataFrame:
     """``metric, value``: both correlations with p-values, missing words and edges."""
+    distances, missing = edge_distances(edges, vectors, oov, dim), missing_words(edges, vectors).count()
     row = correlations(distances).first()
     misses = distances.where("distance is null").count()
     values = [("pearson_r", row["pearson_r"]), ("pearson_p", correlation_p(row["pearson_r"], row["n"])), ("spearman_r", row["spearman_r"]),
-              ("spearman_p", correlation_p(row["spearman_r"], row["n"])), ("missing_words", float(missing_words)), ("missing_edges", float(misses))]
+              ("spearman_p", correlation_p(row["spearman_r"], row["n"])), ("missing_words", float(missing)), ("missing_edges", float(misses))]
     return distances.sparkSession.createDataFrame(values, "metric string, value double")
 
 

@@ -258,7 +258,7 @@ def correlations(spark, d):
 
 @query()
 def correlation_table(spark, d):
-    return stats.correlation_table(_dist(spark, d)).withColumn("value", F.round("value", 6))
+    return stats.correlation_table(views.vector_edges(spark, d), views.vectors(spark, d)).withColumn("value", F.round("value", 6))
 
 
 @query(with_views("vectors", "vector_edges") + _DIST + " SELECT round(quantile_cont(wt, 0.9), 5) AS wt_cut, round(quantile_cont(distance, 0.9), 5) AS distance_cut FROM dist WHERE distance IS NOT NULL")

@@ -39,6 +39,12 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_correlation_table_agrees_with_counts(spark):
+    values = dict(map(tuple, QUERIES["correlation_table"](spark, SF).collect()))
+    counts = QUERIES["oov_counts"](spark, SF).first()
+    assert values["missing_words"] == counts.missing_words > 0 and values["missing_edges"] == counts.missing_edges
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).columns == ["src", "tgt", "wt"]
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())

@@ -73,6 +73,13 @@ def test_few_rows_have_no_correlation(spark):
     assert math.isnan(row.pearson_r) and math.isnan(row.spearman_r)
 
 
+def test_correlation_table_counts_missing_words(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "c d", 2), ("a", "gone", 3), ("lost", "gone", 4)], "src string, tgt string, wt long")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c_d", [1.0, 1.0])], "word string, vec array<float>")
+    values = dict(map(tuple, stats.correlation_table(edges, vectors).collect()))
+    assert (values["missing_words"], values["missing_edges"]) == (2.0, 2.0)
+
+
 def test_windows(spark):
     o = balance.master_order(spark.createDataFrame([(i, f"c{i}") for i in range(5)], "pos int, cue string"), 1)
     assert balance.cue_window(o, -3, 2).count() == 2 and balance.cue_window(o, 0, 0).count() == 0
