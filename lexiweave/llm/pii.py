@@ -32,6 +32,7 @@ PATTERN = re.compile(
     r"|(?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<s4>[-/.])[0-9]{1,2}(?P=s4)[0-9]{1,2}|[0-9]{1,2}(?P<s5>[-/.])[0-9]{1,2}(?P=s5)[0-9]{4})(?!\w|[-/.][0-9]))"
 )
 _HINT = re.compile(r"[0-9]|@")
+_TOKEN = re.compile(r"\w+")
 #: Letters that a mail name may hold; a letter stays within its row.
 ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -170,18 +171,34 @@ REPLACE: dict[str, Callable[[str, bytes], str | None]] = {
 }
 
 
+def _accepted(kind: str, s: str, key: bytes) -> tuple[str, int] | None:
+    """The pseudonym and the length of the value; an IBAN may have taken in tokens that follow it."""
+    while (new := REPLACE[kind](s, key)) is None:
+        if kind != "iban" or " " not in s:
+            return None
+        s = s[: s.rindex(" ")]
+    return new, len(s)
+
+
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
-    """The text with pseudonyms, and what was replaced: kind, first and last character in the old text."""
+    """The text with pseudonyms, and what was replaced: kind, first and last character in the old text.
+
+    After a value that fails its check the search goes on behind its first token.
+    """
     if not text or not _HINT.search(text):
         return text, []
-    found, out, at = [], [], 0
-    for m in PATTERN.finditer(text):
+    found, out, at, seek = [], [], 0, 0
+    while m := PATTERN.search(text, seek):
         kind = next(k for k in KINDS if m[k] is not None)
-        new = REPLACE[kind](m.group(), key)
-        if new is not None:
+        got = _accepted(kind, m.group(), key)
+        if got is not None:
+            new, length = got
             out += [text[at : m.start()], new]
-            at = m.end()
-            found.append((kind, m.start(), m.end()))
+            at = seek = m.start() + length
+            found.append((kind, m.start(), at))
+        else:
+            token = _TOKEN.match(text, m.start())
+            seek = token.end() if token else m.start() + 1
     return "".join([*out, text[at:]]), found
 
 

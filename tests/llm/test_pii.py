@@ -28,6 +28,19 @@ def test_values_that_fail_their_check_stay():
     assert pseudonymise(text, KEY) == (text, [])
 
 
+def test_a_failed_candidate_hides_no_value():
+    iban = "ES91 2100 0418 4502 0005 1332"
+    alone = pseudonymise(iban, KEY)[0]
+    for tail in ("EUR", "2024", "AMOUNT", "AB12 CD34", "2024 EUR."):
+        assert pseudonymise(f"to {iban} {tail}", KEY) == (f"to {alone} {tail}", [("iban", 3, 3 + len(iban))])
+    assert pseudonymise(iban.replace(" ", "") + " EUR", KEY)[0] == alone.replace(" ", "") + " EUR"
+    assert pseudonymise(f"AB12 {iban}", KEY)[0] == f"AB12 {alone}"
+    card = "4111 1111 1111 1111"
+    for lead in ("ID12 ", "1234 "):
+        new, found = pseudonymise(lead + card, KEY)
+        assert found == [("card", 5, 24)] and new == lead + pseudonymise(card, KEY)[0] != lead + card
+
+
 def test_rows(spark, docs, no_docs):
     out = pseudonymise_documents(docs.withColumn("spans", F.lit(1)))
     assert out.count() == docs.count() and out.where("n_found > 0").count() == 0
