@@ -44,7 +44,8 @@ class WordEncoder:
     follows, whatever comes before, and merges nothing across such a cut. So
     the ids of a text are those of its words, each with the space before it.
     It cuts around a lone line end and between a letter and a mark as well.
-    New words of a batch are encoded as one text, a line each.
+    New words of a batch are encoded as one text, a line each. A text that holds
+    an added token, such as ``<|endoftext|>``, is encoded whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -52,7 +53,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cached = cached
         #: By the word, ids of the word with a space before it; words of an earlier time are moved over when met again.
@@ -120,6 +121,9 @@ class WordEncoder:
             if not text:
                 cut.append(None)
                 continue
+            if any(t in text for t in self.added):
+                cut.append((text, ()))
+                continue
             if _SPACES.search(text):
                 first, *words = _BEFORE_WORD.split(text)
                 words = [w[1:] for w in words]  # none begins with a line end: a non-space character follows the space

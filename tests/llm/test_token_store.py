@@ -47,6 +47,13 @@ def test_words_encode_like_whole_texts(text):
     assert [np.frombuffer(x, "<u2").tolist() for x in enc.batch(texts)] == whole([t or "" for t in texts])
 
 
+def test_added_tokens_keep_their_id():
+    enc = WordEncoder(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", "\n <|endoftext|>\n\n<|endoftext|> x", "a <|endoftext| > b", "a b"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.batch(texts)] == whole(texts)
+    assert tokenizer().token_to_id("<|endoftext|>") in whole(texts[:1])[0]
+
+
 def test_store_round_trip(spark, docs, corpus, no_docs, tmp_path):
     path = P.path("byte_bpe_50k.json")
     write_store(docs, str(tmp_path / "s"), path, shard_ids=500)
