@@ -164,7 +164,12 @@ def identify(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, that is, not ``und``; all columns stay as they are."""
+    """The rows of ``docs`` whose text has a language, that is, not ``und``; all columns stay as they are.
+
+    Every text with a letter has one, whatever its score, also when no language was learned.
+    """
     model = fit(docs.where(~held_out()), params)
+    if not model.languages:
+        model = Model(["unknown"], np.zeros(1), np.zeros((params.buckets, 1), np.float32), params)
     cols = docs.columns
     return predict(docs, model, cols, out=("__lang_pred", "__score")).where("__lang_pred <> 'und'").select(*cols)

@@ -359,7 +359,18 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
 def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The rows of ``docs`` whose id stands for its group; columns as they came.
 
-    Of rows that repeat a kept id, all stay.
+    Of rows that repeat a kept id, all stay. Rows with a null id are documents
+    of their own, numbered above all ids or, where ids go beyond 2**62, below:
+    one row of each group of these stays too. Ids near both ends of the long
+    range beside null ids are an error.
     """
-    kept = near_duplicates(docs, params).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    unnamed, rows = docs.where("doc_id is null"), docs.withColumn("__id", F.col("doc_id"))
+    if not unnamed.isEmpty():
+        # The number is not the same each time it is computed, so it is written once.
+        low, high = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+        number = F.monotonically_increasing_id()
+        number = number + F.lit(high + 1) if high < 1 << 62 else F.lit(low - 1) - number
+        numbered = Scratch(docs.sparkSession, "unnamed").keep(unnamed.withColumn("__id", number), "numbered")
+        rows = rows.where("doc_id is not null").unionByName(numbered)
+    kept = near_duplicates(rows, params, "__id").where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return rows.join(kept, rows["__id"] == kept["__kept"], "left_semi").drop("__id")

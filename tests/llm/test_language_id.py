@@ -43,3 +43,9 @@ def test_defined_results(docs, corpus, no_docs, spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, t in texts.items() if any(c.isalpha() for c in t or "")}
     none = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in identify(none).collect()] == [("und", 0.0)]
+
+
+def test_letters_stay_when_no_language_is_known(spark):
+    rows = [(1, "abc", None), (2, "12 .", None), (3, None, None), (4, "d", None)]
+    kept = keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]

@@ -59,6 +59,18 @@ def test_empty_tables_and_columns(no_docs, docs):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_rows_without_id_stay_once_a_group(spark):
+    same = "one two three four five six seven"
+    rows = [(None, "alone with words of its own here", "a"), (None, same, "b"), (None, same, "c"), (None, "", "d"), (None, None, "e"),
+            (7, "seven eight nine ten eleven twelve", "f"), (None, "seven eight nine ten eleven twelve", "g"), (9, "x y", "h")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert kept.columns == ["doc_id", "text", "source"]
+    got = sorted(r.source for r in kept.collect())
+    assert len([s for s in got if s in "bc"]) == 1 and [s for s in got if s not in "bc"] == list("adefh")
+    nameless = keep_one(spark.createDataFrame(rows[:5], "doc_id long, text string, source string"))
+    assert nameless.count() == 4
+
+
 def test_shingles_of_short_texts():
     assert len(shingle_set("a b c")) == 1 and len(shingle_set("")) == 0 and len(shingle_set(None)) == 0
     assert len(shingle_set("a b c d e f")) == 2
