@@ -1,47 +1,14 @@
-"""Connected components: forests within tasks, then alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.runtime import Scratch
 
-#: A task joins so many edges at a time before it passes their forest on.
-FOREST_EDGES = 500_000
-
-
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges to stars ``(u, v)`` with the same components, as far as the edges at hand tell; a lone loop stays one."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def stars() -> pa.RecordBatch:
-        top = {x: find(x) for x in root}
-        centres = {r for x, r in top.items() if x != r}
-        kept = [(x, r) for x, r in top.items() if x != r or x not in centres]
-        root.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-    seen = 0
-    for batch in batches:
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            p, q = find(root.setdefault(u, u)), find(root.setdefault(v, v))
-            root[max(p, q)] = min(p, q)
-        seen += batch.num_rows
-        if seen >= FOREST_EDGES:
-            yield stars()
-            seen = 0
-    yield stars()
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node sends its larger neighbours to its smallest neighbour or itself."""
@@ -67,24 +34,31 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
-def connected_components(edges: DataFrame, src: str = "src", tgt: str = "tgt", max_rounds: int = 60) -> DataFrame:
+def connected_components(
+    edges: DataFrame, src: str = "src", tgt: str = "tgt", max_rounds: int = 60, condense: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """One row ``(node, component)`` per node of an edge; component is its smallest node.
 
-    Nodes are integers. Self loops give a component of their own; edges with a
-    null end are ignored; repeated and reversed edges count once. An empty edge
-    table gives an empty result. A task first joins the edges that it holds;
-    the number of rounds between tasks grows with the logarithm of the
+    Nodes may be of any type that has an order; strings are ordered by code
+    point. Self loops give a component of their own; edges with a null end are
+    ignored; repeated and reversed edges count once. An empty edge table gives
+    an empty result. The number of rounds grows with the logarithm of the
     component size, not with its diameter, and every round is written to the
     shared scratch folder, so a lost executor costs one round at most.
+
+    ``condense`` may replace the edges ``(u, v)`` before each round by fewer
+    ones with the same nodes and components, for example those of a forest of
+    the edges that a task holds.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    clean = edges.select(F.col(src).cast("long").alias("u"), F.col(tgt).cast("long").alias("v")).where("u is not null and v is not null")
-    base = scratch.keep(clean.mapInArrow(_forests, "u long, v long"), "edges")
+    fewer = condense or (lambda e: e)
+    clean = edges.select(F.col(src).alias("u"), F.col(tgt).alias("v")).where("u is not null and v is not null")
+    base = scratch.keep(fewer(clean), "edges")
     now, current = base.where("u <> v"), None
     for _ in range(max_rounds):
         if _settled(now):
             break
-        step = scratch.keep(_small_star(_large_star(now.mapInArrow(_forests, "u long, v long").where("u <> v"))), "star")
+        step = scratch.keep(_small_star(_large_star(fewer(now).where("u <> v"))), "star")
         scratch.drop(current)
         now = current = step
     else:
