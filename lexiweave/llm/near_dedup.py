@@ -35,6 +35,8 @@ from lexiweave.runtime import Scratch
 
 #: Ids of so many pairs, 16 bytes each, are broadcast to thin out the texts before these are shuffled; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
+#: A task joins so many links at a time before it passes their forest on.
+FOREST_EDGES = 500_000
 
 
 @dataclass(frozen=True)
@@ -241,13 +243,47 @@ def _whole_sets(words: int):
     return run
 
 
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to stars ``(u, v)`` with the same components, as far as the edges at hand tell; a lone loop stays one."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        top = {x: find(x) for x in root}
+        centres = {r for x, r in top.items() if x != r}
+        kept = [(x, r) for x, r in top.items() if x != r or x not in centres]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    seen = 0
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = find(root.setdefault(u, u)), find(root.setdefault(v, v))
+            root[max(p, q)] = min(p, q)
+        seen += batch.num_rows
+        if seen >= FOREST_EDGES:
+            yield stars()
+            seen = 0
+    yield stars()
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """Components of links ``(a, b)`` between ids; each task joins the links it holds before they are shuffled."""
+    return connected_components(edges, "a", "b", condense=lambda e: e.mapInArrow(_forests, "u long, v long"))
+
+
 def _joined_up(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``found(node, component)`` after further links ``(a, b)``, which join whole components."""
     side = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     if links.isEmpty():
         return found
     moved = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    joined = scratch.keep(connected_components(moved, "a", "b").withColumnRenamed("component", "to"), "joined")
+    joined = scratch.keep(_components(moved).withColumnRenamed("component", "to"), "joined")
     known = found.join(joined.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     # Ends that no earlier link had are nodes of their own until now.
     return scratch.keep(known.union(joined.select("node", "to")).groupBy("node").agg(F.min("component").alias("component")), "found")
@@ -314,7 +350,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
 
     # The likeliest pair of each class first: what those connect need not be confirmed pair by pair.
     first = likely.groupBy("b").agg(F.max_by(F.struct("a", "sure", "est"), F.struct("est", -F.col("a"))).alias("x")).select("x.a", "b", "x.sure", "x.est")
-    found = scratch.keep(connected_components(confirmed(first, "first"), "a", "b"), "found")
+    found = scratch.keep(_components(confirmed(first, "first")), "found")
     found = _joined_up(found, confirmed(across(likely, found), "second"), scratch)
 
     # Long lists: what the hubs left apart. A similar pair shares well over a quarter of the indexed values,
