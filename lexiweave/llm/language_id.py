@@ -10,17 +10,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: So many languages are learned at most; the model has ``buckets`` numbers for each.
-MOST_LANGUAGES = 512
+from lexiweave.runtime import Scratch
+
+#: n-grams times languages that are looked up at a time.
+PIECE = 1 << 21
 
 
 @dataclass(frozen=True)
 class Params:
-    """n-grams of 1 to ``longest`` characters, hashed to ``buckets``; ``smooth`` is added to every count."""
+    """n-grams of 1 to ``longest`` characters, hashed to ``buckets``; ``smooth`` is added to every count.
+
+    ``buckets`` and ``model`` are powers of two. The model has ``model``
+    numbers at most, whatever the number of languages: beyond ``model /
+    buckets`` languages (512) each has fewer buckets.
+    """
 
     longest: int = 3
     buckets: int = 1 << 16
     smooth: float = 0.5
+    model: int = 1 << 25
 
 
 def grams(text: str, p: Params) -> np.ndarray:
@@ -85,41 +93,58 @@ def fit(docs: DataFrame, params: Params = Params(), text_col: str = "text", lang
     """Learn from every row with a text and a language.
 
     Tasks count n-grams, Spark sums the counts; what reaches the driver is the
-    model itself, at most ``buckets * MOST_LANGUAGES`` numbers.
+    model itself, language by language.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    summed = rows.mapInArrow(_counts(params), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by_lang = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x"))
-    found = {}
-    for row in by_lang.toLocalIterator():
-        if len(found) >= MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        found[row["lang"]] = np.array([(y["bucket"], y["n"]) for y in row["x"]], np.int64)
-    languages = sorted(found)
+    counted = rows.mapInArrow(_counts(params), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    scratch = Scratch(docs.sparkSession, "language")
+    counted = scratch.keep(counted, "counts")
+    languages = sorted(r["lang"] for r in counted.where("bucket = -1").select("lang").toLocalIterator())
+    buckets = params.buckets
+    while buckets > 1 and buckets * len(languages) > params.model:
+        buckets //= 2
+    of = {lang: j for j, lang in enumerate(languages)}
     prior = np.zeros(len(languages))
-    weights = np.full((params.buckets, len(languages)), params.smooth)
-    for j, lang in enumerate(languages):
-        at = found[lang]
-        prior[j] = at[at[:, 0] == -1, 1].sum()
+    weights = np.full((buckets, len(languages)), params.smooth, np.float32)
+    for row in counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).toLocalIterator():
+        at = np.array([(y["bucket"], y["n"]) for y in row["x"]], np.int64)
+        own = np.full(buckets, params.smooth)
         real = at[at[:, 0] >= 0]
-        weights[real[:, 0], j] += real[:, 1]
-    if languages:
-        weights = np.log(weights / weights.sum(0))
-        prior = np.log(prior / prior.sum())
-    return Model(languages, prior, weights.astype(np.float32), params)
+        np.add.at(own, real[:, 0] % buckets, real[:, 1])
+        weights[:, of[row["lang"]]] = np.log(own / own.sum())
+        prior[of[row["lang"]]] = at[at[:, 0] == -1, 1].sum()
+    scratch.close()
+    return Model(languages, np.log(prior / prior.sum()) if languages else prior, weights, params)
+
+
+def _logs(model: Model, texts: list[str]) -> np.ndarray:
+    """Log-probability of each text (rows) in each language (columns).
+
+    The n-grams of all texts are looked up one after another, in pieces of
+    bounded size, whatever the length of a text, and summed by text.
+    """
+    found = [grams(t, model.params) for t in texts]
+    buckets, ends = np.concatenate(found) % np.uint32(len(model.weights)), np.cumsum([len(g) for g in found])
+    logs = np.tile(model.prior, (len(texts), 1))
+    step = max(1, PIECE // len(model.languages))
+    for at in range(0, len(buckets), step):
+        to = min(at + step, len(buckets))
+        first, last = np.searchsorted(ends, at, "right"), np.searchsorted(ends, to - 1, "right")
+        starts = np.concatenate([[0], ends[first:last] - at])
+        # Texts without an n-gram have no letter and are not here, so no two starts are equal.
+        logs[first : last + 1] += np.add.reduceat(model.weights[buckets[at:to]], starts, axis=0, dtype=np.float64)
+    return logs
 
 
 def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    names, scores = [], []
-    for text in texts:
-        if not model.languages or not has_letter(text):
-            names.append("und")
-            scores.append(0.0)
-            continue
-        logs = model.weights[grams(text, model.params)].sum(0, dtype=np.float64) + model.prior
-        best = int(np.argmax(logs))
-        names.append(model.languages[best])
-        scores.append(float(1 / np.exp(logs - logs[best]).sum()))
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    at = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
+    if at:
+        logs = _logs(model, [texts[i] for i in at])
+        best = np.argmax(logs, 1)
+        share = 1 / np.exp(logs - logs[np.arange(len(at)), best][:, None]).sum(1)
+        for i, j, x in zip(at, best, share, strict=True):
+            names[i], scores[i] = model.languages[j], float(x)
     return names, scores
 
 
@@ -128,8 +153,10 @@ def predict(
 ) -> DataFrame:
     """``keep`` columns with the two of ``out``, language and score, added from the text alone.
 
-    A null text and one without a letter is ``und`` with score 0, as is every
-    text when no language was learned. Ties go to the first language by name.
+    A null text and one without a letter is ``und`` with score 0. So is every
+    text when there is no labelled text to learn from: then there is no
+    language to name. Ties go to the first language by name. A text may have
+    any length; what is looked up at a time is bounded.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.select(*keep).schema]
@@ -137,8 +164,8 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 names, scores = _predict(shared.value, part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(fields))), pa.array(names, pa.string()), pa.array(scores, pa.float64())],

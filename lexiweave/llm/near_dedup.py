@@ -35,6 +35,8 @@ from lexiweave.runtime import Scratch
 
 #: Ids of so many pairs, 16 bytes each, are broadcast to thin out the texts before these are shuffled; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
+#: Words whose hashes a task remembers.
+CACHED_WORDS = 200_000
 #: A task joins so many links at a time before it passes their forest on.
 FOREST_EDGES = 500_000
 
@@ -53,21 +55,22 @@ class Params:
     sigmas: float = 5.0
 
 
-class _WordHashes(dict):
-    """Hash of each word seen; emptied when it holds a million words."""
+class WordHashes(dict):
+    """Hash of each word seen; emptied when it holds too many words. One task has one."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
-_WORDS = _WordHashes()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+def shingle_set(text: str | None, words: int = 5, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct shingle hashes of a text, as positive int64.
 
     A text of fewer words is one shingle of all its words; no text or no word
@@ -77,7 +80,8 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not tokens:
         return np.empty(0, np.int64)
-    h = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    known = WordHashes() if hashes is None else hashes
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     n = min(words, len(tokens))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - n + 1, np.uint64(n), np.uint64)
@@ -91,10 +95,11 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
 
 def _sketches(k: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t, words) for t in texts.slice(at, 256).to_pylist()]
+                sets = [shingle_set(t, words, hashes) for t in texts.slice(at, 256).to_pylist()]
                 sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -108,14 +113,15 @@ def _sketches(k: int, words: int):
 
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             keep, last, last_set = [], None, None
             left, right = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 t = left[i].as_py()
                 if t != last:
-                    last, last_set = t, shingle_set(t, words)
-                other = shingle_set(right[i].as_py(), words)
+                    last, last_set = t, shingle_set(t, words, hashes)
+                other = shingle_set(right[i].as_py(), words, hashes)
                 both = len(np.intersect1d(last_set, other, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(last_set) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -234,11 +240,12 @@ def _block_links(members: DataFrame, sets: DataFrame, scratch: Scratch, p: Param
 
 def _whole_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column(1).slice(at, 256).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), pa.array([shingle_set(t, words) for t in texts], pa.list_(pa.int64()))], names=["rep", "shingles"]
+                    [batch.column(0).slice(at, 256), pa.array([shingle_set(t, words, hashes) for t in texts], pa.list_(pa.int64()))], names=["rep", "shingles"]
                 )
     return run
 
