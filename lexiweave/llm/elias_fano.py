@@ -43,25 +43,27 @@ class EliasFano:
         """Value ``i``."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        start = int(self.marks[i // STRIDE])
-        left, byte = i % STRIDE, start // 8
-        skip = start % 8
-        while True:
-            bits = np.unpackbits(self.high[byte : byte + 64], bitorder="little")[skip:]
-            ones = np.flatnonzero(bits)
-            if left < len(ones):
-                at = byte * 8 + skip + int(ones[left])
-                break
-            left, byte, skip = left - len(ones), byte + 64, 0
-        first = i * self.low_bits
-        low = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 :][: self.low_bits]
-        return (at - i << self.low_bits) + sum(int(b) << k for k, b in enumerate(low))
+        return int(self.select_range(i, i + 1)[0])
+
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """Values ``first`` to ``last - 1``, as int64; reads only their part of both bit strings."""
+        if first >= last:
+            return np.empty(0, np.int64)
+        mark = int(self.marks[first // STRIDE])
+        end = int(self.marks[(last - 1) // STRIDE + 1]) + 1 if (last - 1) // STRIDE + 1 < len(self.marks) else len(self.high) * 8
+        bits = np.unpackbits(self.high[mark // 8 : (end + 7) // 8], bitorder="little")
+        bits[: mark % 8] = 0
+        skip = first % STRIDE
+        at = np.flatnonzero(bits)[skip : skip + last - first] + mark // 8 * 8
+        b0 = first * self.low_bits
+        count = (last - first) * self.low_bits
+        low = np.unpackbits(self.low[b0 // 8 : (b0 + count + 7) // 8], bitorder="little")[b0 % 8 : b0 % 8 + count]
+        low = low.reshape(last - first, self.low_bits).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        return (at - np.arange(first, last) << self.low_bits) + low
 
     def all(self) -> np.ndarray:
         """Every value, as int64."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits).astype(np.int64)
-        return (at - np.arange(self.n) << self.low_bits) + low @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        return self.select_range(0, self.n)
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.marks))

@@ -4,7 +4,7 @@ A store is a folder with two tables. ``shards`` has one row per shard: the ids
 of its documents one after another (``ids``, little-endian, ``id_bytes`` each),
 the documents' ids (``doc_ids``) and, in ``ends``, the Elias-Fano coded ends of
 the documents within the shard. ``index`` has one row per shard: the number of
-ids and documents before it. Shards follow each other in ascending document id.
+ids before it. Shards follow each other in ascending document id.
 """
 
 from __future__ import annotations
@@ -18,17 +18,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.llm.elias_fano import EliasFano
+from lexiweave.runtime import running_total
 
 SHARDS = (
     "part int, seq int, n_docs long, n_ids long, id_bytes int, doc_ids array<long>, ends binary, ids binary"
 )
 #: A shard is closed at so many ids; one longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-#: Encoded words that a Python worker keeps, twice over.
+#: Encoded words that a Python worker keeps, twice over; once between tasks.
 CACHED_WORDS = 300_000
 
 _SPACE, _SPACES = re.compile(r"\s"), re.compile(r"\s\s")
@@ -98,22 +99,24 @@ class WordEncoder:
     def _encode(self, words: list[str], lead: str, space: str) -> None:
         """Encode words after a space, or after the line end they begin with, many at a time."""
         before, skip = (self._bytes(lead), len(lead)) if lead else (b"", 0)
-        plain = []
-        for w in words:
-            rest = w[skip:]
-            if not rest or len(self.line) != 1 or _SPACE.search(rest):
-                self.known[w] = self._bytes(space + w if space else w)
-            else:
-                plain.append(w)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self._ids("".join(f"{space}{w[skip:]}\n" for w in part)), f"<u{self.width}")
-            ends, raw, start = np.flatnonzero(ids == self.line[0]).tolist(), ids.tobytes(), 0
+        known, width = self.known, self.width
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            rests = [w[skip:] for w in part] if skip else part
+            if len(self.line) != 1 or "" in rests or _SPACE.search("".join(rests)):  # a word that lines cannot part is encoded by itself
+                odd = [len(self.line) != 1 or not r or bool(_SPACE.search(r)) for r in rests]
+                for w in (w for w, x in zip(part, odd, strict=True) if x):
+                    known[w] = self._bytes(space + w if space else w)
+                part, rests = ([y for y, x in zip(z, odd, strict=True) if not x] for z in (part, rests))
+            if not part:
+                continue
+            ids = np.array(self._ids(space + f"\n{space}".join(rests) + "\n"), f"<u{width}")
+            ends, raw, start = (np.flatnonzero(ids == self.line[0]) * width).tolist(), ids.tobytes(), 0
             if len(ends) != len(part):
                 raise ValueError("this tokenizer joins words to line ends")
             for w, end in zip(part, ends, strict=True):
-                self.known[w] = before + raw[start * self.width : end * self.width]
-                start = end + 1
+                known[w] = before + raw[start:end]
+                start = end + width
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         cut, new, known = [], set(), self.known
@@ -135,9 +138,21 @@ class WordEncoder:
         self._learn(new)
         if self.known is not known:  # a new time has begun: words met before it must be at hand too
             self._learn({w for c in cut if c for w in c[1]} - self.known.keys())
+        # What stands before the first cut, and texts with an added token, go to the library together.
+        whole = [c[0] for c in cut if c and c[0]]
+        firsts = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
         get = self.known.__getitem__
         for c in cut:
-            yield b"" if c is None else (self._bytes(c[0]) if c[0] else b"") + b"".join(map(get, c[1]))
+            if c is None:
+                yield b""
+            else:
+                first = np.array(next(firsts).ids, f"<u{self.width}").tobytes() if c[0] else b""
+                yield first + b"".join(map(get, c[1]))
+
+    def rest(self) -> None:
+        """Between tasks: keep the words of the present time only."""
+        self.older = {}
+        self.tails.clear()
 
 
 @lru_cache(maxsize=2)
@@ -176,6 +191,7 @@ def _pack(path: str, end_id: int, shard_ids: int):
                     docs, ends, ids, total, seq = [], [], [], 0, seq + 1
         if docs:
             yield shard()
+        encode.rest()
 
     return run
 
@@ -192,25 +208,33 @@ def write_store(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(_pack(tokenizer, end_id, shard_ids), SHARDS).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/shards")
-    spark = docs.sparkSession
-    w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    spark.read.schema(SHARDS).parquet(f"{path}/shards").select(
-        "part", "seq", "n_docs", "n_ids", F.coalesce(F.sum("n_docs").over(w), F.lit(0)).alias("docs_before"), F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("ids_before"),
-    ).write.mode("overwrite").parquet(f"{path}/index")
+    shards = docs.sparkSession.read.schema(SHARDS).parquet(f"{path}/shards").select("part", "seq", "n_docs", "n_ids")
+    running_total(shards, group=[], buckets={"part": F.col("part")}, order=["seq"], out="ids_before", value=F.col("n_ids")).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[EliasFano, np.ndarray, pa.Array, int]]:
+    """Of each shard the boundaries, the ids (a view, no copy), the documents and the number of ids before it."""
+    docs, ends, ids, width = (batch.column(c) for c in ("doc_ids", "ends", "ids", "id_bytes"))
+    before = batch.column("ids_before") if "ids_before" in batch.schema.names else None
+    for i in range(batch.num_rows):
+        yield (
+            EliasFano.from_bytes(ends[i].as_py()), np.frombuffer(ids[i].as_buffer(), f"<u{width[i].as_py()}"), docs[i].values,
+            before[i].as_py() if before is not None else 0,
+        )
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            ends = EliasFano.from_bytes(row["ends"]).all()
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
-            for at in range(0, len(ends), 512):
-                a, b = starts[at : at + 512], ends[at : at + 512]
+        for bounds, ids, docs, before in _rows(batch):
+            start = 0
+            for at in range(0, bounds.n, 512):
+                ends = bounds.select_range(at, min(at + 512, bounds.n))
+                starts = np.concatenate([[start], ends[:-1]])
+                start = int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["doc_ids"][at : at + 512], pa.int64()), pa.array(a + row["ids_before"]), pa.array(b - a),
-                        pa.array([zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(a, b, strict=True)], pa.int64()),
+                        docs.slice(at, 512), pa.array(starts + before), pa.array(ends - starts),
+                        pa.array([zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(starts, ends, strict=True)], pa.int64()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
@@ -226,12 +250,32 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of a store: ``doc_id, ids``."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ends = EliasFano.from_bytes(row["ends"]).all()
-                ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype(np.int32)
-                parts = np.split(ids, ends[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for bounds, ids, docs, _ in _rows(batch):
+                start = 0
+                for at in range(0, bounds.n, 512):
+                    ends = bounds.select_range(at, min(at + 512, bounds.n))
+                    parts = np.split(ids[start : int(ends[-1])].astype(np.int32), ends[:-1] - start)
+                    start = int(ends[-1])
+                    yield pa.RecordBatch.from_arrays([docs.slice(at, 512), pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return spark.read.schema(SHARDS).parquet(f"{path}/shards").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def document_ids(spark: SparkSession, path: str, doc_ids: DataFrame) -> DataFrame:
+    """``doc_id, ids`` of the documents in ``doc_ids(doc_id)``: in a shard, only their boundaries are selected and only their ids read."""
+    wanted = doc_ids.select("doc_id").where("doc_id is not null").distinct()
+    shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
+    hits = shards.select("part", "seq", F.posexplode("doc_ids").alias("at", "doc_id")).join(wanted, "doc_id")
+    places = hits.groupBy("part", "seq").agg(F.collect_list("at").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (bounds, ids, docs, _), places in zip(_rows(batch), batch.column("places"), strict=True):
+                for at in places.as_py():
+                    start = bounds.select(at - 1) if at else 0
+                    own = ids[start : bounds.select(at)].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([docs.slice(at, 1), pa.array([own], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return shards.join(places, ["part", "seq"]).mapInArrow(run, "doc_id long, ids array<int>")

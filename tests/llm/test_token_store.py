@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexiweave.llm.elias_fano import EliasFano
-from lexiweave.llm.token_store import WordEncoder, read_ids, read_store, write_store
+from lexiweave.llm.token_store import WordEncoder, document_ids, read_ids, read_store, write_store
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -21,6 +22,7 @@ def test_elias_fano_round_trip(gaps):
     assert ef.all().tolist() == values.tolist()
     for i in range(0, len(values), max(1, len(values) // 7)):
         assert ef.select(i) == values[i]
+        assert ef.select_range(i, min(i + 300, len(values))).tolist() == values[i : i + 300].tolist()
 
 
 def test_elias_fano_space():
@@ -69,3 +71,13 @@ def test_store_round_trip(spark, docs, corpus, no_docs, tmp_path):
     assert Counter((r.doc_id, tuple(r.ids)) for r in back) == Counter((r[0], tuple(x)) for r, x in zip(ordered, ids, strict=True))
     write_store(no_docs, str(tmp_path / "e"), path)
     assert read_store(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_single_documents_and_long_texts(spark, tmp_path):
+    path, store = P.path("byte_bpe_50k.json"), str(tmp_path / "s")
+    texts = {1: "a b " * 30_000, 2: None, 3: "x" * 20_000, 4: "end", 5: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("ids", "part", "seq", "ends")})
+    write_store(df, store, path, shard_ids=1000)
+    got = {r.doc_id: r.ids for r in document_ids(spark, store, df.where("doc_id in (1, 3, 4, 9)")).collect()}
+    assert got == {i: whole([texts[i]])[0] + [2] for i in (1, 3, 4)}
+    assert {r.doc_id: r.ids for r in read_ids(spark, store).collect()} == {i: x + [2] for i, x in zip(texts, whole([t or "" for t in texts.values()]), strict=True)}
