@@ -48,8 +48,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiweave.llm.lm_scoring import score
 
-    held_out = F.substring(F.sha1(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 1).isin("0", "1", "2")
-    out = score(table(spark, sf_dir, "documents"), ~held_out)
+    out = score(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("per_word", 6).alias("per_word"))
 
 
@@ -93,12 +92,16 @@ SQL: dict[str, str] = {
     r(node, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node WHERE r.root < e.y),
     c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
     SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id, c.root = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = doc_id""",
-    "op6_stupid_backoff": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-    o AS (SELECT doc_id, CASE WHEN i > 1 THEN w[i - 1] END AS prev, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-    tr AS (SELECT * FROM o WHERE doc_id IN (SELECT doc_id FROM documents WHERE left(sha1(doc_id::VARCHAR), 1) NOT IN ('0', '1', '2'))), u AS (SELECT word, count(*) AS n FROM tr GROUP BY word), b AS (SELECT prev, word, count(*) AS n FROM tr WHERE prev IS NOT NULL GROUP BY ALL),
-    p AS (SELECT doc_id, CASE WHEN b.n > 0 THEN b.n / c.n WHEN o.prev IS NULL THEN coalesce(u.n, 1) / (SELECT sum(n) FROM u) ELSE 0.4::DOUBLE * (coalesce(u.n, 1) / (SELECT sum(n) FROM u)) END AS p
-        FROM o LEFT JOIN b ON b.prev = o.prev AND b.word = o.word LEFT JOIN u c ON c.word = o.prev LEFT JOIN u ON u.word = o.word)
-    SELECT doc_id, n_words, log_score, per_word FROM (SELECT doc_id, count(p) AS n_words, round(coalesce(sum(ln(p)), 0.0), 3) AS log_score, round(sum(ln(p)) / count(p), 6) AS per_word FROM d LEFT JOIN p USING (doc_id) GROUP BY doc_id)""",
+    "op6_stupid_backoff": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    o AS (SELECT doc_id, n_words, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS p, CASE WHEN i > 2 THEN w[i - 2] END AS q FROM (SELECT doc_id, w, len(w) AS n_words, unnest(range(1, len(w) + 1)) AS i FROM d)),
+    m1 AS (SELECT doc_id, x, count(*) AS n FROM o GROUP BY ALL), m2 AS (SELECT doc_id, p, x, count(*) AS n FROM o WHERE p IS NOT NULL GROUP BY ALL), m3 AS (SELECT doc_id, q, p, x, count(*) AS n FROM o WHERE q IS NOT NULL GROUP BY ALL),
+    c1 AS (SELECT x, sum(n) AS n FROM m1 GROUP BY ALL), c2 AS (SELECT p, x, sum(n) AS n FROM m2 GROUP BY ALL), c3 AS (SELECT q, p, x, sum(n) AS n FROM m3 GROUP BY ALL),
+    e1 AS (SELECT doc_id, x, c1.n - m1.n AS n FROM m1 JOIN c1 USING (x)), e2 AS (SELECT doc_id, p, x, c2.n - m2.n AS n FROM m2 JOIN c2 USING (p, x)), e3 AS (SELECT doc_id, q, p, x, c3.n - m3.n AS n FROM m3 JOIN c3 USING (q, p, x)),
+    s AS (SELECT o.doc_id, ln(CASE WHEN e3.n > 0 THEN e3.n / b2.n WHEN e2.n > 0 THEN (CASE WHEN i > 2 THEN 0.4::DOUBLE ELSE 1 END) * e2.n / b1.n
+            ELSE 0.4::DOUBLE ** least(i - 1, 2) * greatest(e1.n, 1) / greatest((SELECT sum(n) FROM c1) - n_words, 1) END) AS l
+        FROM o JOIN e1 ON e1.doc_id = o.doc_id AND e1.x = o.x LEFT JOIN e2 ON e2.doc_id = o.doc_id AND e2.p = o.p AND e2.x = o.x LEFT JOIN e3 ON e3.doc_id = o.doc_id AND e3.q = o.q AND e3.p = o.p AND e3.x = o.x
+        LEFT JOIN e1 b1 ON b1.doc_id = o.doc_id AND b1.x = o.p LEFT JOIN e2 b2 ON b2.doc_id = o.doc_id AND b2.p = o.q AND b2.x = o.p)
+    SELECT doc_id, n_words, log_score, per_word FROM (SELECT doc_id, count(l) AS n_words, round(coalesce(sum(l), 0.0), 3) AS log_score, round(sum(l) / count(l), 6) AS per_word FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id)""",
     "op10_decontaminate": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
     m AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
     bw AS (SELECT DISTINCT item_id::VARCHAR AS item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM m WHERE len(w) > 0)),

@@ -1,30 +1,65 @@
 import math
-from collections import Counter, defaultdict
+import random
+import time
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from lexiweave.llm.lm_scoring import score
-
-
-def test_against_brute_force(docs, corpus, no_docs):
-    words = lambda t: (t or "").lower().split()
-    uni, bi = Counter(), Counter()
-    for i, t, *_ in corpus:
-        if i % 2:
-            w = words(t)
-            uni.update(w)
-            bi.update(zip(w, w[1:]))
-    total = sum(uni.values())
-    want = defaultdict(lambda: [0, 0.0])
-    for i, t, *_ in corpus:
-        w = words(t)
-        for a, b in zip([None, *w], w):
-            share = (uni[b] or 1) / total
-            p = bi[a, b] / uni[a] if bi[a, b] else share if a is None else 0.4 * share
-            want[i][0] += 1
-            want[i][1] += math.log(p)
-    out = score(docs.withColumn("prev", F.lit(1)), F.col("doc_id") % 2 == 1).collect()
-    assert len(out) == len({r[0] for r in corpus})
-    for r in out:
-        assert r.n_words == want[r.doc_id][0] and abs(r.log_score - want[r.doc_id][1]) < 1e-6
-    assert score(no_docs, F.lit(True)).count() == 0
+from lexiweave.llm.lm_scoring import Params, score
+
+
+def words(text):
+    return (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+
+
+def brute(texts, order, alpha=0.4):
+    """``n_words, log_score`` of each text, by n-grams of the others."""
+    grams = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    own = [[grams(words(t), k) for k in range(1, order + 1)] for t in texts]
+    every = [sum((o[k] for o in own), Counter()) for k in range(order)]
+    out = []
+    for t, mine in zip(texts, own, strict=True):
+        w, log = words(t), 0.0
+        rest = lambda g: every[len(g) - 1][g] - mine[len(g) - 1][g]  # noqa: E731, B023
+        for i in range(len(w)):
+            factor = 1.0
+            for k in range(min(order, i + 1), 0, -1):
+                g = tuple(w[i - k + 1 : i + 1])
+                if k == 1:
+                    log += math.log(factor * max(rest(g), 1) / max(sum(every[0].values()) - len(w), 1))
+                elif rest(g) > 0:
+                    log += math.log(factor * rest(g) / rest(g[:-1]))
+                    break
+                factor *= alpha
+        out.append((len(w), log))
+    return out
+
+
+@pytest.mark.parametrize("order, hot, slices", [(1, 1, 1), (2, 1, 2), (3, 1, 1), (3, 1 << 16, 3), (4, 40, 2)])
+def test_against_brute_force(spark, docs, corpus, order, hot, slices):
+    want = brute([r[1] for r in corpus], order)
+    out = score(docs.withColumns({"h": F.lit(1), "k": F.lit(2), "tk": F.lit(3)}), Params(order=order, hot=hot, slices=slices)).collect()
+    key = lambda x: (x[0], x[1], round(x[2], 6))
+    got = sorted(key((r.doc_id, r.n_words, r.log_score)) for r in out)
+    exp = sorted(key((r[0], *x)) for r, x in zip(corpus, want, strict=True))
+    assert [x[:2] for x in got] == [x[:2] for x in exp]
+    assert max(abs(a[2] - b[2]) for a, b in zip(got, exp, strict=True)) < 1e-5
+    assert all((r.per_word is None) == (r.n_words == 0) for r in out)
+
+
+def test_null_ids_repeated_rows_and_no_rows(spark, no_docs):
+    rows = [(None, "a b c"), (None, "a b c"), (None, None), (1, ""), (1, "a b d"), (1, "A b d")]
+    out = score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute([r[1] for r in rows], 3)
+    assert sorted((str(r.doc_id), r.n_words, round(r.log_score, 6)) for r in out) == sorted((str(i), n, round(x, 6)) for (i, _), (n, x) in zip(rows, want, strict=True))
+    assert score(no_docs).count() == 0
+
+
+def test_time_is_linear_in_the_length_of_a_text(spark):
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(3000)}" for _ in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, text[: len(text) // 2])], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.n_words for r in score(df).collect()}
+    assert got == {1: 200_000, 2: len(text[: len(text) // 2].split())} and time.time() - began < 90
