@@ -1,10 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The hashes of all benchmark windows form a set that every task holds as a
-literal; a text's own windows are tested against it inside the row, so only
-hits leave the row. Each hit is then verified word by word against the
-benchmark. If the benchmark has more windows than ``most_literals``, the set
-is a table and the windows of texts are joined to it instead.
+The hashes of all benchmark windows are a broadcast hash set; the windows of a
+text are tested against it as they are cut, and only hits leave the task, with
+their words. Each hit is then verified word by word against the benchmark. A
+benchmark of more than ``SET_ROWS`` windows is several sets, one after another,
+so what is broadcast at a time is bounded, whatever the benchmark.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from lexiweave.runtime import Scratch
 #: Characters that separate words: all of ASCII but digits and lower-case letters.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to so many window hashes, 8 bytes each, go into the plan as a literal set.
-MOST_LITERALS = 50_000
+#: Window hashes in one broadcast set, 8 bytes each and about three times that in the hash table.
+SET_ROWS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -33,7 +33,7 @@ def windows_of(items: DataFrame, size: int, item_id: str = "item_id", text_col:
     """``(item_id, len, window, hash)`` of every window: ``size`` words, or all words of a shorter item."""
     w = items.select(F.col(item_id).cast("string").alias("item_id"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
     sized = w.select("item_id", "w", F.least(F.size("w"), F.lit(size)).alias("len"))
-    out = sized.select("item_id", "len", F.explode(F.expr("transform(sequence(1, size(w) - len + 1), i -> slice(w, i, len))")).alias("ws"))
+    out = sized.select("item_id", "len", F.explode_outer(F.expr("transform(sequence(1, size(w) - len + 1), i -> slice(w, i, len))")).alias("ws"))
     return out.select("item_id", "len", F.array_join("ws", " ").alias("window"), F.xxhash64("ws").alias("hash")).distinct()
 
 
@@ -42,31 +42,30 @@ def _places(size: int) -> Column:
     return F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _run(i: Column, size: int) -> Column:
+def _run(i: Column, size: int | Column) -> Column:
     return F.slice(F.col("w"), i, size)
 
 
-def _hits_in_row(keys: dict[int, list[int]]) -> Column:
-    """``array<struct<at, len, window>>`` of the runs of ``w`` whose hash is in the literal sets."""
-    def of(size: int, known: list[int]) -> Column:
-        at = F.filter(_places(size), lambda i: F.xxhash64(_run(i, size)).isin(known))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.array_join(_run(i, size), " ").alias("window")))
+def _hits(base: DataFrame, known: DataFrame, lengths: list[int], rows: bool) -> DataFrame:
+    """``doc_id, tk, n_words, at, len, window`` of the runs of ``w`` whose hash is in the broadcast table ``known(hash)``.
 
-    none = F.array().cast("array<struct<at:int,len:int,window:string>>")
-    return F.concat(none, *(of(size, known) for size, known in keys.items()))
-
-
-def _hits_by_join(base: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
-    """``(row, at, len, window)`` of the runs whose hash is in the table ``known(len, hash)``."""
-    def of(size: int) -> DataFrame:
-        runs = F.transform(_places(size), lambda i: F.struct(i.alias("at"), F.xxhash64(_run(i, size)).alias("hash"), F.array_join(_run(i, size), " ").alias("window")))
-        own = known.where(F.col("len") == size)
-        return base.select("row", F.inline(runs)).join(own, "hash").select("row", "at", "len", "window")
+    With ``rows`` also one row with ``at`` 0 for each input row. The runs are
+    cut as (place, length, hash); the words of a run are put together only
+    behind the join, in the same code-generated stage, so for hits alone.
+    """
+    def runs(size: int) -> Column:
+        return F.transform(_places(size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.xxhash64(_run(i, size)).alias("hash")))
 
-    return reduce(DataFrame.unionByName, [of(size) for size in lengths])
+    row = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("hash")))
+    cut = base.select("doc_id", "tk", "w", F.concat(*([row] if rows else []), *map(runs, lengths)).alias("runs"))
+    # Outer, as Spark would else test the size of the runs below, with the words cut anew for each run.
+    each = cut.select("doc_id", "tk", "w", F.inline_outer("runs")).where("at is not null")
+    mark = F.broadcast(known.select(F.col("hash").alias("known")))
+    tested = each.join(mark, each["hash"] == mark["known"], "left").where("at = 0 or known is not null")
+    return tested.select("doc_id", "tk", F.size("w").cast("long").alias("n_words"), "at", "len", F.when(F.col("at") > 0, F.array_join(_run(F.col("at"), F.col("len")), " ")).alias("window"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", most_literals: int = MOST_LITERALS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", set_rows: int = SET_ROWS) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, ``spans`` and ``tk``.
 
     ``spans`` lists the hit word ranges (first and last word, from 1), merged
@@ -78,16 +77,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     text = F.col(text_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tk"), words(text).alias("w")).withColumn("row", F.struct("doc_id", "tk"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tk"), words(text).alias("w"))
     windows = scratch.keep(windows_of(benchmark, size), "windows")
     known = windows.select("len", "hash").distinct()
     lengths = sorted(r["len"] for r in known.select("len").distinct().collect())
-    literal = known.count() <= most_literals
-    keys = {x: [] for x in lengths}
-    for r in known.collect() if literal else []:
-        keys[r["len"]].append(r["hash"])
-    own = scratch.keep(base.select("row", F.size("w").cast("long").alias("n_words"), (_hits_in_row(keys) if literal else F.array().cast("array<struct<at:int,len:int,window:string>>")).alias("hits")), "rows")
-    runs = own.where("size(hits) > 0").select("row", F.inline("hits")) if literal else _hits_by_join(base, known, lengths)
+    hashes = scratch.keep(known.select("hash").distinct(), "hashes")
+    sets = max(1, -(-hashes.count() // set_rows))
+    tested = [_hits(base, hashes.where(F.pmod("hash", F.lit(sets)) == k), lengths, k == 0) for k in range(sets) if lengths or k == 0]
+    own = scratch.keep(reduce(DataFrame.unionByName, tested), "rows")
+    runs = own.where("at > 0").select(F.struct("doc_id", "tk").alias("row"), "at", "len", "window")
     found = runs.join(windows.select("len", "window", "item_id"), ["len", "window"]).select("row", "at", "len", "item_id")
     # One row per place first: however many items share a passage, a place counts once.
     spot = found.select("row", "at", (F.col("at") + F.col("len") - 1).alias("to")).distinct()
@@ -104,7 +102,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
     marks = per_row.join(items, "row").select(
         F.col("row.doc_id").alias("__id"), F.col("row.tk").alias("__tk"), "n_hit", "n_items", "items", "spans"
     ).distinct()
-    own = own.select("row.doc_id", "row.tk", "n_words")
+    own = own.where("at = 0").select("doc_id", "tk", "n_words")
     return own.join(marks, own["doc_id"].eqNullSafe(marks["__id"]) & (own["tk"] == marks["__tk"]), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),

@@ -34,11 +34,11 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("literals", [50_000, 0])
-def test_against_brute_force(spark, literals):
+@pytest.mark.parametrize("set_rows", [2_000_000, 3])
+def test_against_brute_force(spark, set_rows):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").withColumns({"row": F.lit(1), "w": F.lit(2), "tk": F.lit(3), "hits": F.lit(4)})
     bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("len", F.lit(1))
-    got = [tuple(r)[:6] for r in scan(docs, bench, most_literals=literals).drop("spans", "tk").collect()]
+    got = [tuple(r)[:6] for r in scan(docs, bench, set_rows=set_rows).drop("spans", "tk").collect()]
     key = lambda r: (str(r[0]), r)
     assert sorted(got, key=key) == sorted((brute(i, t, ITEMS) for i, t in DOCS), key=key)
     kept = drop_contaminated(docs, bench)
@@ -57,3 +57,12 @@ def test_empty_tables(spark):
     none, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert scan(none, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
     assert [r.n_hit for r in scan(spark.createDataFrame(DOCS[:1], "doc_id long, text string"), items).collect()] == [0]
+
+
+def test_many_windows_and_long_texts(spark):
+    word = lambda i: f"w{i * 7919 % 100_003}"
+    item = " ".join(map(word, range(60_000)))
+    texts = [(1, " ".join(map(word, range(100, 20_100)))), (2, " ".join(map(word, range(70_000, 90_000)))), (3, item)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = scan(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in out} == {1: (20_000, 20_000, 1), 2: (20_000, 0, 0), 3: (60_000, 60_000, 1)}
