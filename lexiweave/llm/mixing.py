@@ -1,12 +1,15 @@
-"""Mixing sources to target weights: packed blocks, multinomial draws, index permutations.
+"""Mixing sources to target weights: packed blocks, drawn shards, index permutations.
 
 The words of each source, document after document, are packed into blocks of
-``block`` words. Every source has a quota of block slots. The slots are dealt
-to output shards by draws: the counts of the sources in a shard are drawn from
-what is left of the quotas (a multinomial without replacement), so shards vary
-and totals are exact. A source's n-th slot takes the block that a pseudorandom
-permutation of its block numbers gives for n; when all blocks are used, the
-next round has another permutation. Blocks are joined to slots by number.
+``block`` words. Every source has a quota of words, and so of block slots, the
+last one perhaps in part. All slots are dealt to output shards without
+replacement, by a keyed permutation of their numbers: the counts of the sources
+in a shard are a multivariate hypergeometric draw (a multinomial without
+replacement), so shards vary and totals are exact. Every slot is drawn where it
+is made, by the same rule at every size. A source's n-th slot takes the block
+that a pseudorandom permutation of its block numbers gives for n; when all
+blocks are used, the next round has another permutation. Blocks are joined to
+slots by number.
 """
 
 from __future__ import annotations
@@ -24,15 +27,13 @@ from lexiweave.runtime import Scratch, hash_buckets, running_total
 class Params:
     """``weights`` go to the sources in code-point order, null last, over and over; ``most`` bounds the repeats.
 
-    ``shard_slots`` is the mean number of slots of an output shard, ``most_shards``
-    bounds how many shards there are (then they are larger).
+    ``shard_slots`` is the number of slots of an output shard; the last one may have fewer.
     """
 
     weights: tuple[int, ...] = (1, 2, 3)
     most: int = 3
     block: int = 64
     shard_slots: int = 4096
-    most_shards: int = 1024
     seed: int = 20
 
 
@@ -61,7 +62,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def targets(sized: DataFrame, p: Params = Params()) -> DataFrame:
-    """``source, no_source, source_size, weight, target``: one row per source.
+    """``source, no_source, source_size, weight, target, s``: one row per source, numbered from 0 by ``s``.
 
     Targets share all words by weight; none is above ``most`` times its
     source's size, and the excess goes to the others by weight. Sources fill up
@@ -70,7 +71,7 @@ def targets(sized: DataFrame, p: Params = Params()) -> DataFrame:
     by = sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy("no_source", "source")
     weights = F.array(*[F.lit(float(w)) for w in p.weights])
-    w = by.withColumn("weight", F.get(weights, F.pmod(F.row_number().over(order) - 1, F.lit(len(p.weights)))))
+    w = by.withColumn("s", F.row_number().over(order) - 1).withColumn("weight", F.get(weights, F.pmod("s", F.lit(len(p.weights)))))
     ratio = Window.orderBy(F.col("source_size") / F.col("weight"), "no_source", "source")
     everything = Window.partitionBy(F.lit(0))
     before = ratio.rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +85,7 @@ def targets(sized: DataFrame, p: Params = Params()) -> DataFrame:
     ranked = level.withColumn("at", F.row_number().over(ratio))
     first = F.min(F.when(~F.col("full"), F.struct("at", "level"))).over(everything)
     return ranked.withColumn("first", first).select(
-        "source", "no_source", "source_size", "weight",
+        "source", "no_source", "source_size", "weight", "s",
         F.when(F.col("first").isNull() | (F.col("at") < F.col("first.at")), (p.most * F.col("source_size")).cast("double"))
         .otherwise(F.col("first.level") * F.col("weight")).alias("target"),
     )
@@ -108,28 +109,45 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draw_counts(quota: list[int], p: Params) -> np.ndarray:
-    """Slots of each source (columns) in each output shard (rows); columns add up to the quotas."""
-    total = sum(quota)
-    shards = min(p.most_shards, max(1, -(-total // p.shard_slots)))
-    rng = np.random.default_rng(p.seed)
-    left, out = np.array(quota, np.int64), []
-    for s in range(shards):
-        size = total * (s + 1) // shards - total * s // shards
-        # Beyond the size at which exact draws are offered, the multinomial over the shares, cut at what is left.
-        if left.sum() < 10**9:
-            got = rng.multivariate_hypergeometric(left, size, method="marginals")
-        else:
-            got = np.minimum(rng.multinomial(size, left / left.sum()), left)
-            short = size - int(got.sum())
-            while short:
-                i = int(np.argmax(left - got))
-                more = min(short, int((left - got)[i]))
-                got[i] += more
-                short -= more
-        left -= got
-        out.append(got)
-    return np.array(out, np.int64).reshape(shards, len(quota))
+@dataclass(frozen=True)
+class Deal:
+    """How slots are dealt: for each source its blocks of full length, whether a shorter one ends it, and its quota of words."""
+
+    full: np.ndarray
+    size: np.ndarray
+    quota: np.ndarray
+    params: Params
+
+    @property
+    def per_turn(self) -> np.ndarray:
+        return -(-self.size // self.params.block)
+
+    @property
+    def ends(self) -> np.ndarray:
+        """Number of the first slot after each source's."""
+        turns, rest = np.divmod(self.quota, np.maximum(self.size, 1))
+        return np.cumsum(turns * self.per_turn + -(-rest // self.params.block))
+
+    def slots(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Source, block and number of words of the slots ``t``, counted over all shards."""
+        ends, p = self.ends, self.params
+        x = permute(t, np.full(len(t), ends[-1]), np.full(len(t), p.seed, np.uint64))
+        s = np.searchsorted(ends, x, "right")
+        nth = x - np.concatenate([[0], ends[:-1]])[s]
+        turn, at = np.divmod(nth, self.per_turn[s])
+        with np.errstate(over="ignore"):
+            key = (s.astype(np.uint64) * np.uint64(1_000_003) + turn.astype(np.uint64) + np.uint64(p.seed)) * np.uint64(0xD6E8FEB86659FD93)
+        inner = at < self.full[s]
+        block = at.copy()
+        block[inner] = permute(at[inner], self.full[s][inner], key[inner])
+        left = self.quota[s] - turn * self.size[s] - at * p.block
+        return s, block, np.minimum(left, p.block)
+
+
+def deal(sizes: list[int], goals: list[float], p: Params) -> Deal:
+    size = np.array(sizes, np.int64)
+    quota = np.minimum(np.floor(np.array(goals, float) + 0.5).astype(np.int64), p.most * size)
+    return Deal(size // p.block, size, quota, p)
 
 
 def mix(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -137,7 +155,7 @@ def mix(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text
 
     Returns ``spans(row, shard, slot, from_word, to_word)``, one row for each
     piece of a document in a taken slot (words counted from 0, the end left
-    out), and ``rows(row, doc_id, source, no_source, size, source_size,
+    out; a source's pieces add up to its target, rounded), and ``rows(row, doc_id, source, no_source, size, source_size,
     target)``, one per input row. ``row`` numbers the rows in an order that
     depends on their ids and texts alone, so a rerun gives the same mix. Rows
     that repeat an id are rows of their own; a null source is a source, the
@@ -148,55 +166,51 @@ def mix(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text
     scratch = Scratch(spark, "mixing")
     narrow = scratch.keep(sizes(docs, id_col, text_col, source_col), "sizes")
     goal = scratch.keep(targets(narrow, p), "targets")
-    names = [(r["no_source"], r["source"], r["source_size"], r["target"]) for r in goal.orderBy("no_source", "source").collect()]
     n = narrow.count()
     ordered = running_total(narrow, group=[], buckets={"h": F.pmod(F.xxhash64("doc_id", "tk"), F.lit(hash_buckets(n)))}, order=["doc_id", "tk"], out="row")
     placed = running_total(
         ordered, group=["no_source", "source"], buckets={"h": F.pmod(F.xxhash64("doc_id", "tk"), F.lit(hash_buckets(n)))},
         order=["doc_id", "tk", "row"], out="start", value=F.col("size"),
     )
-    numbers = spark.createDataFrame([(x[0], x[1], i) for i, x in enumerate(names)], "no_source boolean, source string, s int")
     rows = scratch.keep(
-        placed.join(F.broadcast(numbers), ["no_source", "source"]).join(goal, ["no_source", "source"])
-        .select("row", "doc_id", "tk", "source", "no_source", "s", "size", "start", "source_size", "target"), "rows",
+        placed.join(goal, ["no_source", "source"]).select("row", "doc_id", "tk", "source", "no_source", "s", "size", "start", "source_size", "target"), "rows",
     )
-    n_blocks = [-(-x[2] // p.block) for x in names]
-    quota = [min(p.most * b, round(x[3] * b / x[2])) if x[2] else 0 for x, b in zip(names, n_blocks, strict=True)]
-    counts = draw_counts(quota, p) if sum(quota) else np.zeros((0, len(names)), np.int64)
-    ahead = np.cumsum(counts, 0) - counts
-    inside = np.cumsum(counts, 1) - counts
-    cells = [(s, k, int(counts[s, k]), int(ahead[s, k]), int(inside[s, k]), n_blocks[k]) for s in range(len(counts)) for k in range(len(names)) if counts[s, k]]
-    dealt = spark.createDataFrame(cells, "shard int, s int, n long, first long, slot0 long, blocks long")
-
-    @F.pandas_udf("long")
-    def block_of(s: pd.Series, nth: pd.Series, blocks: pd.Series) -> pd.Series:
-        turn, at = np.divmod(nth.to_numpy(), blocks.to_numpy())
-        with np.errstate(over="ignore"):
-            key = (s.to_numpy().astype(np.uint64) * np.uint64(1_000_003) + turn.astype(np.uint64) + np.uint64(p.seed)) * np.uint64(0xD6E8FEB86659FD93)
-        return pd.Series(permute(at, blocks.to_numpy(), key))
+    each = goal.orderBy("s").select("source_size", "target").collect()  # one row a source
+    dealt = deal([r["source_size"] for r in each], [r["target"] for r in each], p)
+    total = int(dealt.ends[-1]) if each else 0
 
-    # A stated number, as the few cells would be put into one task by their size, and that task would make all slots.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slots = dealt.repartition(tasks, "shard", "s").select("shard", "s", "blocks", "first", "slot0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select(
-        "shard", "s", (F.col("slot0") + F.col("i")).alias("slot"), block_of("s", F.col("first") + F.col("i"), "blocks").alias("block")
-    )
+    @F.pandas_udf("s int, block long, keep long")
+    def drawn(t: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("s", "block", "keep"), dealt.slots(t.to_numpy()), strict=True)))
+
+    slots = spark.range(total).select(F.expr(f"id div {p.shard_slots}").alias("shard"), F.expr(f"id % {p.shard_slots}").alias("slot"), drawn("id").alias("x")).select("shard", "slot", "x.*")
     b = F.lit(p.block).cast("long")
     pieces = rows.where("size > 0").select(
         "row", "s", "start", "size", F.explode(F.sequence(F.expr(f"start div {p.block}"), F.expr(f"(start + size - 1) div {p.block}"))).alias("block")
-    ).select(
-        "row", "s", "block", (F.greatest("start", F.col("block") * b) - F.col("start")).alias("from_word"),
-        (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.col("start")).alias("to_word"),
     )
-    # Slots grow with the input, though the plan takes them for as few as the cells they are made of.
-    spans = pieces.join(slots.hint("merge"), ["s", "block"]).select("row", "shard", "slot", "from_word", "to_word")
+    # Slots grow with the input, though the plan takes them for as few as the numbers they are made of.
+    met = pieces.join(slots.hint("merge"), ["s", "block"])
+    spans = met.select(
+        "row", "shard", "slot", (F.greatest("start", F.col("block") * b) - F.col("start")).alias("from_word"),
+        (F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("keep")) - F.col("start")).alias("to_word"),
+    ).where("from_word < to_word")
     return spans, rows
 
 
 def taken(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row: how many of its words the mix takes, repeats counted."""
+    """``doc_id, size, source_size, target, taken, n_shards, first_shard`` of every row.
+
+    ``taken`` is how many of its words the mix takes, repeats counted;
+    ``n_shards`` and ``first_shard`` tell into which output shards they were
+    drawn (0 and null, if none are taken).
+    """
     spans, rows = mix(docs, params)
-    got = spans.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    return rows.join(got, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    got = spans.groupBy("row").agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.size(F.collect_set("shard")).alias("n_shards"), F.min("shard").alias("first_shard")
+    )
+    return rows.join(got, "row", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"), "first_shard"
+    )
 
 
 def mixed_documents(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -208,16 +222,17 @@ def mixed_documents(docs: DataFrame, params: Params = Params()) -> DataFrame:
     do not appear. ``n_chars``, if there, is that of the new text.
     """
     spans, rows = mix(docs, params)
-    times = spans.groupBy("row", "from_word", "to_word").agg(F.count("*").cast("int").alias("times"))
-    copies = times.select("row", "from_word", "to_word", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__copy"))
+    # A block's piece is taken ``most`` times at most, once perhaps in part; the longest go to the first copies.
+    ends = spans.groupBy("row", "from_word").agg(F.sort_array(F.collect_list("to_word"), asc=False).alias("ends"))
+    copies = ends.select("row", "from_word", F.posexplode("ends").alias("__copy", "to_word"))
     parts = copies.groupBy("row", "__copy").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("__spans"))
-    # Rows that repeat an id and a text are told apart by number, on both sides.
+    # Rows that repeat an id and a text are told apart by number, on both sides; the order of ``docs``' is by their other columns.
     again = Window.partitionBy("doc_id", "tk").orderBy("row")
     plan = parts.join(rows.select("row", "doc_id", "tk", "size", F.row_number().over(again).alias("nth")), "row").select(
         F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), F.col("nth").alias("__nth"), "__copy", "__spans", F.col("size").alias("__size")
     )
     own = docs.withColumn("__tk0", text_key(F.coalesce(F.col("text"), F.lit(""))))
-    own = own.withColumn("__nth0", F.row_number().over(Window.partitionBy("doc_id", "__tk0").orderBy("__tk0")))
+    own = own.withColumn("__nth0", F.row_number().over(Window.partitionBy("doc_id", "__tk0").orderBy(F.xxhash64(*docs.columns))))
     joined = own.join(plan, own["doc_id"].eqNullSafe(plan["__id"]) & (own["__tk0"] == plan["__tk"]) & (own["__nth0"] == plan["__nth"]))
     body = F.expr("aggregate(__spans, 0L, (n, x) -> n + x.to_word - x.from_word)")
     words = F.filter(F.split(F.col("text"), SPACES), lambda w: w != "")
