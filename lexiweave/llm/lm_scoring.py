@@ -1,228 +1,154 @@
-"""Stupid-backoff scores by joins of n-gram count tables to the n-grams of documents.
+"""Stupid-backoff scores by n-gram count tables that are partitioned by hash and joined to the n-grams of documents.
 
 All documents are counted, and each is scored by the counts of all others: its
 own occurrences are taken off every count that it is scored with. So no text
 vouches for itself, and no part of the corpus is kept out of the counts.
 
-1. Tasks count the n-grams of every order up to ``order``; Spark sums the
-   counts by n-gram, partitioned by its hash. N-grams of one document only are
-   of no use to any other and are left out. Each n-gram gets the counts of what
-   it begins with and of what it ends with by two joins to the next lower order.
-2. The distinct n-grams of each document are joined to this table by hash. What
-   an n-gram of order k adds is how much its own score differs from that of
-   its end of order k - 1, so the orders are summed independently.
-3. These are summed by document.
-
-The most common n-grams (each has at least a ``hot``-th of all words, so there
-are ``hot`` at most) are broadcast and resolved where the document is read, so
-no key of the joins is hot. Steps 1 and 2 take the n-grams in ``slices`` by
-hash, one after another, which bounds the disk that their shuffles need.
+1. Documents are dealt by hash to blocks of a bounded size. A block counts its
+   n-grams of an order and sends each distinct one, with its count, to the
+   bucket of its hash.
+2. A bucket adds the counts of all blocks up: its part of the count table. It
+   joins this table to the n-grams of each block and returns their counts.
+3. A block joins the counts of all orders to the places of its documents, takes
+   off what each document has itself, and sums the scores by document.
+
+A block sends an n-gram once, however often it occurs there, so no n-gram makes
+a bucket large: it comes once from each block at most. Groups of both kinds are
+bounded by ``block_bytes`` and ``bucket``; a longer text is a block by itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.llm.mixing import count_words
 from lexiweave.llm.near_dedup import WordHashes
 from lexiweave.runtime import Scratch
 
-#: A task takes the words of so many texts at a time that they are about this many.
-WORDS_AT_ONCE = 200_000
-#: Odd factors of the n-gram hashes: what an n-gram begins and ends with.
-BEGIN, END = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_END_INVERSE = pow(END, -1, 1 << 64)
+#: Odd factors of the n-gram hashes: for what an n-gram begins with and for its last word.
+BEGIN, LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class Params:
-    """``alpha`` is the factor of a step back; see the module for the others."""
+    """``alpha`` is the factor of a step back; blocks have about ``block_bytes`` of text, buckets ``bucket`` n-grams."""
 
     order: int = 3
     alpha: float = 0.4
-    hot: int = 1 << 16
-    slices: int = 3
+    block_bytes: int = 8 << 20
+    bucket: int = 1 << 20
 
 
 class _Grams:
-    """N-grams of some texts: for each order their hashes by place, and how often the document has the one at each place."""
-
-    def __init__(self, texts: list[str | None], order: int, known: WordHashes):
-        tokens = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        self.sizes = np.array([len(t) for t in tokens])
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.hashes = [np.fromiter((known[w] for t in tokens for w in t), np.uint64, len(self.doc))]
+    """N-grams of some texts: hashes of every order by the place of the first word, documents by place."""
+
+    def __init__(self, texts: pa.ChunkedArray | pa.Array, order: int):
+        known, parts, sizes = WordHashes(), [], []
+        for at in range(0, len(texts), 64):
+            tokens = [x for t in texts.slice(at, 64).to_pylist() for x in ([t.encode("utf-8", "surrogatepass").lower().split()] if t else [[]])]
+            sizes += map(len, tokens)
+            words = [w for t in tokens for w in t]
+            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        self.sizes = np.array(sizes, np.int64)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
+        g = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        words, self.hashes, self.whole = g, [g], [np.ones(len(g), bool)]
         with np.errstate(over="ignore"):
             for k in range(2, order + 1):
-                g = self.hashes[-1]
-                self.hashes.append(g[:-1] * np.uint64(BEGIN + 2 * k) + g[1:] * np.uint64(END) if len(g) else g)
-
-    def places(self, k: int) -> np.ndarray:
-        """Where n-grams of order k stand: not across documents."""
-        return np.flatnonzero(self.doc[: len(self.doc) - k + 1] == self.doc[k - 1 :]) if len(self.doc) >= k else np.empty(0, np.int64)
-
-    def runs(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The places sorted by hash and document, and where in them each (hash, document) and each hash begins."""
+                n = max(0, len(words) - k + 1)
+                g = (g[:n] * BEGIN ^ g[:n] >> np.uint64(31)) + words[k - 1 :][:n] * LAST
+                self.hashes.append(g)
+                self.whole.append(self.doc[:n] == self.doc[k - 1 :][:n])
+
+    def distinct(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of order k, how often each occurs, which one stands at each place (-1: none), how often its document has it."""
+        at = np.flatnonzero(self.whole[k - 1])
         by = at[np.argsort(self.hashes[k - 1][at], kind="stable")]
         h, d = self.hashes[k - 1][by], self.doc[by]
         new = np.ones(len(by), bool)
         new[1:] = h[1:] != h[:-1]
-        own = new.copy()
-        own[1:] |= d[1:] != d[:-1]
-        return by, np.flatnonzero(own), np.flatnonzero(new)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], order: int, column: int) -> Iterator[tuple[pa.RecordBatch, _Grams]]:
-    """Rows, a bounded number of words at a time (a longer text by itself), with their n-grams."""
-    known = WordHashes()
-    for batch in batches:
-        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
-        start = size = 0
-        for i, n in enumerate(lengths):
-            if size and size + n > 6 * WORDS_AT_ONCE:
-                part = batch.slice(start, i - start)
-                yield part, _Grams(part.column(column).to_pylist(), order, known)
-                start, size = i, 0
-            size += n
-        if start < batch.num_rows:
-            part = batch.slice(start)
-            yield part, _Grams(part.column(column).to_pylist(), order, known)
-
-
-def _in_slice(h: np.ndarray, turn: int, slices: int) -> np.ndarray:
-    return (h >> np.uint64(32)) % np.uint64(slices) == turn
-
-
-def _counted(p: Params, turn: int):
-    """``k, h, begin, count, docs`` of the n-grams in a slice, summed over the rows at hand."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, grams in _groups(batches, p.order, 0):
-            for k in range(1, p.order + 1):
-                at = grams.places(k)
-                at = at[_in_slice(grams.hashes[k - 1][at], turn, p.slices)]
-                by, own, new = grams.runs(k, at)
-                first = by[new]
-                begin = grams.hashes[k - 2][first] if k > 1 else np.zeros(len(first), np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(new), k, np.int32)), pa.array(grams.hashes[k - 1][first].view(np.int64)), pa.array(begin.view(np.int64)),
-                        pa.array(np.diff(np.append(new, len(by)))), pa.array(np.diff(np.append(np.searchsorted(own, new), len(own)))),
-                    ],
-                    names=["k", "h", "begin", "count", "docs"],
-                )
+        mine = new.copy()
+        mine[1:] |= d[1:] != d[:-1]
+        starts, runs = np.flatnonzero(new), np.flatnonzero(mine)
+        which, own = np.full(len(self.doc), -1, np.int64), np.zeros(len(self.doc), np.int64)
+        which[by] = np.cumsum(new) - 1
+        n = np.diff(np.append(runs, len(by)))
+        own[by] = np.repeat(n, n)
+        return h[starts], np.diff(np.append(starts, len(by))), which, own
 
-    return run
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight together, so that the shuffle's compression finds those that hardly change."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What an n-gram ends with follows from its hash and that of what it begins with."""
-    for batch in batches:
-        k, h, begin = (batch.column(c).to_numpy() for c in ("k", "h", "begin"))
-        with np.errstate(over="ignore"):
-            factor = np.uint64(BEGIN) + np.uint64(2) * k.astype(np.uint64)
-            end = (h.view(np.uint64) - begin.view(np.uint64) * factor) * np.uint64(_END_INVERSE)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(end.view(np.int64))], names=[*batch.schema.names, "end"])
 
+def _values(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-def count_table(texts: DataFrame, params: Params = Params(), scratch: Scratch | None = None) -> tuple[DataFrame, int]:
-    """``k, h, count, begin_count, end_count, middle_count, docs`` of every n-gram of two texts or more, and the number of words.
 
-    ``texts(text)`` are all counted. The middle of an n-gram is what both its
-    begin and its end hold; orders that have no begin, end or middle have null.
-    """
-    p, scratch = params, scratch or Scratch(texts.sparkSession, "ngrams")
-    found, n_words = [], 0
-    for turn in range(p.slices):
-        rows = texts.select("text").mapInArrow(_counted(p, turn), "k int, h long, begin long, count long, docs long")
-        counts = rows.groupBy("k", "h").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"), F.first("begin").alias("begin"))
-        # Words are kept whatever their number of texts: their counts add up to the number of words.
-        kept = scratch.keep(counts.where("docs > 1 or k = 1"), "counts")
-        n_words += kept.where("k = 1").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-        found.append(kept.where("docs > 1"))
-    counts = found[0]
-    for x in found[1:]:
-        counts = counts.union(x)
-    null = F.lit(None).cast("long")
-    tables = [counts.where("k = 1").select("k", "h", "count", null.alias("begin_count"), null.alias("end_count"), null.alias("middle_count"), "docs")]
-    for k in range(2, p.order + 1):
-        own = counts.where(F.col("k") == k).mapInArrow(_with_ends, "k int, h long, count long, docs long, begin long, end long")
-        low = tables[-1].select(F.col("h").alias("l"), F.col("count").alias("lc"), F.col("begin_count").alias("lb"))
-        begun = own.join(low.select(F.col("l").alias("begin"), F.col("lc").alias("begin_count")), "begin")
-        ended = begun.join(low.select(F.col("l").alias("end"), F.col("lc").alias("end_count"), F.col("lb").alias("middle_count")), "end")
-        tables.append(scratch.keep(ended.select("k", "h", "count", "begin_count", "end_count", "middle_count", "docs"), "table"))
-    out = tables[0]
-    for x in tables[1:]:
-        out = out.union(x)
-    return out, int(n_words)
-
-
-def _gain(k, n, own_begin, own_end, own_middle, count, begin, end, middle, alpha: float) -> np.ndarray:
-    """What n-grams add to the score, for arrays of one order."""
-    if k == 1:
-        return n * np.log(np.maximum(count - n, 1))
-    lower = np.log(np.maximum(end - own_end, 1)) - (np.log(middle - own_middle) if k > 2 else 0)
-    return n * (np.log(count - n) - np.log(begin - own_begin) - np.log(alpha) - lower)
-
-
-def _scored(p: Params, turn: int, n_words: int, hot):
-    """Rows of documents and their n-grams; the hot ones are resolved here, into one row ``k = 0`` a document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = hot.value
-        for part, grams in _groups(batches, p.order, 2):
-            rows, sizes = part.num_rows, grams.sizes
-            score, lift = np.zeros(rows), np.zeros(rows, np.int64)
-            if not turn:
-                steps = p.order - 1
-                back = np.where(sizes > steps, sizes * steps - steps * (steps + 1) // 2, sizes * (sizes - 1) // 2)
-                score += back * np.log(p.alpha) - sizes * np.log(np.maximum(n_words - sizes, 1))
-            own = []
-            for k in range(1, p.order + 1):
-                by, starts, _ = grams.runs(k, grams.places(k))
-                n = np.diff(np.append(starts, len(by)))
-                mine = np.zeros(len(grams.doc), np.int64)
-                mine[by] = np.repeat(n, n)
-                own.append(mine)
-                at, h = by[starts], grams.hashes[k - 1][by[starts]]
-                keep = _in_slice(h, turn, p.slices)
-                at, h, n = at[keep], h[keep].view(np.int64), n[keep]
-                owns = [own[k - 2][at] if k > 1 else np.zeros_like(at), own[k - 2][at + 1] if k > 1 else np.zeros_like(at), own[k - 3][at + 1] if k > 2 else np.zeros_like(at)]
-                known_h, known = table[k - 1]
-                place = np.minimum(np.searchsorted(known_h, h), max(len(known_h) - 1, 0))
-                is_hot = known_h[place] == h if len(known_h) else np.zeros(len(h), bool)
-                use = is_hot & (known[0][place] > n) if len(known_h) else is_hot
-                if use.any():
-                    gain = _gain(k, n[use], *(x[use] for x in owns), *(c[place[use]] for c in known), p.alpha)
-                    score += np.bincount(grams.doc[at[use]], gain, rows)
-                    if k == 2:
-                        lift += np.bincount(grams.doc[at[use]], n[use], rows).astype(np.int64)
-                cold = ~is_hot
-                doc = pa.array(grams.doc[at[cold]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(doc), part.column(1).take(doc), pa.array(np.full(len(doc), k, np.int32)), pa.array(h[cold]), pa.array(n[cold].astype(np.int32)),
-                        *(pa.array(x[cold].astype(np.int32)) for x in owns), pa.array(np.zeros(len(doc))), pa.array(np.zeros(len(doc), np.int64)),
-                    ],
-                    names=_ROW,
-                )
-            none = pa.array(np.zeros(rows, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), none, part.column(1), pa.array((sizes if not turn else sizes * 0).astype(np.int32)), pa.array(np.full(rows, not turn, np.int32)), none, none, pa.array(score), pa.array(lift)],
-                names=_ROW,
-            )
+_SENT = "block long, k int, bucket long, hashes binary, counts binary"
+
+
+def _send(orders: list[int], order: int, buckets: int):
+    """Distinct n-grams of a block, cut where the hashes of the next bucket begin."""
+
+    def run(block: pa.Table) -> pa.Table:
+        grams, rows = _Grams(block["text"], order), []
+        for k in orders:
+            h, n, *_ = grams.distinct(k)
+            cut = np.searchsorted(h, _bounds(buckets))
+            for b, (x, y) in enumerate(zip(cut, np.append(cut[1:], len(h)), strict=True)):
+                if x < y:
+                    rows.append((block["block"][0].as_py(), k, b, _planes(h[x:y]), _planes(n[x:y])))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "k", "bucket", "hashes", "counts"])
 
     return run
 
 
-#: Columns of a document's n-gram; in the row ``k = 0`` of a document ``n`` is its number of words and ``own_begin`` 1, once for all slices.
-_ROW = ["doc_id", "tk", "k", "h", "n", "own_begin", "own_end", "own_middle", "score", "lift"]
+def _bounds(buckets: int) -> np.ndarray:
+    """First hash of each bucket."""
+    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+
+
+def _answer(sent: pa.Table) -> pa.Table:
+    """The counts of a bucket's n-grams over all blocks, for each block in the order it sent them."""
+    hashes = [_values(x.as_py()) for x in sent["hashes"]]
+    counts = [_values(x.as_py()).astype(np.int64) for x in sent["counts"]]
+    table, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(which, np.concatenate(counts), len(table)).astype(np.int64)[which]
+    parts = np.split(total, np.cumsum([len(x) for x in hashes])[:-1])
+    return pa.table([sent["block"], sent["k"], sent["bucket"], pa.array([_planes(x) for x in parts], pa.binary())], names=["block", "k", "bucket", "counts"])
+
+
+def _score(p: Params, n_words: int, fields: list[str]):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = _Grams(block["text"], p.order)
+        found = sorted(zip(answers["k"].to_pylist(), answers["bucket"].to_pylist(), range(len(answers)), strict=True))
+        places = len(grams.doc)
+        others = []  # by order: how often other documents have the n-gram that begins at a place
+        for k in range(1, p.order + 1):
+            _, _, which, own = grams.distinct(k)
+            total = np.concatenate([np.empty(0, np.int64), *(_values(answers["counts"][i].as_py()).astype(np.int64) for j, _, i in found if j == k)])
+            others.append(np.where(which >= 0, total[which] if len(total) else 0, 0) - own)
+        inside = np.arange(places) - np.repeat(np.cumsum(grams.sizes) - grams.sizes, grams.sizes)
+        logs = np.log(np.maximum(others[0], 1)) - np.log(np.maximum(n_words - np.repeat(grams.sizes, grams.sizes), 1)) + np.minimum(inside, p.order - 1) * np.log(p.alpha)
+        for k in range(2, p.order + 1):
+            start = np.maximum(np.arange(places) - k + 1, 0)
+            seen = (inside >= k - 1) & (others[k - 1][start] > 0)
+            back = np.maximum(np.minimum(inside, p.order - 1) - (k - 1), 0)
+            logs[seen] = np.log(others[k - 1][start[seen]] / others[k - 2][start[seen]]) + back[seen] * np.log(p.alpha)
+        score = np.bincount(grams.doc, logs, len(grams.sizes)).astype(float)
+        per = np.where(grams.sizes > 0, score / np.maximum(grams.sizes, 1), 0)
+        return pa.table([block["doc_id"], pa.array(grams.sizes), pa.array(score), pa.array(per, mask=grams.sizes == 0)], names=fields)
+
+    return run
 
 
 def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,41 +164,23 @@ def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     Null and empty texts and those without words have score 0 and no mean. Rows
     that repeat an id are scored each for itself, equal rows by each other too.
     Null ids are fine; an empty table gives an empty result; other columns are
-    ignored. Time and memory are linear in the length of a text.
+    ignored. Time and memory are linear in the length of a text, which one task
+    holds whole.
     """
-    p, spark = params, docs.sparkSession
-    scratch = Scratch(spark, "backoff")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
-    table, n_words = count_table(own.select("text"), p, scratch)
-    hot_docs = max(2, -(-n_words // p.hot))
-    counts = ("count", "begin_count", "end_count", "middle_count")
-    common = table.where(F.col("docs") >= hot_docs).select("k", "h", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts]).toArrow().sort_by("h")
-    by_order = [common.filter(pc.equal(common["k"], k)) for k in range(1, p.order + 1)]
-    hot = spark.sparkContext.broadcast([(t["h"].to_numpy(), [t[c].to_numpy() for c in counts]) for t in by_order])
-    cold = table.where(F.col("docs") < hot_docs).select("h", F.col("k").alias("of"), *counts)
+    p, scratch = params, Scratch(docs.sparkSession, "backoff")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    bytes_, n_words = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(count_words(F.coalesce("text", F.lit("")))), F.lit(0))).first()
+    blocks, buckets = max(1, -(-bytes_ // p.block_bytes)), max(1, -(-n_words // p.bucket))
+    placed = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    answers = []
+    # The highest order by itself: what the n-grams of the lower ones need of the disk is less.
+    for orders in ([*range(1, p.order)], [p.order]):
+        if orders:
+            sent = placed.groupBy("block").applyInArrow(_send(orders, p.order, buckets), _SENT)
+            answers.append(scratch.keep(sent.groupBy("k", "bucket").applyInArrow(_answer, "block long, k int, bucket long, counts binary"), "answers"))
+    known = answers[0] if len(answers) == 1 else answers[0].union(answers[1])
     kind = own.schema["doc_id"].dataType.simpleString()
-    n, log = F.col("n"), lambda a, b: F.log((F.col(a) - F.col(b)).cast("double"))
-    word = n * F.log(F.greatest(F.col("count") - n, F.lit(1)).cast("double"))
-    lower = F.when(F.col("k") == 2, F.log(F.greatest(F.col("end_count") - F.col("own_end"), F.lit(1)).cast("double"))).otherwise(log("end_count", "own_end") - log("middle_count", "own_middle"))
-    seen = (F.col("k") > 1) & (F.col("count") > n)
-    gain = F.when(F.col("k") == 0, F.col("score")).when(F.col("k") == 1, word).when(seen, n * (log("count", "n") - log("begin_count", "own_begin") - float(np.log(p.alpha)) - lower))
-    parts = []
-    for turn in range(p.slices):
-        rows = own.mapInArrow(_scored(p, turn, n_words, hot), f"doc_id {kind}, tk long, k int, h long, n int, own_begin int, own_end int, own_middle int, score double, lift long")
-        joined = rows.join(cold, (rows["h"] == cold["h"]) & (rows["k"] == cold["of"]), "left")
-        parts.append(scratch.keep(joined.groupBy("doc_id", "tk").agg(
-            F.sum(F.coalesce(gain, F.lit(0.0))).alias("score"), F.sum(F.when(F.col("k") == 0, F.col("lift")).when(seen & (F.col("k") == 2), n).otherwise(0)).alias("lift"),
-            F.sum(F.when(F.col("k") == 0, n).otherwise(0)).alias("words"), F.sum(F.when(F.col("k") == 0, F.col("own_begin")).otherwise(0)).alias("copies"),
-        ), "scores"))
-    summed = parts[0]
-    for x in parts[1:]:
-        summed = summed.union(x)
-    # Equal rows with equal ids were summed together, each with the same score.
-    per = summed.groupBy("doc_id", "tk").agg(*[F.sum(c).alias(c) for c in ("score", "lift", "words", "copies")])
-    words = (F.col("words") / F.col("copies")).cast("long")
-    total = (F.col("score") + F.col("lift") * F.log(F.greatest(F.lit(n_words) - words, F.lit(1)).cast("double"))) / F.col("copies")
-    each = per.select("doc_id", words.alias("n_words"), total.alias("log_score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select(
-        "doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("log_score")).otherwise(F.lit(0.0)).alias("log_score"),
-        F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("per_word"),
+    fields = ["doc_id", "n_words", "log_score", "per_word"]
+    return placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+        _score(p, n_words, fields), f"doc_id {kind}, n_words long, log_score double, per_word double"
     )

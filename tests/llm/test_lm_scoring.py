@@ -36,10 +36,10 @@ def brute(texts, order, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize("order, hot, slices", [(1, 1, 1), (2, 1, 2), (3, 1, 1), (3, 1 << 16, 3), (4, 40, 2)])
-def test_against_brute_force(spark, docs, corpus, order, hot, slices):
+@pytest.mark.parametrize("order, block, bucket", [(1, 4000, 1 << 20), (2, 1 << 20, 100), (3, 3000, 700), (3, 8 << 20, 1 << 20), (4, 1, 50)])
+def test_against_brute_force(spark, docs, corpus, order, block, bucket):
     want = brute([r[1] for r in corpus], order)
-    out = score(docs.withColumns({"h": F.lit(1), "k": F.lit(2), "tk": F.lit(3)}), Params(order=order, hot=hot, slices=slices)).collect()
+    out = score(docs.withColumns({"block": F.lit(1), "k": F.lit(2), "bucket": F.lit(3)}), Params(order=order, block_bytes=block, bucket=bucket)).collect()
     key = lambda x: (x[0], x[1], round(x[2], 6))
     got = sorted(key((r.doc_id, r.n_words, r.log_score)) for r in out)
     exp = sorted(key((r[0], *x)) for r, x in zip(corpus, want, strict=True))
