@@ -302,7 +302,10 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     ``component_id`` is the smallest id reachable over links, itself included;
     ``kept`` marks the row whose id it is. Null, empty and word-less texts have
     no shingles and no links. Rows that repeat an id share its links, and each
-    comes back. An empty table gives an empty result; other columns are ignored.
+    comes back. A row with a null id has the component of the ids with the same
+    text and is not kept; if there is none, its component is null, it is linked
+    with nothing, and it is kept (``keep_one`` numbers such rows instead). An
+    empty table gives an empty result; other columns are ignored.
     """
     p, scratch = params, Scratch(docs.sparkSession, "near")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -396,7 +399,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     joined = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return joined.select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
-    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:

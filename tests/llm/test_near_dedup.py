@@ -75,3 +75,9 @@ def test_shingles_of_short_texts():
     assert len(shingle_set("a b c")) == 1 and len(shingle_set("")) == 0 and len(shingle_set(None)) == 0
     assert len(shingle_set("a b c d e f")) == 2
     assert (shingle_set("A\x0bB") == shingle_set("a b")).all() and len(shingle_set("a b")) == 1
+
+
+def test_null_ids_are_kept_or_stand_behind_an_id(spark):
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "x y"), (None, "x y"), (None, None), (7, None)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(None, 2, 4, False), (4, 2, 4, True), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (7, 0, 7, True)]))
