@@ -15,6 +15,17 @@ def quotas(rows: int, n_shards: int) -> list[int]:
     return [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)]
 
 
+#: Links of more than this part of all nodes are heavy; there are at most so many of them.
+HEAVY = 4096
+
+
+def _by_link(rows: DataFrame, table: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``rows`` joined to ``table`` on ``link``; what the ``heavy`` links have in the table, a few rows each, goes to their rows by broadcast."""
+    some = F.broadcast(heavy)
+    many = rows.join(some, "link", "left_semi").join(F.broadcast(table.join(some, "link", "left_semi")), "link")
+    return many.unionByName(rows.join(some, "link", "left_anti").join(table, "link"))
+
+
 def _pairs(spark, values: list[int], name: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(map(int, values))), f"shard int, {name} long")
 
@@ -61,14 +72,17 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int | N
     after ``rounds`` if given. Returns ``(node, shard, linked)``.
 
     A link may hold any share of the nodes: its votes are one row per shard,
-    and the members that ask for a full shard ask for another one next time.
+    those of heavy links are broadcast to the members instead of the members
+    being brought together, and the members that ask for a full shard ask for another one next time.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "sharding")
     n = nodes.count()
     quota = quotas(n, n_shards)
     sizes = links.groupBy("link").agg(F.count("*").alias("members")).where("members > 1")
-    live = scratch.keep(links.join(sizes, "link").select("node", "link", "members").distinct(), "links")
+    sizes = scratch.keep(sizes, "sizes")
+    heavy = scratch.keep(sizes.where(F.col("members") > n / HEAVY).select("link"), "heavy")
+    live = scratch.keep(_by_link(links, sizes, heavy).select("node", "link", "members").distinct(), "links")
     state = scratch.keep(_start(live, n_shards, scratch), "start")
     n_buckets = hash_buckets(state.count())
     fewest, since = n + 1, 0
@@ -82,7 +96,7 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int | N
             .select("link", F.col("shard").alias("target"), (F.col("votes") + F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 20)) / F.lit(float(1 << 21))).alias("votes"))
         )
         asked = (
-            live.join(votes, "link").groupBy("node", "target")
+            _by_link(live, votes, heavy).groupBy("node", "target")
             .agg(F.sum("votes").alias("votes"), F.min(F.struct("members", "link")).alias("by"))
             .join(F.broadcast(_pairs(spark, room, "room").withColumnRenamed("shard", "target")), "target")
             .join(state, "node").where("room > 0 or target = shard")
