@@ -52,6 +52,12 @@ def normal_token(c: Column) -> Column:
     return F.lower(strip(F.replace(c, F.lit("_"), F.lit(" "))))
 
 
+def legacy_responses(responses: Column, cue: Column) -> Column:
+    """Normal tokens of a response array that are not the cue, first occurrences in order."""
+    tokens = F.transform(F.filter(responses, lambda x: x.isNotNull()), normal_token)
+    return distinct_tokens(F.filter(tokens, lambda x: x != cue))
+
+
 def distinct_tokens(tokens: Column) -> Column:
     """First occurrences of non-empty tokens, in order."""
     return F.array_distinct(F.filter(tokens, lambda x: x != ""))

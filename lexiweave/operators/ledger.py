@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.functions.text import cost_usd, request_id
+from lexiweave.operators.balance import cap_and_renumber, cap_per_cue, first_wins
+from lexiweave.runtime import running_total
 
 
 def request_index(cues: DataFrame, repetitions: int, first: int = 0) -> DataFrame:
@@ -31,7 +33,8 @@ def match_results(results: DataFrame, index: DataFrame) -> DataFrame:
 
 def complete_cues(rows: DataFrame, n: int) -> DataFrame:
     """Rows of the cues that have ``n`` rows or more."""
-    return rows.withColumn("__n", F.count("*").over(Window.partitionBy("cue"))).where(F.col("__n") >= n).drop("__n")
+    enough = rows.groupBy("cue").agg(F.count("*").alias("__n")).where(F.col("__n") >= n)
+    return rows.join(enough, "cue", "left_semi")
 
 
 def completed_by_cue(rows: DataFrame) -> DataFrame:
@@ -82,3 +85,61 @@ def requeue(submitted: DataFrame, lost_batch: DataFrame, done: DataFrame) -> Dat
     """Submitted ids without those of a lost batch that are not done."""
     lost = lost_batch.select("custom_id").join(done.select("custom_id"), "custom_id", "left_anti")
     return submitted.join(lost, "custom_id", "left_anti")
+
+
+def usage_of(usage: DataFrame, completed: DataFrame) -> DataFrame:
+    """Usage rows of completed ids."""
+    return usage.join(completed.select("custom_id"), "custom_id", "left_semi")
+
+
+def open_cues(master: DataFrame, ledger: DataFrame, repetitions: int) -> DataFrame:
+    """``position, cue, completed`` of the cues with fewer rows than ``repetitions``."""
+    have = ledger.groupBy("cue").agg(F.count("*").alias("completed"))
+    return master.join(have, "cue", "left").select("position", "cue", F.coalesce("completed", F.lit(0)).alias("completed")).where(F.col("completed") < repetitions)
+
+
+def skipped_count(index: DataFrame, campaign: DataFrame) -> DataFrame:
+    """One row ``skipped``: requests that an earlier run completed."""
+    return index.join(campaign.select("custom_id"), "custom_id", "left_semi").agg(F.count("*").alias("skipped"))
+
+
+def is_terminal(state: Column) -> Column:
+    # States that no run leaves.
+    return state.isin("completed", "timed_out", "failed")
+
+
+def guard(progress: DataFrame, limit_usd: float | None) -> DataFrame:
+    """``action`` for each row of ``state, cost_usd``: ``stop`` if the state is final, ``wait`` if paused, ``pause`` at the cost limit, else ``run``."""
+    over = F.lit(False) if limit_usd is None else F.col("cost_usd") >= limit_usd
+    return progress.withColumn(
+        "action", F.when(is_terminal(F.col("state")), "stop").when(F.col("state") == "paused", "wait").when((F.col("state") == "running") & over, "pause").otherwise("run")
+    )
+
+
+def status_line(progress: DataFrame) -> DataFrame:
+    """``line``: a progress row as one line of text."""
+    cell = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-")))
+    return progress.select(F.concat_ws(" ", *[cell(c) for c in progress.columns]).alias("line"))
+
+
+def sync_campaign(rows: DataFrame, ledger: DataFrame, repetitions: int) -> DataFrame:
+    """Ledger rows after a run's ``custom_id, cue, trial, ...`` were taken in: at most ``repetitions`` a cue by trial, ids once, the ledger's first."""
+    capped = cap_per_cue(rows.where("cue <> ''"), repetitions, ["trial", "custom_id"])
+    fresh = first_wins(capped, "custom_id", "trial").join(ledger.select("custom_id"), "custom_id", "left_anti")
+    return ledger.unionByName(fresh.select(*ledger.columns))
+
+
+def reconcile(existing: DataFrame, late: DataFrame, repetitions: int, position: str = "position") -> DataFrame:
+    """Existing and new late rows, of cues with ``repetitions`` rows or more, their first ones by ``position``, renumbered.
+
+    Late rows come behind the existing ones of their cue; ids follow from the new numbers.
+    """
+    placed = merge_late(existing.withColumn("__late", F.lit(0)), late.withColumn("__late", F.lit(1))).withColumn("__at", F.struct("__late", position))
+    kept = cap_and_renumber(placed, repetitions, "__at")
+    return kept.withColumn("custom_id", request_id(F.col("cue"), F.col("trial"))).drop("__late", "__at")
+
+
+def sorted_ids(states: DataFrame) -> DataFrame:
+    """``state, position, custom_id`` of ``custom_id, state``: each state's distinct ids, numbered from 0 in order."""
+    ids = states.select("state", "custom_id").where("state is not null and custom_id is not null").distinct()
+    return running_total(ids, group=["state"], buckets={"id": F.substring("custom_id", 1, 3)}, order=["custom_id"], out="position").select("state", "position", "custom_id")

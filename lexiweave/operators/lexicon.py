@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.functions.text import lemma_candidates
+from lexiweave.functions.text import lemma_candidates, strip
+from lexiweave.runtime import Scratch
 
 
 def replace_cells(df: DataFrame, columns: list[str], pairs: DataFrame) -> DataFrame:
@@ -22,11 +23,22 @@ def replace_cells(df: DataFrame, columns: list[str], pairs: DataFrame) -> DataFr
     return df
 
 
+def distinct_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``cell`` of all the columns, each value once; null is blank."""
+    return df.select(F.explode(F.array(*[F.coalesce(c, F.lit("")) for c in columns])).alias("cell")).distinct()
+
+
+def map_cells(df: DataFrame, columns: list[str], pairs: DataFrame) -> DataFrame:
+    """Cells by ``pairs(cell, out)``, which is written once and joined once for each column; others stay, null is blank."""
+    kept = Scratch(df.sparkSession, "cells").keep(pairs.select("cell", "out").where("cell <> out"), "pairs")
+    return replace_cells(df.withColumns({c: F.coalesce(c, F.lit("")) for c in columns}), columns, kept)
+
+
 def spelling_dictionary(lines: DataFrame) -> DataFrame:
     """``(wrong, correct)`` of lines ``(line_no, value)`` with a tab between; the last line of a word wins."""
     parts = F.split("value", "\t", 2)
     both = lines.where(F.col("value").contains("\t")).select(
-        "line_no", F.lower(F.trim(F.get(parts, F.lit(0)))).alias("wrong"), F.lower(F.trim(F.get(parts, F.lit(1)))).alias("correct")
+        "line_no", F.lower(strip(F.get(parts, F.lit(0)))).alias("wrong"), F.lower(strip(F.get(parts, F.lit(1)))).alias("correct")
     )
     return both.where("wrong <> '' and correct <> ''").groupBy("wrong").agg(F.max_by("correct", "line_no").alias("correct"))
 
@@ -51,19 +63,21 @@ def lemmatise(df: DataFrame, columns: list[str], lexicon: DataFrame, exceptions:
     ``exceptions(word, lemma)`` go first. ``men`` becomes ``man`` and ``hands``
     becomes ``hand``; with ``substring_hands`` also inside other words.
     """
+    return map_cells(df, columns, lemma_pairs(distinct_cells(df, columns).withColumn("out", F.col("cell")), lexicon, exceptions, substring_hands))
+
+
+def lemma_pairs(pairs: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None, substring_hands: bool = False) -> DataFrame:
+    """``cell, out`` with the lemma of ``out`` in its place (see ``lemmatise``)."""
     words = lexicon.select(F.col("word").alias("__lemma")).distinct()
-    for c in columns:
-        cell = F.coalesce(F.col(c), F.lit(""))
-        distinct = df.select(cell.alias("__cell")).distinct()
-        tries = distinct.select("__cell", F.explode(lemma_candidates(F.col("__cell"))).alias("__lemma")).join(words, "__lemma", "left_semi")
-        found = tries.groupBy("__cell").agg(F.min(F.struct(F.length("__lemma").alias("n"), "__lemma"))["__lemma"].alias("__lemma"))
-        if exceptions is not None:
-            known = exceptions.select(F.col("word").alias("__cell"), F.col("lemma").alias("__known"))
-            found = distinct.join(found, "__cell", "left").join(known, "__cell", "left").select("__cell", F.coalesce("__known", "__lemma").alias("__lemma"))
-        df = df.withColumn(c, cell)
-        lemma = df.join(found, df[c] == found["__cell"], "left").withColumn("__out", F.coalesce("__lemma", c))
-        df = lemma.withColumn(c, _hands(F.col("__out"), substring_hands)).drop("__cell", "__lemma", "__out")
-    return df
+    tries = pairs.select("cell", F.explode(lemma_candidates(F.col("out"))).alias("__lemma")).join(words, "__lemma", "left_semi")
+    found = tries.groupBy("cell").agg(F.min(F.struct(F.length("__lemma").alias("n"), "__lemma"))["__lemma"].alias("__lemma"))
+    joined = pairs.join(found, "cell", "left")
+    lemma = F.coalesce("__lemma", "out")
+    if exceptions is not None:
+        known = exceptions.select(F.col("word").alias("__word"), F.col("lemma").alias("__known"))
+        joined = joined.join(known, joined["out"] == known["__word"], "left")
+        lemma = F.coalesce("__known", lemma)
+    return joined.select("cell", _hands(lemma, substring_hands).alias("out"))
 
 
 def _hands(word: Column, substring: bool) -> Column:
@@ -78,3 +92,8 @@ def subgraph(edges: DataFrame, lexicon: DataFrame) -> DataFrame:
     for end in ("src", "tgt"):
         out = out.join(words, F.replace(out[end], F.lit(" "), F.lit("_")) == words["__w"], "left_semi")
     return out
+
+
+def within_norms(words: DataFrame, length: tuple[int, int] = (4, 9), zipf: tuple[float, float] = (2.5, 5.0)) -> DataFrame:
+    """Rows of ``word, zipf`` whose word has letters and hyphens only, and whose length and frequency lie within the bounds."""
+    return words.where(F.length("word").between(*length) & F.col("zipf").between(*zipf) & F.col("word").rlike("^[a-zA-Z-]+$"))

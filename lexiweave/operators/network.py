@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.operators.components import connected_components
@@ -56,9 +56,14 @@ def strongest(edges: DataFrame, word: str, k: int) -> DataFrame:
     near = edges.where((F.col("src") == word) | (F.col("tgt") == word)).select(
         F.when(F.col("src") == word, F.col("tgt")).otherwise(F.col("src")).alias("word"), "wt"
     )
-    share = near.withColumn("share", F.col("wt") / F.sum("wt").over(Window.partitionBy(F.lit(1))))
-    return share.orderBy(F.desc("wt"), "word").limit(k)
+    total = near.agg(F.sum("wt").alias("__total"))
+    return near.crossJoin(F.broadcast(total)).select("word", "wt", (F.col("wt") / F.col("__total")).alias("share")).orderBy(F.desc("wt"), "word").limit(k)
 
 
 def vocabulary(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("word")).union(edges.select("tgt")).distinct()
+
+
+def graph_size(edges: DataFrame) -> DataFrame:
+    """One row ``nodes, edges``."""
+    return vocabulary(edges).agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))

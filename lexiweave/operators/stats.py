@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.functions.text import cosine_distance
 from lexiweave.operators.network import vocabulary
+from lexiweave.runtime import Scratch, running_total_by_order
 
 
 def edge_distances(edges: DataFrame, vectors: DataFrame, oov: str = "skip", dim: int | None = None) -> DataFrame:
@@ -18,16 +19,19 @@ def edge_distances(edges: DataFrame, vectors: DataFrame, oov: str = "skip", dim:
     still missing have no vector (``skip``) or the zero vector of ``dim``
     numbers (``zero``), whose distance is 1.
     """
+    words = vocabulary(edges).where("word is not null")
+    exact = words.join(vectors.select("word", "vec"), "word")
+    under = vectors.select(F.col("word").alias("__under"), "vec")
+    missed = words.join(vectors.select("word"), "word", "left_anti")
+    found = exact.unionByName(missed.join(under, F.replace("word", F.lit(" "), F.lit("_")) == under["__under"]).select("word", "vec"))
     out = edges
     for end in ("src", "tgt"):
-        exact = vectors.select(F.col("word").alias(f"__{end}"), F.col("vec").alias(f"__v_{end}"))
-        under = vectors.select(F.col("word").alias(f"__u_{end}"), F.col("vec").alias(f"__w_{end}"))
-        out = out.join(exact, out[end] == exact[f"__{end}"], "left")
-        out = out.join(under, F.replace(out[end], F.lit(" "), F.lit("_")) == under[f"__u_{end}"], "left")
-    found = [F.coalesce(f"__v_{end}", f"__w_{end}") for end in ("src", "tgt")]
+        own = found.select(F.col("word").alias(f"__{end}"), F.col("vec").alias(f"__v_{end}"))
+        out = out.join(own, out[end] == own[f"__{end}"], "left")
+    both = [F.col(f"__v_{end}") for end in ("src", "tgt")]
     if oov == "zero":
-        found = [F.coalesce(v, F.array_repeat(F.lit(0.0).cast("float"), dim)) for v in found]
-    return out.select("src", "tgt", "wt", F.when(found[0].isNotNull() & found[1].isNotNull(), cosine_distance(*found)).alias("distance"))
+        both = [F.coalesce(v, F.array_repeat(F.lit(0.0).cast("float"), dim)) for v in both]
+    return out.select("src", "tgt", "wt", F.when(both[0].isNotNull() & both[1].isNotNull(), cosine_distance(*both)).alias("distance"))
 
 
 def nearest(word: str, vectors: DataFrame) -> DataFrame:
@@ -72,25 +76,37 @@ def correlation_p(r: float, n: int) -> float:
 def average_rank(column: str, out: str, df: DataFrame) -> DataFrame:
     """Rank from 1 by value, ties sharing their mean rank.
 
-    Ranks come from the counts of distinct values, so only those pass through one task.
+    Ranks are running totals of the counts of distinct values, cut into ranges
+    of the value, so neither rows nor values pass through one task.
     """
     per = df.groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = per.select(F.col(column).alias("__v"), (before + (F.col("__n") + 1) / 2).alias(out))
+    before = running_total_by_order(per, [column], "__before", F.col("__n"))
+    ranks = before.select(F.col(column).alias("__v"), (F.col("__before") + (F.col("__n") + 1) / 2).alias(out))
     return df.join(ranks, df[column] == ranks["__v"]).drop("__v")
 
 
+def quantile(df: DataFrame, column: str, q: float) -> DataFrame:
+    """One row ``value``: the exact quantile with linear interpolation; null for no rows. Nulls are left out."""
+    per = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    placed = running_total_by_order(per, [column], "__before", F.col("__n"))
+    total = placed.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__total")).select(((F.col("__total") - 1) * F.lit(q)).alias("__at"))
+    holds = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__n")), F.col(column).cast("double")))
+    low, high = F.floor("__at"), F.ceil("__at")
+    ends = placed.crossJoin(F.broadcast(total)).agg(holds(low).alias("low"), holds(high).alias("high"), F.max(F.col("__at") - low).alias("part"))
+    return ends.select((F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value"))
+
+
 def _corr(x: str, y: str):
-    fixed = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    n, mx, my = F.count("*"), F.avg(x), F.avg(y)
-    cov = F.avg(F.col(x) * F.col(y)) - mx * my
-    spread = F.sqrt((F.avg(F.col(x) * F.col(x)) - mx * mx) * (F.avg(F.col(y) * F.col(y)) - my * my))
-    return F.when((n < 2) | fixed, F.lit(float("nan"))).otherwise(cov / F.when(spread == 0, None).otherwise(spread))
+    """Pearson's r from centred sums; NaN for fewer than two rows or a constant column."""
+    fixed = (F.count("*") < 2) | (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
+    return F.when(fixed, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / F.when(spread == 0, None).otherwise(spread))
 
 
 def correlations(distances: DataFrame) -> DataFrame:
     """``n, pearson_r, spearman_r`` of weight and distance; NaN for fewer than two rows or a constant column."""
     rows = distances.where("distance is not null").select(F.col("wt").cast("double").alias("wt"), F.col("distance").alias("distance"))
+    rows = Scratch(rows.sparkSession, "distances").keep(rows, "rows")
     ranked = average_rank("distance", "rank_d", average_rank("wt", "rank_w", rows))
     return ranked.agg(F.count("*").alias("n"), _corr("wt", "distance").alias("pearson_r"), _corr("rank_w", "rank_d").alias("spearman_r"))
 
@@ -106,7 +122,8 @@ def missing_words(edges: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def correlation_table(edges: DataFrame, vectors: DataFrame, oov: str = "skip", dim: int | None = None) -> DataFrame:
     """``metric, value``: both correlations with p-values, missing words and edges."""
-    distances, missing = edge_distances(edges, vectors, oov, dim), missing_words(edges, vectors).count()
+    distances = Scratch(edges.sparkSession, "distances").keep(edge_distances(edges, vectors, oov, dim), "all")
+    missing = missing_words(edges, vectors).count()
     row = correlations(distances).first()
     misses = distances.where("distance is null").count()
     values = [("pearson_r", row["pearson_r"]), ("pearson_p", correlation_p(row["pearson_r"], row["n"])), ("spearman_r", row["spearman_r"]),
@@ -116,6 +133,6 @@ def correlation_table(edges: DataFrame, vectors: DataFrame, oov: str = "skip", d
 
 def outliers(distances: DataFrame, weight_q: float = 0.9, distance_q: float = 0.9) -> DataFrame:
     """Edges whose weight and distance both reach their quantile (linear interpolation)."""
-    rows = distances.where("distance is not null")
-    cut = rows.agg(F.percentile("wt", weight_q).alias("__w"), F.percentile("distance", distance_q).alias("__d"))
+    rows = Scratch(distances.sparkSession, "distances").keep(distances.where("distance is not null"), "rows")
+    cut = quantile(rows, "wt", weight_q).withColumnRenamed("value", "__w").crossJoin(quantile(rows, "distance", distance_q).withColumnRenamed("value", "__d"))
     return rows.join(F.broadcast(cut), (rows["wt"] >= cut["__w"]) & (rows["distance"] >= cut["__d"])).drop("__w", "__d")

@@ -11,7 +11,8 @@ from lexiweave.functions import text as T
 from lexiweave.operators import balance, compare, ledger, lexicon, network, stats
 from lexiweave.plans import cleaning, views
 from lexiweave.plans.views import with_views
-from lexiweave.sources import envelopes
+from lexiweave.runtime import Scratch
+from lexiweave.sources import envelopes, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,10 +55,8 @@ def request_ids(spark, d):
     FROM (SELECT trial, cue, list_filter(r, lambda x: x <> '' AND x <> cue) AS k FROM n))""".replace("[x FOR i, x IN zipped]", "list_transform(zipped, lambda s: s.x)"))
 def normalize_legacy(spark, d):
     m = views.messy(spark, d)
-    cue = T.normal_token(F.col("cue"))
-    tokens = F.transform(F.filter(F.array(*T.RESPONSES), lambda x: x.isNotNull()), T.normal_token)
-    named = m.select("trial", cue.alias("cue"), tokens.alias("r"))
-    return named.select("trial", "cue", T.join_pipe(T.distinct_tokens(F.filter("r", lambda x: x != F.col("cue")))).alias("responses"))
+    named = m.select("trial", T.normal_token(F.col("cue")).alias("cue"), F.array(*T.RESPONSES).alias("r"))
+    return named.select("trial", "cue", T.join_pipe(T.legacy_responses(F.col("r"), F.col("cue"))).alias("responses"))
 
 
 @query(f"SELECT conv_id, turn, coalesce(p[1], '') AS R1, coalesce(p[2], '') AS R2, coalesce(p[3], '') AS R3 FROM (SELECT conv_id, turn, {_PARSED} AS p FROM conversations)")
@@ -135,10 +134,18 @@ def dedupe_and_shift(spark, d):
     return cleaning.compact_responses(cleaning.normalise(views.messy(spark, d))).select("trial", *T.CELLS)
 
 
-@query(with_views("messy", "spelling", "compounds") + f""", c0 AS (SELECT DISTINCT replace(lower(cue), '_', ' ') AS cue FROM messy),
-    c1 AS (SELECT coalesce(correct, cue) AS cue FROM c0 LEFT JOIN spelling ON wrong = cue), c2 AS (SELECT DISTINCT coalesce(expanded, cue) AS cue FROM c1 LEFT JOIN compounds ON squashed = cue),
-    cells AS (SELECT cue AS word FROM c2), tries AS ({_TRIES}), best AS (SELECT word, arg_min(lemma, (length(lemma), lemma)) AS lemma FROM tries WHERE lemma IN (SELECT word FROM lexicon) AND lemma <> '' GROUP BY word)
-    SELECT DISTINCT CASE l WHEN 'men' THEN 'man' WHEN 'hands' THEN 'hand' ELSE l END AS cue FROM (SELECT coalesce(lemma, word) AS l FROM cells LEFT JOIN best USING (word)) WHERE l <> ''""")
+def _lemma(p: str, words: str) -> str:
+    """CTEs that end in ``{p}(word, lemma)`` of the distinct words that the SQL ``words`` gives as ``word``."""
+    tries = " UNION ALL ".join([f"SELECT word, word AS lemma FROM {p}_w"] + [f"SELECT word, left(word, length(word) - {len(e)}) || '{r}' FROM {p}_w WHERE ends_with(word, '{e}')" for e, r in _RULES])
+    return f"""{p}_w AS (SELECT DISTINCT word FROM ({words})), {p}_t AS ({tries}), {p}_b AS (SELECT word, arg_min(lemma, (length(lemma), lemma)) AS lemma FROM {p}_t WHERE lemma IN (SELECT word FROM lexicon) AND lemma <> '' GROUP BY word),
+    {p} AS (SELECT word, CASE l WHEN 'men' THEN 'man' WHEN 'hands' THEN 'hand' ELSE l END AS lemma FROM (SELECT word, coalesce(lemma, word) AS l FROM {p}_w LEFT JOIN {p}_b USING (word)))"""
+
+
+_UNIQUE = f""", c0 AS (SELECT DISTINCT replace(lower(cue), '_', ' ') AS cue FROM messy), c1 AS (SELECT coalesce(correct, cue) AS cue FROM c0 LEFT JOIN spelling ON wrong = cue),
+    c2 AS (SELECT DISTINCT coalesce(expanded, cue) AS cue FROM c1 LEFT JOIN compounds ON squashed = cue), {_lemma("ul", "SELECT cue AS word FROM c2")}, u AS (SELECT DISTINCT lemma AS cue FROM ul WHERE lemma <> '')"""
+
+
+@query(with_views("messy", "spelling", "compounds") + _UNIQUE + " SELECT cue FROM u")
 def unique_cues(spark, d):
     lex = views.lexicon(spark, d)
     return cleaning.unique_cues(views.messy(spark, d), views.spelling(spark, d), lexicon.compound_dictionary(lex), lex)
@@ -264,7 +271,8 @@ def correlation_table(spark, d):
 @query(with_views("vectors", "vector_edges") + _DIST + " SELECT round(quantile_cont(wt, 0.9), 5) AS wt_cut, round(quantile_cont(distance, 0.9), 5) AS distance_cut FROM dist WHERE distance IS NOT NULL")
 def quantile_cutoffs(spark, d):
     rows = _dist(spark, d).where("distance is not null")
-    return rows.agg(F.round(F.percentile("wt", 0.9), 5).alias("wt_cut"), F.round(F.percentile("distance", 0.9), 5).alias("distance_cut"))
+    cuts = [stats.quantile(rows, c, 0.9).select(F.round("value", 5).alias(f"{c}_cut")) for c in ("wt", "distance")]
+    return cuts[0].crossJoin(cuts[1])
 
 
 @query(with_views("vectors", "vector_edges") + _DIST + ", q AS (SELECT quantile_cont(wt, 0.6) AS qw, quantile_cont(distance, 0.6) AS qd FROM dist WHERE distance IS NOT NULL) SELECT src, tgt, wt, round(distance, 5) AS distance FROM dist, q WHERE wt >= qw AND distance >= qd")
@@ -451,10 +459,16 @@ def edge_set(spark, d):
     return network.directed_edges(views.trials(spark, d)).select("src", "tgt").distinct()
 
 
-@query(with_views("trials") + " SELECT cue, n, CASE WHEN n > 5 THEN 'over' WHEN n = 5 THEN 'exact' ELSE 'under' END AS class FROM (SELECT cue, count(*) AS n FROM trials GROUP BY cue)")
+@query(with_views("trials") + """, n AS (SELECT cue, count(*) AS n FROM trials GROUP BY cue), w AS (SELECT cue FROM trials UNION SELECT R1 FROM trials)
+    SELECT cue, coalesce(n, 0) AS n, CASE WHEN n > 5 THEN 'over' WHEN n = 5 THEN 'exact' WHEN n > 0 THEN 'under' ELSE 'missing' END AS class FROM w LEFT JOIN n USING (cue)""")
 def cue_balance_class(spark, d):
-    n = views.trials(spark, d).groupBy("cue").agg(F.count("*").alias("n"))
-    return n.withColumn("class", F.when(F.col("n") > 5, "over").when(F.col("n") == 5, "exact").otherwise("under"))
+    t = views.trials(spark, d)
+    return balance.balance_class(t, t.select("cue").union(t.select("R1")), 5)
+
+
+@query(with_views("pairs") + " SELECT (SELECT count(*) FROM (SELECT src FROM pairs UNION SELECT tgt FROM pairs)) AS nodes, (SELECT count(*) FROM pairs) AS edges")
+def graph_size(spark, d):
+    return network.graph_size(network.undirected(network.directed_edges(views.trials(spark, d))))
 
 
 @query(with_views("pairs") + " SELECT DISTINCT word FROM (SELECT src AS word FROM pairs UNION SELECT tgt FROM pairs)")
@@ -472,8 +486,8 @@ def idiosyncratic_filter(spark, d):
     return network.not_idiosyncratic(network.undirected(network.directed_edges(views.trials(spark, d))))
 
 
-_COMPONENTS = """, sym AS (SELECT src, tgt FROM heavy UNION SELECT tgt, src FROM heavy), reach(node, root) AS (SELECT DISTINCT src, src FROM sym UNION SELECT b.tgt, r.root FROM reach r JOIN sym b ON b.src = r.node WHERE r.root < b.tgt),
-    comp AS (SELECT node, min(root) AS component FROM reach GROUP BY node)"""
+_COMPONENTS = """, sym AS (SELECT src, tgt FROM heavy UNION SELECT tgt, src FROM heavy), comp(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM sym UNION
+    SELECT s.tgt, min(c.component) FROM comp c JOIN sym s ON s.src = c.node JOIN recurring.comp k ON k.node = s.tgt WHERE c.component < k.component GROUP BY s.tgt)"""
 
 
 def _heavy(spark, d):
@@ -521,17 +535,144 @@ def edge_diff(spark, d):
     return compare.edge_diff(pairs, network.not_idiosyncratic(pairs))
 
 
+# Ledger guards, merges and metadata
+
+_PROGRESS = ", pr AS (SELECT cue, CASE min(event_type) WHEN 'click' THEN 'running' WHEN 'view' THEN 'paused' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS state, sum(coalesce(k, 0)) / 1000.0::DOUBLE AS cost_usd FROM ledger GROUP BY cue)"
+
+
+def _progress(spark, d):
+    kind = F.min("event_type")
+    state = F.when(kind == "click", "running").when(kind == "view", "paused").when(kind == "purchase", "completed").otherwise("failed")
+    return views.ledger(spark, d).groupBy("cue").agg(state.alias("state"), (F.sum(F.coalesce("k", F.lit(0))) / F.lit(1000.0)).alias("cost_usd"))
+
+
+@query(with_views("ledger") + _PROGRESS + " SELECT cue, state, round(cost_usd, 6) AS cost_usd, CASE WHEN state IN ('completed', 'timed_out', 'failed') THEN 'stop' WHEN state = 'paused' THEN 'wait' WHEN cost_usd >= 3 THEN 'pause' ELSE 'run' END AS action FROM pr")
+def guard_actions(spark, d):
+    return ledger.guard(_progress(spark, d), 3.0).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@query(with_views("ledger") + " SELECT 'cue=' || cue || ' completed=' || count(*) || ' distinct_ids=' || count(DISTINCT custom_id) AS line FROM ledger GROUP BY cue")
+def status_lines(spark, d):
+    return ledger.status_line(ledger.completed_by_cue(views.ledger(spark, d)))
+
+
+@query(with_views("ledger") + " SELECT sum(coalesce(k, 0))::BIGINT AS input_tokens, 0::BIGINT AS output_tokens, round(sum(coalesce(k, 0)) / 1e6 * 0.25, 6) AS cost_usd FROM ledger WHERE custom_id IN (SELECT custom_id FROM ledger WHERE event_type = 'purchase')")
+def usage_completed(spark, d):
+    usage = views.ledger(spark, d).select("custom_id", F.col("k").alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"))
+    return ledger.usage_cost(ledger.usage_of(usage, _of_type(spark, d, "purchase")), 0.25, 2.0)
+
+
+@query(with_views("requests", "ledger") + _MASTER + ", h AS (SELECT cue, count(*) AS n FROM ledger GROUP BY cue) SELECT position, cue, coalesce(n, 0) AS completed FROM master LEFT JOIN h USING (cue) WHERE coalesce(n, 0) < 60")
+def open_cues(spark, d):
+    return ledger.open_cues(balance.master_order(views.requests(spark, d), 42), views.ledger(spark, d), 60)
+
+
+@query(with_views("requests", "ledger") + _INDEX + " SELECT count(*) AS skipped FROM idx WHERE custom_id IN (SELECT custom_id FROM ledger WHERE event_type = 'view')")
+def skipped_requests(spark, d):
+    return ledger.skipped_count(_index(spark, d), _of_type(spark, d, "view"))
+
+
+@query(with_views("ledger") + ", s AS (SELECT DISTINCT event_type AS state, custom_id FROM ledger) SELECT state, row_number() OVER (PARTITION BY state ORDER BY custom_id) - 1 AS position, custom_id FROM s")
+def sorted_ids(spark, d):
+    return ledger.sorted_ids(views.ledger(spark, d).select("custom_id", F.col("event_type").alias("state")))
+
+
+@query(with_views("requests") + _INDEX + " SELECT * FROM (SELECT (rn - 1) // 64 AS chunk, count(*) AS n, min(custom_id) AS first_id, max(custom_id) AS last_id FROM (SELECT custom_id, row_number() OVER (ORDER BY custom_id) AS rn FROM idx) GROUP BY 1) WHERE chunk < 3")
+def open_slots(spark, d):
+    return balance.open_slots(balance.chunks(_index(spark, d), 64, "custom_id"), 2, 5)
+
+
+@query(with_views("ledger") + """, l AS (SELECT DISTINCT custom_id, cue, trial FROM ledger WHERE event_type = 'click'), r AS (SELECT DISTINCT custom_id, cue, trial FROM ledger WHERE event_type <> 'click'),
+    t AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY trial, custom_id) AS rn FROM r) SELECT * FROM l UNION ALL SELECT custom_id, cue, trial FROM t WHERE rn <= 12 AND custom_id NOT IN (SELECT custom_id FROM l)""")
+def sync_campaign(spark, d):
+    own = views.ledger(spark, d)
+    rows = [own.where(f"event_type {op} 'click'").select("custom_id", "cue", "trial").distinct() for op in ("<>", "=")]
+    return ledger.sync_campaign(rows[0], rows[1], 12)
+
+
+@query(with_views("ledger") + """, a AS (SELECT custom_id, cue, trial, min(event_id) AS position, 0 AS late FROM ledger WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT custom_id, cue, trial, min(event_id) AS position, 1 AS late FROM ledger WHERE event_type = 'view' GROUP BY ALL),
+    m AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE custom_id NOT IN (SELECT custom_id FROM a) AND (cue, trial) NOT IN (SELECT (cue, trial) FROM a)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY late, position) AS rn, count(*) OVER (PARTITION BY cue) AS n FROM m) SELECT left(sha1(cue || '|' || (rn - 1)), 16) AS custom_id, cue, (rn - 1)::INT AS trial, position FROM k WHERE n >= 10 AND rn <= 10""")
+def reconcile_late(spark, d):
+    a, b = (_of_type(spark, d, k).groupBy("custom_id", "cue", "trial").agg(F.min("event_id").alias("position")) for k in ("click", "view"))
+    return ledger.reconcile(a, b, 10)
+
+
+@query(with_views("lexicon") + " SELECT word, length(word) / 2.0::DOUBLE AS zipf FROM lexicon WHERE length(word) BETWEEN 5 AND 9 AND regexp_full_match(word, '[a-zA-Z-]+')")
+def norms_filter(spark, d):
+    return lexicon.within_norms(views.lexicon(spark, d).select("word", (F.length("word") / F.lit(2.0)).alias("zipf")))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS run_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS at FROM events")
+def run_times(spark, d):
+    return views.table(spark, d, "events").select("event_id", files.run_id(F.col("ts")).alias("run_id"), files.iso_utc(F.col("ts")).alias("at"))
+
+
+# Tolerant JSON
+
+_KIND = "CASE conv_id % 5 WHEN 0 THEN '{bad' WHEN 1 THEN '' WHEN 2 THEN '[1]' END"
+
+
+@query(f"SELECT 'c' || conv_id || '-' || turn AS id, text FROM conversations WHERE {_KIND} IS NULL")
+def jsonl_scan(spark, d):
+    body = F.to_json(F.struct(F.expr("'c' || conv_id || '-' || turn").alias("id"), "text"))
+    path = f"{Scratch(spark, 'jsonl').root}/lines"
+    views.raw_text(spark, d).select(F.coalesce(F.expr(_KIND), body).alias("value")).write.text(path)
+    return files.read_jsonl(spark, path, "id string, text string")
+
+
+@query("SELECT 'p' || conv_id || '-' || turn || '-' || i AS custom_id, true AS ok, 't' || i AS text, i AS input_tokens, NULL::BIGINT AS output_tokens FROM conversations, range(3) r(i) WHERE i < CASE turn % 4 WHEN 0 THEN 1 ELSE 3 END")
+def envelope_payloads(spark, d):
+    one = "to_json(struct('p' || conv_id || '-' || turn || '-' || i as custom_id, struct('succeeded' as type, struct(array(struct('text' as type, 't' || i as text)) as content, struct(cast(i as bigint) as input_tokens) as usage) as message) as result))"
+    all_ = f"transform(sequence(0, 2), i -> {one})"
+    shape = f"CASE turn % 4 WHEN 0 THEN {all_}[0] WHEN 1 THEN '[' || array_join({all_}, ',') || ']' WHEN 2 THEN '{{\"results\":[' || array_join({all_}, ',') || ']}}' ELSE array_join({all_}, '\n') END"
+    return envelopes.from_a(views.raw_text(spark, d).select(F.expr(shape).alias("payload")))
+
+
+_LIST = "CASE event_id % 4 WHEN 0 THEN '[\"a\", \"' || event_type || '\"]' WHEN 1 THEN '{\"a\": 1}' WHEN 2 THEN '[\"a' END"
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a|' || event_type ELSE '' END AS items, CASE WHEN event_id % 4 = 1 THEN 1 ELSE -1 END::BIGINT AS a FROM events")
+def json_defaults(spark, d):
+    value = F.expr(_LIST)
+    found = files.json_object(value, "a bigint", F.struct(F.lit(-1).cast("long").alias("a")))
+    return views.table(spark, d, "events").select("event_id", T.join_pipe(files.json_strings(value)).alias("items"), found["a"].alias("a"))
+
+
+@query("SELECT 'r1' AS run_id, 'running' AS state, count(*) AS total FROM events")
+def manifest_kept(spark, d):
+    """The first manifest wins over one made later."""
+    path = f"{Scratch(spark, 'manifest').root}/manifest"
+    row = lambda name: views.table(spark, d, "events").agg(F.lit(name).alias("run_id"), F.lit("running").alias("state"), F.count("*").alias("total"))
+    files.create_or_load(row("r1"), path)
+    return files.create_or_load(row("r2"), path)
+
+
 # Whole pipelines and files
 
-@query()
+def _cells_by(src: str, table: str, k: str, v: str) -> str:
+    joins = " ".join(f"LEFT JOIN {table} m{i} ON m{i}.{k} = t.{c}" for i, c in enumerate(T.CELLS))
+    return f"SELECT trial, {', '.join(f'coalesce(m{i}.{v}, t.{c}) AS {c}' for i, c in enumerate(T.CELLS))} FROM {src} t {joins}"
+
+
+_CLEAN = (
+    _UNIQUE + f", n AS (SELECT trial, {_NORMAL} FROM messy), c AS (SELECT cue FROM u), {_article_steps()}, f1 AS ({_cells_by('s3', 'compounds', 'squashed', 'expanded')}), f2 AS ({_cells_by('f1', 'spelling', 'wrong', 'correct')}), "
+    + _lemma("fl", "SELECT unnest([cue, R1, R2, R3]) AS word FROM f2") + f""", f3 AS ({_cells_by('f2', 'fl', 'word', 'lemma')}),
+    f4 AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY sha1('42|' || cue || '|' || trial), trial) AS rn FROM f3),
+    f5 AS (SELECT p.cue, coalesce(R1, '') AS R1, coalesce(R2, '') AS R2, coalesce(R3, '') AS R3 FROM (SELECT cue, unnest(range(1, 11)) AS rn FROM u) p LEFT JOIN f4 ON f4.cue = p.cue AND f4.rn = p.rn),
+    f6 AS (SELECT cue, """ + ", ".join(f"CASE WHEN {r} = cue THEN '' ELSE {r} END AS {r}" for r in T.RESPONSES) + """ FROM f5),
+    f7 AS (SELECT cue, list_filter([R1, CASE WHEN R2 = R1 THEN '' ELSE R2 END, CASE WHEN R3 = R1 OR R3 = R2 THEN '' ELSE R3 END], lambda x: x <> '') AS k FROM f6)"""
+)
+
+
+@query(with_views("messy", "spelling", "compounds") + _CLEAN + " SELECT cue, coalesce(k[1], '') AS R1, coalesce(k[2], '') AS R2, coalesce(k[3], '') AS R3 FROM f7")
 def full_clean(spark, d):
     lex = views.lexicon(spark, d)
     return cleaning.clean(views.messy(spark, d), views.spelling(spark, d), lexicon.compound_dictionary(lex), lex, 10, 42, ["trial"])
 
 
-@query()
+@query(with_views("ledger") + " SELECT cue, count(DISTINCT custom_id) AS completed FROM ledger GROUP BY cue")
 def stream_ledger(spark, d):
-    from lexiweave.runtime import Scratch
     from lexiweave.streaming.ledger import ROWS, ledger_index, run_ledger
 
     s = Scratch(spark, "stream")
@@ -542,11 +683,8 @@ def stream_ledger(spark, d):
     return ledger_index(spark.read.schema(ROWS).parquet(f"{s.root}/ledger"))
 
 
-@query()
+@query(with_views("directed") + " SELECT * FROM directed")
 def sink_roundtrip(spark, d):
-    from lexiweave.runtime import Scratch
-    from lexiweave.sources import files
-
     path = f"{Scratch(spark, 'files').root}/edges"
     files.write_edges(network.directed_edges(views.trials(spark, d)), path)
     return files.read_csv(spark, path, files.EDGES)

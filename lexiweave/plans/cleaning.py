@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from lexiweave.functions import text as T
 from lexiweave.operators.balance import balance
-from lexiweave.operators.lexicon import lemmatise, replace_cells
+from lexiweave.operators.lexicon import distinct_cells, lemma_pairs, lemmatise, map_cells, replace_cells
+from lexiweave.runtime import Scratch
 
 
 def strip_articles(trials: DataFrame, cues: DataFrame) -> DataFrame:
     """Responses without leading articles, where what has the article is not itself a cue.
 
-    Whether a value is a cue is looked up only for values that begin with an
-    article, one join for each article and response.
+    Only the distinct responses that begin with an article are looked up among
+    the cues, once for each article in turn.
     """
     known = cues.select(F.col("cue").alias("__c")).distinct()
-    out = trials
-    for r in T.RESPONSES:
-        for article in T.ARTICLES:
-            out = out.withColumn("__k", F.when(F.col(r).startswith(article), F.col(r)))
-            out = out.join(known, out["__k"] == known["__c"], "left").withColumn(
-                r, F.when(F.col("__k").isNotNull() & F.col("__c").isNull(), F.substring(r, len(article) + 1, 1 << 30)).otherwise(F.col(r))
-            ).drop("__k", "__c")
-    return out
+    led = F.lit(False)
+    for article in T.ARTICLES:
+        led = led | F.col("cell").startswith(article)
+    pairs = distinct_cells(trials, list(T.RESPONSES)).where(led).withColumn("out", F.col("cell"))
+    for article in T.ARTICLES:
+        bare = F.when(F.col("out").startswith(article) & F.col("__c").isNull(), F.substring("out", len(article) + 1, 1 << 30)).otherwise(F.col("out"))
+        pairs = pairs.join(known, pairs["out"] == known["__c"], "left").select("cell", bare.alias("out"))
+    return map_cells(trials, list(T.RESPONSES), pairs)
 
 
 def normalise(trials: DataFrame) -> DataFrame:
@@ -46,9 +47,17 @@ def compact_responses(trials: DataFrame) -> DataFrame:
 
 
 def clean(trials: DataFrame, spelling: DataFrame, compounds: DataFrame, lexicon: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
-    """``cue, R1, R2, R3``: ``n`` rows for each unique cue, cleaned in the order that the steps depend on."""
-    cues = unique_cues(trials, spelling, compounds, lexicon)
+    """``cue, R1, R2, R3``: ``n`` rows for each unique cue, cleaned in the order that the steps depend on.
+
+    Compounds, spelling and lemmas are applied to the distinct cells; these and
+    the dictionaries are written once, and rows are joined once for each column.
+    """
+    scratch = Scratch(trials.sparkSession, "clean")
+    spelling, compounds, lexicon = (scratch.keep(x, n) for x, n in ((spelling, "spelling"), (compounds, "compounds"), (lexicon, "lexicon")))
+    cues = scratch.keep(unique_cues(trials, spelling, compounds, lexicon), "cues")
     rows = strip_articles(normalise(trials), cues)
-    rows = replace_cells(replace_cells(rows, list(T.CELLS), compounds), list(T.CELLS), spelling)
-    rows = lemmatise(rows, list(T.CELLS), lexicon)
+    pairs = distinct_cells(rows, list(T.CELLS)).withColumn("out", F.col("cell"))
+    for dictionary in (compounds, spelling):
+        pairs = replace_cells(pairs, ["out"], dictionary)
+    rows = map_cells(rows, list(T.CELLS), lemma_pairs(pairs, lexicon))
     return compact_responses(balance(rows, cues, n, seed, key))

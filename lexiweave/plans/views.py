@@ -12,31 +12,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _words(text: str = "text"):
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: x != "")
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``trial, cue, R1, R2, R3``: the first four words of each document."""
-    w = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("trial"), w.alias("w")).where("size(w) >= 4")
-    return own.select("trial", *[F.get("w", F.lit(i)).alias(c) for i, c in enumerate(T.CELLS)])
+    """``trial, cue, R1, R2, R3``: the words of each document, four by four; the last row of a document may end in blanks.
+
+    ``trial`` is the document's number and, in the last 32 bits, the row's.
+    """
+    own = table(spark, sf_dir, "documents").select("doc_id", _words().alias("w")).where("size(w) > 0")
+    rows = own.select("doc_id", F.posexplode_outer(F.expr("transform(sequence(0, (size(w) - 1) div 4), i -> slice(w, cast(i * 4 + 1 as int), 4))")).alias("i", "r")).where("r is not null")
+    return rows.select((F.col("doc_id") * (1 << 32) + F.col("i")).alias("trial"), *[F.coalesce(F.get("r", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(T.CELLS)])
+
+
+def _capitals(c: str):
+    """ASCII letters as capitals; engines differ on others, such as the German sharp s."""
+    return F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials with articles, underscores, capitals, nulls, self responses and repeats put in."""
     t, i = trials(spark, sf_dir), F.col("trial")
     return t.select(
-        "trial", F.when(i % 7 == 0, F.concat(F.upper("cue"), F.lit("_"), "R1")).otherwise(F.col("cue")).alias("cue"),
+        "trial", F.when(i % 7 == 0, F.concat(_capitals("cue"), F.lit("_"), "R1")).otherwise(F.col("cue")).alias("cue"),
         F.when(i % 6 == 0, F.concat(F.lit("the "), "R1")).when(i % 6 == 1, F.concat(F.lit("to the "), "R1")).when(i % 6 == 2, F.concat(F.lit("a "), "R1"))
-        .when(i % 6 == 3, F.concat(F.upper("R1"), F.lit("_x"))).when(i % 6 == 5, F.col("R1")).alias("R1"),
+        .when(i % 6 == 3, F.concat(_capitals("R1"), F.lit("_x"))).when(i % 6 == 5, F.col("R1")).alias("R1"),
         F.when(i % 4 == 0, F.col("cue")).when(i % 4 == 1, F.col("R1")).otherwise(F.col("R2")).alias("R2"),
         F.when(i % 3 == 0, F.col("R1")).otherwise(F.col("R3")).alias("R3"),
     )
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``word``: words of the benchmark, and per item one compound with ``_`` and one with ``-``."""
-    w = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "")
-    items = table(spark, sf_dir, "benchmark").select(w.alias("w")).where("size(w) >= 4")
-    pairs = F.array(F.concat_ws("_", F.get("w", F.lit(0)), F.get("w", F.lit(1))), F.concat_ws("-", F.get("w", F.lit(2)), F.get("w", F.lit(3))))
-    return items.select(F.explode(F.concat("w", pairs)).alias("word")).distinct()
+    """``word``: words of the benchmark, and of every four in a row one compound with ``_`` and one with ``-``."""
+    items = table(spark, sf_dir, "benchmark").select(_words().alias("w")).where("size(w) > 0")
+    rows = items.select("w", F.expr("transform(sequence(0, (size(w) - 1) div 4), i -> slice(w, cast(i * 4 + 1 as int), 4))").alias("r"))
+    pairs = F.flatten(F.transform(F.filter("r", lambda r: F.size(r) == 4), lambda r: F.array(F.concat_ws("_", F.get(r, F.lit(0)), F.get(r, F.lit(1))), F.concat_ws("-", F.get(r, F.lit(2)), F.get(r, F.lit(3))))))
+    return rows.select(F.explode_outer(F.concat("w", pairs)).alias("word")).distinct()
 
 
 def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +67,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between vector ids by arithmetic; every 50th leads out of the vocabulary."""
-    i = F.col("vec_id")
-    tgt = F.when(i % 50 == 0, F.lit("missing")).otherwise(((i * 7 + 13) % 400).cast("string"))
-    return table(spark, sf_dir, "embeddings").select(i.cast("string").alias("src"), tgt.alias("tgt"), (i % 97 + 1).alias("wt")).where("src <> tgt")
+    """Edges between vector ids by arithmetic, over all ids; every 50th leads out of the vocabulary."""
+    own, i = table(spark, sf_dir, "embeddings").select("vec_id"), F.col("vec_id")
+    n = own.agg((F.max("vec_id") + 1).alias("n"))
+    tgt = F.when(i % 50 == 0, F.lit("missing")).otherwise(((i * 7 + 13) % F.col("n")).cast("string"))
+    return own.crossJoin(F.broadcast(n)).select(i.cast("string").alias("src"), tgt.alias("tgt"), (i % 97 + 1).alias("wt")).where("src <> tgt")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +87,18 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '')"
+_CAPITALS = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 VIEWS = {
-    "trials": f"trials AS (SELECT trial, w[1] AS cue, w[2] AS R1, w[3] AS R2, w[4] AS R3 FROM (SELECT doc_id AS trial, {_WORDS} AS w FROM documents) WHERE len(w) >= 4)",
-    "messy": """messy AS (SELECT trial, CASE WHEN trial % 7 = 0 THEN upper(cue) || '_' || R1 ELSE cue END AS cue,
-        CASE trial % 6 WHEN 0 THEN 'the ' || R1 WHEN 1 THEN 'to the ' || R1 WHEN 2 THEN 'a ' || R1 WHEN 3 THEN upper(R1) || '_x' WHEN 5 THEN R1 END AS R1,
+    "trials": f"""trials AS (SELECT doc_id * 4294967296 + i AS trial, w[4 * i + 1] AS cue, coalesce(w[4 * i + 2], '') AS R1, coalesce(w[4 * i + 3], '') AS R2, coalesce(w[4 * i + 4], '') AS R3
+        FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 3) // 4)) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)))""",
+    "messy": f"""messy AS (SELECT trial, CASE WHEN trial % 7 = 0 THEN {_CAPITALS.format('cue')} || '_' || R1 ELSE cue END AS cue,
+        CASE trial % 6 WHEN 0 THEN 'the ' || R1 WHEN 1 THEN 'to the ' || R1 WHEN 2 THEN 'a ' || R1 WHEN 3 THEN {_CAPITALS.format('R1')} || '_x' WHEN 5 THEN R1 END AS R1,
         CASE trial % 4 WHEN 0 THEN cue WHEN 1 THEN R1 ELSE R2 END AS R2, CASE trial % 3 WHEN 0 THEN R1 ELSE R3 END AS R3 FROM trials)""",
-    "lexicon": f"""lexicon AS (SELECT DISTINCT unnest(list_concat(w, [w[1] || '_' || w[2], w[3] || '-' || w[4]])) AS word FROM (SELECT {_WORDS} AS w FROM benchmark) WHERE len(w) >= 4)""",
+    "lexicon": f"""lexicon AS (SELECT DISTINCT unnest(list_concat(w, flatten(list_transform(range(0, len(w) // 4), lambda i: [w[4 * i + 1] || '_' || w[4 * i + 2], w[4 * i + 3] || '-' || w[4 * i + 4]])))) AS word
+        FROM (SELECT {_WORDS} AS w FROM benchmark))""",
     "spelling": "spelling AS (SELECT word AS wrong, left(word, length(word) - 3) || 'ed' AS correct FROM lexicon WHERE word LIKE '%_ing' AND NOT contains(word, '_') AND NOT contains(word, '-'))",
     "vectors": "vectors AS (SELECT vec_id::VARCHAR AS word, embedding AS vec FROM embeddings)",
-    "vector_edges": "vector_edges AS (SELECT * FROM (SELECT vec_id::VARCHAR AS src, CASE WHEN vec_id % 50 = 0 THEN 'missing' ELSE ((vec_id * 7 + 13) % 400)::VARCHAR END AS tgt, vec_id % 97 + 1 AS wt FROM embeddings) WHERE src <> tgt)",
+    "vector_edges": "vector_edges AS (SELECT * FROM (SELECT vec_id::VARCHAR AS src, CASE WHEN vec_id % 50 = 0 THEN 'missing' ELSE ((vec_id * 7 + 13) % (SELECT max(vec_id) + 1 FROM embeddings))::VARCHAR END AS tgt, vec_id % 97 + 1 AS wt FROM embeddings) WHERE src <> tgt)",
     "requests": "requests AS (SELECT DISTINCT user_id AS pos, 'u' || user_id AS cue FROM events)",
     "ledger": "ledger AS (SELECT *, left(sha1(cue || '|' || trial), 16) AS custom_id FROM (SELECT event_id, 'u' || user_id AS cue, (event_id % 20)::INT AS trial, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events))",
     "compounds": """compounds AS (SELECT squashed, expanded FROM (SELECT squashed, expanded, row_number() OVER (PARTITION BY squashed ORDER BY rank DESC, expanded DESC) AS rn FROM

@@ -129,3 +129,15 @@ def running_total(
     return joined.withColumn(
         out, (F.col("__offset") + F.coalesce(F.sum("__value").over(inside), F.lit(0))).cast("long")
     ).drop(*names, "__value", "__offset")
+
+
+def running_total_by_order(df: DataFrame, order: Sequence[str], out: str, value: Column | None = None) -> DataFrame:
+    """Exclusive running total of ``value`` (rows, if None) over all rows in the order of ``order``.
+
+    The rows are cut into ranges of the order and written once, so that a range
+    keeps its rows; only one row a range passes through one task.
+    """
+    spark = df.sparkSession
+    cut = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    kept = Scratch(spark, "ranges").keep(cut, "ranges")
+    return running_total(kept, group=[], buckets={"range": F.col("__range")}, order=order, out=out, value=value).drop("__range")

@@ -16,13 +16,22 @@ ENVELOPE_B = (
 
 
 def objects(payload: Column, fields: str) -> Column:
-    """Objects of a payload that is one object, an array of them, or one wrapped as ``results``; malformed: none."""
-    many = f"array<struct<{fields}>>"
+    """Objects of a payload that is one object, an array of them, one wrapped as ``results``, or one object a line; malformed ones: none."""
+    many, no_id = f"array<struct<{fields}>>", lambda x: x["custom_id"].isNotNull()
     one = F.from_json(payload, f"struct<{fields}>")
     listed = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, many))
     wrapped = F.from_json(payload, f"struct<results:{many}>")["results"]
+    lines = F.filter(F.transform(F.split(payload, "[\r\n]+"), lambda x: F.from_json(x, f"struct<{fields}>")), no_id)
     single = F.when(one["custom_id"].isNotNull(), F.array(one))
-    return F.filter(F.coalesce(wrapped, listed, single, F.array().cast(many)), lambda x: x["custom_id"].isNotNull())
+    return F.filter(F.coalesce(wrapped, listed, F.when(F.size(lines) > 0, lines), single, F.array().cast(many)), no_id)
+
+
+def joined_files(*files: DataFrame) -> DataFrame:
+    """Lines of an output file and an error file as one table."""
+    out = files[0]
+    for f in files[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def from_a(rows: DataFrame, payload: str = "payload") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.functions.text import strip
@@ -27,9 +27,56 @@ def read_cues(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of a JSON-lines file; blank, malformed and non-object lines are skipped."""
+    """Objects of a JSON-lines file; blank, malformed and non-object lines are skipped, absent fields are null."""
     lines = spark.read.text(path).where(F.ltrim("value").startswith("{"))
-    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r")).where("r is not null").select("r.*")
+    parsed = F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    return lines.select(parsed.alias("r")).where("r is not null and r.__bad is null").select("r.*").drop("__bad")
+
+
+def json_object(text: Column, schema: str, default: Column) -> Column:
+    """The object that a text holds, or the default if it is missing, malformed or no object."""
+    parsed = F.from_json(text, f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    return F.when(F.ltrim(text).startswith("{") & parsed["__bad"].isNull(), parsed.dropFields("__bad")).otherwise(default)
+
+
+def json_strings(text: Column) -> Column:
+    """The strings of a JSON list; none if the text is missing, malformed or no list."""
+    return F.filter(F.coalesce(F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>")), F.array().cast("array<string>")), lambda x: x.isNotNull())
+
+
+def discover_runs(spark: SparkSession, root: str, manifest: str = "manifest.json") -> DataFrame:
+    """``run, modified``: folders under ``root`` that hold a manifest, the newest first."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", manifest).load(root)
+    return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("run"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), F.desc("run"))
+
+
+def create_or_load(row: DataFrame, path: str) -> DataFrame:
+    """A one-row table as JSON; one that is there already wins over ``row``."""
+    row.coalesce(1).write.mode("ignore").json(path)
+    return row.sparkSession.read.schema(row.schema).json(path)
+
+
+def rewrite(row: DataFrame, path: str) -> DataFrame:
+    """Replace a one-row JSON table, with a fresh ``updated_at`` if it has one; ``row`` may have been read from it."""
+    fresh = row.withColumn("updated_at", utc_now()) if "updated_at" in row.columns else row
+    spark, values, schema = row.sparkSession, fresh.limit(1).collect(), fresh.schema
+    spark.createDataFrame(values, schema).coalesce(1).write.mode("overwrite").json(path)
+    return spark.read.schema(schema).json(path)
+
+
+def utc_now() -> Column:
+    """The time as ISO text in UTC."""
+    return iso_utc(F.current_timestamp())
+
+
+def iso_utc(at: Column) -> Column:
+    """A time stamp as ISO text; sessions run in UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def run_id(at: Column) -> Column:
+    """The name of a run by the time of its start."""
+    return F.date_format(at, "yyyyMMdd-HHmmss")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -60,3 +107,12 @@ def write_trials(df: DataFrame, path: str) -> None:
 def write_edges(df: DataFrame, path: str) -> None:
     """Edges without a weight are left out."""
     write_csv(df.where("wt is not null").select("src", "tgt", F.col("wt").cast("long").alias("wt")), path)
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    """``metric, value`` rows in their order."""
+    write_csv(df.select("metric", "value").coalesce(1), path)
+
+
+def write_outliers(df: DataFrame, path: str) -> None:
+    write_csv(df.select("src", "tgt", "wt", "distance").orderBy("src", "tgt"), path)

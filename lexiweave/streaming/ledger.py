@@ -9,27 +9,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from lexiweave.operators.balance import first_wins
 
 ROWS = "custom_id string, cue string, trial int, raw_text string, parsed string, ok boolean, updated_at string"
 
 
 def append_new(batch: DataFrame, ledger_path: str) -> None:
-    """Append the rows of a batch whose id is not in the ledger yet."""
+    """Append the rows of a batch whose id is not in the ledger yet; of several, the earliest one."""
     spark = batch.sparkSession
-    fresh = batch.where("custom_id is not null and custom_id <> ''").dropDuplicates(["custom_id"])
+    placed = batch.withColumn("__at", F.struct("updated_at", "cue", "trial", "raw_text", "parsed", "ok"))
+    fresh = first_wins(placed, "custom_id", "__at").drop("__at")
     known = spark.read.schema(ROWS).option("pathGlobFilter", "*.parquet").parquet(ledger_path)
     fresh.join(known.select("custom_id"), "custom_id", "left_anti").write.mode("append").parquet(ledger_path)
 
 
-def run_ledger(spark: SparkSession, source: str, ledger_path: str, checkpoint: str, files_per_trigger: int = 100) -> None:
-    """Take in all JSON-lines files of ``source`` that were not taken in before."""
+def start_ledger(spark: SparkSession, source: str, ledger_path: str, checkpoint: str, files_per_trigger: int = 100, poll: str | None = None) -> StreamingQuery:
+    """Take in the JSON-lines files of ``source``: those there are, or new ones every ``poll`` (such as ``5 seconds``).
+
+    To pause, ``stop`` the query; a new one with the same checkpoint resumes
+    where it stood.
+    """
     spark.createDataFrame([], ROWS).write.mode("append").parquet(ledger_path)
     stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files_per_trigger).json(source)
-    query = (
-        stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, ledger_path))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    writer = stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, ledger_path)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
+
+
+def run_ledger(spark: SparkSession, source: str, ledger_path: str, checkpoint: str, files_per_trigger: int = 100) -> int:
+    """Take in all files of ``source`` that were not taken in before; returns how many rows that added."""
+    size = lambda: spark.read.schema(ROWS).option("pathGlobFilter", "*.parquet").parquet(ledger_path).count()
+    spark.createDataFrame([], ROWS).write.mode("append").parquet(ledger_path)
+    before = size()
+    start_ledger(spark, source, ledger_path, checkpoint, files_per_trigger).awaitTermination()
+    return size() - before
 
 
 def ledger_index(ledger: DataFrame) -> DataFrame:

@@ -12,12 +12,18 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that have no rows on the smallest tables are held against the next ones.
+LARGER = {"outliers": "/root/testdata/sf0.01", "complete_cues": "/root/testdata/sf0.01"}
+
+
 @pytest.fixture(scope="session")
 def duck():
-    c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return c
+    found = {}
+    for sf in (SF, *LARGER.values()):
+        found[sf] = duckdb.connect()
+        for t in TABLES:
+            found[sf].execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return found
 
 
 def canon(rows):
@@ -27,11 +33,12 @@ def canon(rows):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, duck, name):
-    got = QUERIES[name](spark, SF)
+    sf = LARGER.get(name, SF)
+    got = QUERIES[name](spark, sf)
     cols = sorted(got.columns)
-    want = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({SQL[name]})").fetchall()
+    want = duck[sf].execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({SQL[name]})").fetchall()
     assert canon(got.select(*[f"`{c}`" for c in cols]).collect()) == canon(want)
-    assert want or name in ("outliers", "strongest", "complete_cues")
+    assert want
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))

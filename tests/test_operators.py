@@ -1,15 +1,19 @@
 """Literal rows for the expressions and operators of the association engine."""
 
 import math
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexiweave.functions import text as T
-from lexiweave.operators import balance, network, stats
+from lexiweave.operators import balance, compare, network, stats
+from lexiweave.operators import ledger as ledger_ops
 from lexiweave.operators.components import connected_components
 from lexiweave.plans import cleaning
-from lexiweave.sources import envelopes
+from lexiweave.sources import envelopes, files
+from lexiweave.streaming.ledger import ROWS, run_ledger, start_ledger
 
 
 def one(spark, expr, **values):
@@ -83,3 +87,74 @@ def test_correlation_table_counts_missing_words(spark):
 def test_windows(spark):
     o = balance.master_order(spark.createDataFrame([(i, f"c{i}") for i in range(5)], "pos int, cue string"), 1)
     assert balance.cue_window(o, -3, 2).count() == 2 and balance.cue_window(o, 0, 0).count() == 0
+
+
+def test_jsonl_skips_what_is_no_object(spark, tmp_path):
+    lines = ['{"id": "a", "n": 1}', "", "   ", "{bad", "[1, 2]", '"text"', '{"id": "b"}', '{"id": "c", "n": "x"}', '  {"id": "d", "n": 4}  ']
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n")
+    got = files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "id string, n int")
+    assert got.columns == ["id", "n"] and sorted(map(tuple, got.collect()), key=str) == [("a", 1), ("b", None), ("d", 4)]
+
+
+def test_payload_of_several_lines(spark):
+    one = '{"custom_id": "%s", "result": {"type": "succeeded", "message": {"content": [{"type": "text", "text": " hi "}]}}}'
+    pretty = '{\n "custom_id": "p",\n "result": {"type": "errored", "error": {"message": "no"}}\n}'
+    rows = [("\n".join(one % x for x in "abc") + "\n\n{bad",), (pretty,), ("",), (None,), ("[" + one % "d" + "]",), ('{"custom_id": "e"}',)]
+    got = {r.custom_id: (r.ok, r.text) for r in envelopes.from_a(spark.createDataFrame(rows, "payload string")).collect()}
+    assert got == dict.fromkeys("abcd", (True, "hi")) | {"p": (False, "no"), "e": (False, "unknown_batch_result")}
+
+
+def test_manifests_and_runs(spark, tmp_path):
+    row = lambda n: spark.createDataFrame([(n, "running", "")], "run string, state string, updated_at string")
+    path = str(tmp_path / "runs/r1/m")
+    assert files.create_or_load(row("a"), path).first().run == "a"
+    kept = files.create_or_load(row("b"), path)
+    assert kept.first().run == "a"
+    fresh = files.rewrite(kept, path).first()
+    assert (fresh.run, fresh.state) == ("a", "running") and len(fresh.updated_at) == 32 and fresh.updated_at.endswith("+00:00")
+    for i, name in enumerate(("one", "two")):
+        (tmp_path / "runs" / name).mkdir(parents=True)
+        (tmp_path / "runs" / name / "manifest.json").write_text("{}")
+        os.utime(tmp_path / "runs" / name / "manifest.json", (1000 + i, 1000 + i))
+    assert [r.run.rsplit("/", 1)[1] for r in files.discover_runs(spark, str(tmp_path / "runs")).collect()] == ["two", "one"]
+
+
+def test_ledger_stream_pauses_and_resumes(spark, tmp_path):
+    source, ledger, state = (str(tmp_path / x) for x in ("in", "ledger", "state"))
+    write = lambda ids: spark.createDataFrame([(i, "c", 0, "", "", True, u) for i, u in ids], ROWS).write.mode("append").json(source)
+    write([("a", "2"), ("a", "1"), ("b", "1"), (None, "1"), ("", "1")])
+    assert run_ledger(spark, source, ledger, state) == 2
+    write([("b", "3"), ("c", "3")])
+    query = start_ledger(spark, source, ledger, state, poll="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert run_ledger(spark, source, ledger, state) == 0
+    got = spark.read.schema(ROWS).parquet(ledger).select("custom_id", "updated_at").collect()
+    assert sorted(map(tuple, got)) == [("a", "1"), ("b", "1"), ("c", "3")]
+
+
+def test_identical_edge_lists(spark):
+    e = spark.createDataFrame([("a", "b", 1), ("b", "c", 2)], "src string, tgt string, wt long")
+    assert compare.edge_diff(e, e).first().verdict == "IDENTICAL"
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 5.0, 9.0], [3.0], [2.0, 2.0, 2.0, 7.0, 7.0], []])
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.9, 1.0])
+def test_quantile(spark, values, q):
+    got = stats.quantile(spark.createDataFrame([(v,) for v in [*values, None]], "x double"), "x", q).first().value
+    assert got is None if not values else abs(got - float(np.quantile(values, q))) < 1e-12
+
+
+def test_guards(spark):
+    rows = [("running", 1.0), ("running", 3.0), ("paused", 9.0), ("failed", 0.0), ("timed_out", 9.0)]
+    df = spark.createDataFrame(rows, "state string, cost_usd double")
+    assert [r.action for r in ledger_ops.guard(df, 3.0).collect()] == ["run", "pause", "wait", "stop", "stop"]
+    assert [r.action for r in ledger_ops.guard(df, None).collect()] == ["run", "run", "wait", "stop", "stop"]
+
+
+def test_components_of_words_and_numbers(spark):
+    words = [("b", "a"), ("c", "b"), ("z", "é"), ("k", "k"), (None, "q"), ("a", "c")]
+    got = connected_components(spark.createDataFrame(words, "src string, tgt string")).collect()
+    assert sorted(map(tuple, got)) == [("a", "a"), ("b", "a"), ("c", "a"), ("k", "k"), ("z", "z"), ("é", "z")]
+    chain = connected_components(spark.range(300).selectExpr("id as src", "id + 1 as tgt")).collect()
+    assert len(chain) == 301 and {r.component for r in chain} == {0}
