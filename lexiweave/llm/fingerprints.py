@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.llm.batches import bounded
+
 
 @dataclass(frozen=True)
 class Params:
@@ -165,7 +167,7 @@ def fingerprint_documents(docs: DataFrame, params: Params = Params(), id_col: st
     empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = per_partition * parts
     at = [i / n for i in range(n)]

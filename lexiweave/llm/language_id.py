@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.llm.batches import bounded
 from lexiweave.runtime import Scratch
 
 #: n-grams times languages that are looked up at a time.
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, params: Params = Params(), text_col: str = "text", lang
     Tasks count n-grams, Spark sums the counts; what reaches the driver is the
     model itself, language by language.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    rows = bounded(docs).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counted = rows.mapInArrow(_counts(params), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     scratch = Scratch(docs.sparkSession, "language")
     counted = scratch.keep(counted, "counts")
@@ -158,21 +159,23 @@ def predict(
     language to name. Ties go to the first language by name. A text may have
     any length; what is looked up at a time is bounded.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded(docs).sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.select(*keep).schema]
+    # A text that is kept crosses to Python once.
+    at_text = [f.name for f in fields].index(text_col) if text_col in keep else len(fields)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out[0]}` string, `{out[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                names, scores = _predict(shared.value, part.column(part.num_columns - 1).to_pylist())
+                names, scores = _predict(shared.value, part.column(at_text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(fields))), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     names=[*(f.name for f in fields), *out],
                 )
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__text")])).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.llm.batches import bounded
 from lexiweave.llm.mixing import count_words
 from lexiweave.llm.near_dedup import WordHashes
 from lexiweave.runtime import Scratch
@@ -168,7 +169,7 @@ def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     holds whole.
     """
     p, scratch = params, Scratch(docs.sparkSession, "backoff")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bytes_, n_words = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(count_words(F.coalesce("text", F.lit("")))), F.lit(0))).first()
     blocks, buckets = max(1, -(-bytes_ // p.block_bytes)), max(1, -(-n_words // p.bucket))
     placed = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))

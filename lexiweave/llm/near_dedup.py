@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.llm.batches import bounded
 from lexiweave.operators.components import connected_components
 from lexiweave.runtime import Scratch
 
@@ -308,7 +309,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     empty table gives an empty result; other columns are ignored.
     """
     p, scratch = params, Scratch(docs.sparkSession, "near")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = own.mapInArrow(_sketches(p.sketch, p.words), "doc_id long, n_shingles long, sig binary, sketch array<long>")
     sketched = scratch.keep(sketched, "sketched")
     reps = scratch.keep(

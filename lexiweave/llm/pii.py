@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.llm.batches import bounded
+
 KINDS = ("card", "iban", "phone", "ip", "ssn", "date", "email")
 
 PATTERN = re.compile(
@@ -230,7 +232,7 @@ def pseudonymise_documents(docs: DataFrame, params: Params = Params(), id_col: s
                     [part.column(0), pa.array([t for t, _ in got], pa.string()), pa.array(spans, kind)], names=["doc_id", "text", "spans"]
                 )
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = bounded(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     out = own.mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<kind:string,start:long,end:long>>")
     return out.select("doc_id", "text", *[_count(k) for k in KINDS], F.size("spans").cast("long").alias("n_found"), "spans")

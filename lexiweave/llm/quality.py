@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiweave.llm.batches import bounded
 from lexiweave.runtime import Scratch
 
 
@@ -184,7 +185,7 @@ def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), host: s
     Labels may be empty or of one kind (then the model is their rate), and an
     empty table gives an empty result; other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
+    scratch = Scratch(bounded(docs).sparkSession, "quality")
     weights = fit(docs, labels, params)
     named = docs.select("doc_id", "text", F.struct(F.col(host).isNull(), F.coalesce(F.col(host).cast("string"), F.lit(""))).cast("struct<no:boolean,name:string>").alias("host"),
                         F.struct(F.col(path).isNull(), F.coalesce(F.col(path).cast("string"), F.lit(""))).cast("struct<no:boolean,name:string>").alias("path"))

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiweave.llm.batches import bounded
 from lexiweave.llm.elias_fano import EliasFano
 from lexiweave.runtime import running_total
 
@@ -205,7 +206,7 @@ def write_store(
     ordered by text; null ids come first. An empty table gives a store without
     shards. Spark commits the files, so a lost task is simply run again.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(_pack(tokenizer, end_id, shard_ids), SHARDS).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/shards")
     shards = docs.sparkSession.read.schema(SHARDS).parquet(f"{path}/shards").select("part", "seq", "n_docs", "n_ids")
