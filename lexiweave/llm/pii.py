@@ -206,18 +206,19 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[s
 
 @dataclass(frozen=True)
 class Params:
-    """``key``: the secret that fixes the permutations; give your own."""
+    """``key``: the secret that fixes the permutations, up to 64 bytes; there is no default."""
 
-    key: bytes = b"set a secret of your own"
+    key: bytes
 
 
-def pseudonymise_documents(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text``, ``n_<kind>`` for each kind, ``n_found`` and ``spans`` for every row.
 
     Null texts stay null, empty ones empty, both with nothing found; texts
     without a value that passes its check come back unchanged. Repeated rows
     and null ids are rows of their own; an empty table gives an empty result;
-    other columns are ignored. One pass, no shuffle.
+    other columns are ignored. Of a mail address the name is replaced, the
+    domain stays. One pass, no shuffle.
     """
     key = params.key
 

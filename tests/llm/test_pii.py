@@ -1,8 +1,9 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from lexiweave.llm.pii import luhn_digit, permute, pseudonymise, pseudonymise_documents
+from lexiweave.llm.pii import Params, luhn_digit, permute, pseudonymise, pseudonymise_documents
 
 KEY = b"k"
 
@@ -42,7 +43,37 @@ def test_a_failed_candidate_hides_no_value():
 
 
 def test_rows(spark, docs, no_docs):
-    out = pseudonymise_documents(docs.withColumn("spans", F.lit(1)))
+    out = pseudonymise_documents(docs.withColumn("spans", F.lit(1)), Params(KEY))
     assert out.count() == docs.count() and out.where("n_found > 0").count() == 0
     assert sorted(map(repr, out.select("doc_id", "text").collect())) == sorted(map(repr, docs.select("doc_id", "text").collect()))
-    assert pseudonymise_documents(no_docs).count() == 0
+    assert pseudonymise_documents(no_docs, Params(KEY)).count() == 0
+
+
+def luhn(number):
+    digits = [int(c) for c in number if c.isdigit()]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_planted_values_in_rows(spark):
+    """Planted values are found in every row, pass their checks by plain rules, and stay linked; the words around them stay."""
+    rng = random.Random(8)
+    cards = [next(str(n) for n in iter(lambda: rng.randrange(4 * 10**15, 5 * 10**15), None) if luhn(str(n))) for _ in range(6)]
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(6)]
+    rows = [(i if i % 4 else None, f"row {i} pays {cards[i % 6]} from {ips[i % 5]} end") for i in range(40)]
+    rows += [(99, "clean words " * 30_000 + cards[0]), (100, "clean"), (100, "clean"), (None, None), (None, "")]
+    out = pseudonymise_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_card", F.lit(7)), Params(KEY)).collect()
+    assert len(out) == len(rows)
+    linked = {}
+    for r in out:
+        old = [t for i, t in rows if i == r.doc_id and (t or "")[:8] == (r.text or "")[:8]]
+        if (r.text or "").startswith("row"):
+            _, n, _, card, _, ip, end = r.text.split()
+            assert (r.n_card, r.n_ip, r.n_found, end) == (1, 1, 2, "end") and luhn(card) and len(card) == 16
+            assert all(0 <= int(x) < 256 for x in ip.split("."))
+            for was, now in ((cards[int(n) % 6], card), (ips[int(n) % 5], ip)):
+                assert linked.setdefault(was, now) == now != was
+        elif r.doc_id == 99:
+            assert r.text == "clean words " * 30_000 + linked.get(cards[0], r.text[-16:]) and r.n_card == 1
+        else:
+            assert r.text in old and r.n_found == 0
+    assert len(set(linked.values())) == len(linked) == 11
