@@ -3,6 +3,11 @@
 Languages that are not known go, one document of each near-duplicate group
 stays, documents with benchmark passages go, sources are mixed to their target
 weights, and what is left is written as a token store and read back.
+
+Every stage takes rows with nulls in any column and texts of any length, and
+gives an empty table for an empty one. All stages but the last return the
+columns of their input, whatever those are called, and keep rows that repeat
+another one unless the stage says otherwise.
 """
 
 from __future__ import annotations
@@ -14,27 +19,40 @@ from lexiweave.runtime import Scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose text is null or has no letter; the rest has a language."""
+    """Drop documents whose text is null or has no letter; the rest has a language.
+
+    Texts with a letter stay whatever their language scores, and also when no
+    row names a language to learn from.
+    """
     return language_id.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group."""
+    """Keep the document with the smallest id of each near-duplicate group.
+
+    Of rows that repeat this id all stay. Rows with a null id count as larger
+    than all ids: one stays of a group that has nothing else. Texts without a
+    word are in no group.
+    """
     return near_dedup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item; null items and items without words have none."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take words of each source up to its target; repeats come as further rows."""
+    """Take words of each source up to its target; repeats come as further rows.
+
+    A null source is a source, the last one. Documents of which nothing is
+    taken, such as those without words, do not appear.
+    """
     return mixing.mixed_documents(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token store and return one row per document read back from it."""
+    """Write the token store and return one row per document read back from it, ordered by id, null ids first, and by text."""
     import public_tokenizers
 
     path = f"{Scratch(spark, 'pipeline').root}/store"
@@ -50,7 +68,7 @@ STAGES = [
     ("token_store", write_tokens),
 ]
 
-#: Sketches, draws and tokenizers are not for SQL: tests hold each stage against a plain version instead.
+#: Sketches, draws and tokenizers are not for SQL: tests/llm/test_pipeline.py holds each stage against a plain version instead.
 ORACLE_SQL = None
 
 
