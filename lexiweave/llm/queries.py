@@ -79,10 +79,37 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiweave.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id, op6_stupid_backoff, op7_feistel_pseudonyms, op8_source_mix, op9_quality_bayes, op10_decontaminate)
+    for f in (
+        op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id, op6_stupid_backoff,
+        op7_feistel_pseudonyms, op8_source_mix, op9_quality_bayes, op10_decontaminate, op13_merkle_manifest,
+    )
 }
+#: CRC-32 in SQL: its table of 256 numbers, and the checksum of the text of a column.
+_CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i)))"
+
+
+def _crc(text: str) -> str:
+    """Of a text column, beside the table ``crc``."""
+    return (
+        f"xor(list_reduce(list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT), "
+        "lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    )
+
+
+def _leaf(text: str) -> str:
+    """The leaf of a row of documents, with ``text`` as its text."""
+    part = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE octet_length(encode({v}::VARCHAR)) || ':' || {v} END"
+    return f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -114,4 +141,17 @@ SQL: dict[str, str] = {
     k AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op13_merkle_manifest": f"""WITH RECURSIVE {_CRC_TABLE}, d AS (SELECT doc_id, lang, {_leaf('text')} AS leaf, {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other, coalesce({_crc('doc_id::VARCHAR')} % 3 = 0, false) AS hit FROM documents, crc),
+    x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+    up(level, lang, pos, n, h) AS (SELECT 0, lang, pos, n, leaf FROM x UNION ALL SELECT level + 1, lang, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY level, lang, pos // 8),
+    s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+    top(level, pos, n, h) AS (SELECT 0, pos, n, subroot FROM s UNION ALL SELECT level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 8),
+    both_ AS (SELECT 0 AS tree, * FROM up UNION ALL SELECT 1, level, NULL, pos, n, h FROM top),
+    run AS (SELECT tree, level, lang, pos // 8 AS run, list(h ORDER BY pos) AS h FROM both_ WHERE n > 1 GROUP BY ALL),
+    own(tree, level, lang, pos, n, doc_id, leaf, place, node, proof) AS (SELECT 0, 0, lang, pos, n, doc_id, leaf, pos, CASE WHEN hit THEN other ELSE leaf END, '' FROM x
+        UNION ALL SELECT CASE WHEN o.n > 1 THEN o.tree ELSE 1 END, CASE WHEN o.n > 1 THEN o.level + 1 ELSE 0 END, o.lang, CASE WHEN o.n > 1 THEN o.pos // 8 ELSE s.pos END, CASE WHEN o.n > 1 THEN (o.n + 7) // 8 ELSE s.n END, o.doc_id, o.leaf, o.place,
+            CASE WHEN o.n > 1 THEN sha256(array_to_string(r.h[1:o.pos % 8], '') || o.node || array_to_string(r.h[o.pos % 8 + 2:], '')) ELSE o.node END,
+            CASE WHEN o.n > 1 THEN o.proof || array_to_string(r.h[1:o.pos % 8], '') || array_to_string(r.h[o.pos % 8 + 2:], '') ELSE o.proof END
+        FROM own o LEFT JOIN run r ON o.n > 1 AND r.tree = o.tree AND r.level = o.level AND r.run = o.pos // 8 AND (o.tree = 1 OR r.lang IS NOT DISTINCT FROM o.lang) LEFT JOIN s ON s.lang IS NOT DISTINCT FROM o.lang WHERE o.n > 1 OR o.tree = 0)
+    SELECT o.doc_id, o.leaf, s.subroot, top.h AS root, sha256(o.proof) AS proof_sha256, o.node AS folded_root, o.node = top.h AS verified FROM own o JOIN s ON s.lang IS NOT DISTINCT FROM o.lang, top WHERE o.tree = 1 AND o.n = 1 AND top.n = 1""",
 }
