@@ -79,6 +79,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiweave.llm.resampling import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiweave.llm.merkle import manifest
 
@@ -89,7 +95,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id, op6_stupid_backoff,
-        op7_feistel_pseudonyms, op8_source_mix, op9_quality_bayes, op10_decontaminate, op13_merkle_manifest,
+        op7_feistel_pseudonyms, op8_source_mix, op9_quality_bayes, op10_decontaminate, op12_importance_resampling, op13_merkle_manifest,
     )
 }
 #: CRC-32 in SQL: its table of 256 numbers, and the checksum of the text of a column.
@@ -141,6 +147,16 @@ SQL: dict[str, str] = {
     k AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op12_importance_resampling": rf"""WITH {_CRC_TABLE}, d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    m AS (SELECT regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark), f AS (SELECT r, unnest(w) AS x FROM d), g AS (SELECT unnest(w) AS x FROM m),
+    b AS (SELECT x, {_crc('x')} % 10000 AS b FROM (SELECT x FROM f UNION SELECT x FROM g), crc),
+    s AS (SELECT b, count(*) AS s FROM f JOIN b USING (x) GROUP BY b), t AS (SELECT b, count(*) AS t FROM g JOIN b USING (x) GROUP BY b),
+    gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (b)),
+    e AS (SELECT r, sum(gain) AS weight FROM f JOIN b USING (x) JOIN gain USING (b) GROUP BY r),
+    o AS (SELECT r, doc_id, len(w) AS n, coalesce(weight, 0)::BIGINT AS weight, ('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT AS h FROM d LEFT JOIN e USING (r)),
+    z AS (SELECT r, doc_id, n, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM o),
+    k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () * 10 // 100 AS drawn FROM z WHERE n >= 20)
+    SELECT doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM z LEFT JOIN k USING (r)""",
     "op13_merkle_manifest": f"""WITH RECURSIVE {_CRC_TABLE}, d AS (SELECT doc_id, lang, {_leaf('text')} AS leaf, {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other, coalesce({_crc('doc_id::VARCHAR')} % 3 = 0, false) AS hit FROM documents, crc),
     x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
     up(level, lang, pos, n, h) AS (SELECT 0, lang, pos, n, leaf FROM x UNION ALL SELECT level + 1, lang, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY level, lang, pos // 8),
