@@ -79,6 +79,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiweave.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiweave.llm.resampling import score
 
@@ -95,7 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_balanced_sharding, op2_minhash_near_dedup, op3_token_store, op4_syncmer_fingerprints, op5_language_id, op6_stupid_backoff,
-        op7_feistel_pseudonyms, op8_source_mix, op9_quality_bayes, op10_decontaminate, op12_importance_resampling, op13_merkle_manifest,
+        op7_feistel_pseudonyms, op8_source_mix, op9_quality_bayes, op10_decontaminate, op11_multiprobe_neighbours, op12_importance_resampling, op13_merkle_manifest,
     )
 }
 #: CRC-32 in SQL: its table of 256 numbers, and the checksum of the text of a column.
