@@ -673,14 +673,56 @@ def full_clean(spark, d):
 
 @query(with_views("ledger") + " SELECT cue, count(DISTINCT custom_id) AS completed FROM ledger GROUP BY cue")
 def stream_ledger(spark, d):
-    from lexiweave.streaming.ledger import ROWS, ledger_index, run_ledger
+    from lexiweave.streaming.ledger import ledger_index, read_ledger, run_ledger
 
     s = Scratch(spark, "stream")
     rows = views.ledger(spark, d).select("custom_id", "cue", "trial", F.lit("").alias("raw_text"), F.lit("").alias("parsed"), F.lit(True).alias("ok"), F.lit("").alias("updated_at"))
     for _ in range(2):  # the second time adds nothing
         rows.write.mode("append").json(f"{s.root}/in")
         run_ledger(spark, f"{s.root}/in", f"{s.root}/ledger", f"{s.root}/state")
-    return ledger_index(spark.read.schema(ROWS).parquet(f"{s.root}/ledger"))
+    return ledger_index(read_ledger(spark, f"{s.root}/ledger"))
+
+
+_EVENT_KIND = "CASE event_type WHEN 'click' THEN 'request' WHEN 'view' THEN 'result' WHEN 'error' THEN 'lost' ELSE 'poll' END"
+_EVENT_ID = "CASE event_type WHEN 'click' THEN 'r' || event_id % 40 WHEN 'view' THEN 'r' || {} % 40 END"
+_INSIDE = "flatten(list_transform(opened, lambda o: o.ids))"
+
+#: One run's events, one after the other: the queue, the open batches, the ids with a result, how many batches there were, and what the event led to.
+_ADMISSION = f"""WITH RECURSIVE ev AS (SELECT 'u' || user_id AS run, event_id AS seq, ts AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, {_EVENT_KIND} AS kind,
+        {_EVENT_ID.format("json_extract_string(props, '$.k')::BIGINT")} AS id, CASE WHEN event_type = 'error' THEN (event_id % 6)::INT END AS batch, first_value(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS began FROM events),
+    st(run, n, waiting, opened, done, batches, seq, moment, log) AS (SELECT DISTINCT run, 0::BIGINT, []::VARCHAR[], []::STRUCT(b INT, ids VARCHAR[])[], []::VARCHAR[], 0, 0::BIGINT, NULL::TIMESTAMP, []::STRUCT(action VARCHAR, batch INT, ids VARCHAR[], moment TIMESTAMP)[] FROM ev
+      UNION ALL SELECT run, n, CASE kind WHEN 'request' THEN CASE WHEN known THEN waiting ELSE list_append(waiting, id) END WHEN 'result' THEN list_filter(waiting, lambda x: x <> id) WHEN 'lost' THEN list_concat(waiting, flatten(list_transform(hit, lambda o: o.ids)))
+            ELSE waiting[3 * len(sent) + 1:] END,
+        CASE kind WHEN 'result' THEN list_filter(fewer, lambda o: len(o.ids) > 0) WHEN 'lost' THEN list_filter(opened, lambda o: o.b <> batch) WHEN 'poll' THEN list_concat(opened, sent) ELSE opened END,
+        CASE WHEN kind = 'result' AND NOT list_contains(done, id) THEN list_append(done, id) ELSE done END, batches + len(sent)::INT, seq, moment,
+        list_concat(CASE WHEN over AND NOT before THEN [{{'action': 'timed_out', 'batch': NULL, 'ids': [], 'moment': began + INTERVAL 20 DAY}}] ELSE [] END, CASE kind
+            WHEN 'result' THEN CASE WHEN list_contains(done, id) THEN [] ELSE list_concat([{{'action': CASE WHEN known THEN 'completed' ELSE 'failed' END, 'batch': list_filter(opened, lambda o: list_contains(o.ids, id))[1].b, 'ids': [id], 'moment': moment}}],
+                list_transform(list_filter(fewer, lambda o: len(o.ids) = 0), lambda o: {{'action': 'closed', 'batch': o.b, 'ids': []::VARCHAR[], 'moment': moment}})) END
+            WHEN 'lost' THEN list_transform(hit, lambda o: {{'action': 'requeued', 'batch': o.b, 'ids': o.ids, 'moment': moment}}) WHEN 'poll' THEN list_transform(sent, lambda o: {{'action': 'submitted', 'batch': o.b, 'ids': o.ids, 'moment': moment}}) ELSE [] END)
+      FROM (SELECT *, list_contains(waiting, id) OR list_contains(done, id) OR list_contains({_INSIDE}, id) AS known, list_filter(opened, lambda o: o.b = batch) AS hit, list_transform(opened, lambda o: {{'b': o.b, 'ids': list_filter(o.ids, lambda x: x <> id)}}) AS fewer,
+            CASE WHEN kind = 'poll' AND NOT over THEN list_transform(range(greatest(least(2 - len(opened), (len(waiting) + 2) // 3), 0)), lambda i: {{'b': (batches + i)::INT, 'ids': waiting[3 * i + 1:3 * i + 3]}}) ELSE [] END AS sent
+        FROM (SELECT ev.*, st.waiting, st.opened, st.done, st.batches, ev.moment >= began + INTERVAL 20 DAY AS over, coalesce(st.moment >= began + INTERVAL 20 DAY, false) AS before FROM st JOIN ev ON ev.run = st.run AND ev.n = st.n + 1)))
+    SELECT run, seq, step, l.moment AS moment, l.action AS action, l.batch AS batch, array_to_string(l.ids, '|') AS ids FROM (SELECT run, seq, unnest(log) AS l, generate_subscripts(log, 1)::INT - 1 AS step FROM st)"""
+
+
+@query(_ADMISSION)
+def admission_log(spark, d):
+    """Every user is a run with two slots for batches of three; its events come in two goes."""
+    from datetime import timedelta
+
+    from lexiweave.streaming.admission import Limits, run_admission
+
+    s, e = Scratch(spark, "admission"), views.table(spark, d, "events")
+    kind = F.col("event_type")
+    events = e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.expr(_EVENT_KIND).alias("kind"),
+        F.expr(_EVENT_ID.format("cast(get_json_object(props, '$.k') as bigint)")).alias("id"), F.when(kind == "error", F.col("event_id") % 6).cast("int").alias("batch"),
+    )
+    half = F.lit(e.agg(F.max("event_id")).first()[0] or 0) / 2
+    for part in (events.where(F.col("seq") < half), events.where(F.col("seq") >= half)):
+        part.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{s.root}/in")
+        log = run_admission(spark, f"{s.root}/in", f"{s.root}/log", f"{s.root}/state", Limits(2, 3, timedelta(days=20)))
+    return log.select("run", "seq", "step", F.col("at").cast("timestamp_ntz").alias("moment"), "action", "batch", T.join_pipe(F.col("ids")).alias("ids"))
 
 
 @query(with_views("directed") + " SELECT * FROM directed")

@@ -42,7 +42,7 @@ def _job_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A session setting for the time of a block."""
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
@@ -75,7 +75,7 @@ class Scratch:
         """Write ``df`` once and return a reader of the written rows."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        with _setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._lexiweave_path = path

@@ -1,49 +1,95 @@
 """The ledger as a stream: every request id is added once, however often it arrives.
 
-State lives in the ledger table, not in the stream: each micro-batch drops ids
-it holds twice, then those the ledger has, and appends the rest. A replayed
-batch adds nothing, so restarts are safe.
+Which ids were taken is keyed state of the stream (RocksDB), so the work of a
+micro-batch follows its own rows, not the size of the ledger. State, source
+offsets and the files of the sink go by the same batch number: a batch that is
+replayed after a failure finds the state from before it and its files are
+committed once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import ExitStack
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from lexiweave.operators.balance import first_wins
+from lexiweave.runtime import setting
 
+# The fields of a ledger row.
 ROWS = "custom_id string, cue string, trial int, raw_text string, parsed string, ok boolean, updated_at string"
+#: Name of the numbers that each micro-batch reports.
+METRICS = "ledger"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_settings(spark: SparkSession) -> ExitStack:
+    """Session settings under which a query with keyed state is started; a started query keeps its own copy."""
+    stack = ExitStack()
+    stack.enter_context(setting(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKSDB))
+    stack.enter_context(setting(spark, "spark.sql.streaming.numRecentProgressUpdates", "100000"))
+    return stack
+
+
+class FirstOfId(StatefulProcessor):
+    """Passes the earliest row of an id on, the first time that the id arrives."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getValueState("taken", "taken boolean")
 
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        # Nulls come first, as in Spark's order of structs.
+        order = lambda r: [(v is not None, v if v is not None else 0) for v in (r.updated_at, r.cue, r.trial, r.raw_text, r.parsed, r.ok)]
+        if not self.taken.exists():
+            self.taken.update((True,))
+            yield min(rows, key=order)
 
-def append_new(batch: DataFrame, ledger_path: str) -> None:
-    """Append the rows of a batch whose id is not in the ledger yet; of several, the earliest one."""
-    spark = batch.sparkSession
-    placed = batch.withColumn("__at", F.struct("updated_at", "cue", "trial", "raw_text", "parsed", "ok"))
-    fresh = first_wins(placed, "custom_id", "__at").drop("__at")
-    known = spark.read.schema(ROWS).option("pathGlobFilter", "*.parquet").parquet(ledger_path)
-    fresh.join(known.select("custom_id"), "custom_id", "left_anti").write.mode("append").parquet(ledger_path)
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        self.taken.update((True,))
 
+    def close(self) -> None:
+        pass
 
-def start_ledger(spark: SparkSession, source: str, ledger_path: str, checkpoint: str, files_per_trigger: int = 100, poll: str | None = None) -> StreamingQuery:
+
+def start_ledger(
+    spark: SparkSession, source: str, ledger_path: str, checkpoint: str, files_per_trigger: int = 100, poll: str | None = None, known: DataFrame | None = None
+) -> StreamingQuery:
     """Take in the JSON-lines files of ``source``: those there are, or new ones every ``poll`` (such as ``5 seconds``).
 
-    To pause, ``stop`` the query; a new one with the same checkpoint resumes
-    where it stood.
+    ``ledger_path`` belongs to the stream. Ids of ``known``, the ledger of
+    earlier runs, count as taken; it is read once, when the checkpoint is new.
+    Rows without an id are left out. To pause, ``stop`` the query; a new one
+    with the same checkpoint resumes where it stood. Each batch reports how
+    many rows it added.
     """
-    spark.createDataFrame([], ROWS).write.mode("append").parquet(ledger_path)
-    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files_per_trigger).json(source)
-    writer = stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, ledger_path)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
+    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files_per_trigger).json(source).where("custom_id <> ''")
+    before = known.select("custom_id").where("custom_id <> ''").distinct().groupBy("custom_id") if known is not None else None
+    fresh = stream.groupBy("custom_id").transformWithState(FirstOfId(), ROWS, "Append", "None", initialState=before)
+    fresh = fresh.observe(METRICS, F.count("*").alias("added"))
+    writer = fresh.writeStream.format("parquet").option("path", ledger_path).option("checkpointLocation", checkpoint)
+    with stateful_settings(spark):
+        return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
 
 
-def run_ledger(spark: SparkSession, source: str, ledger_path: str, checkpoint: str, files_per_trigger: int = 100) -> int:
+def run_ledger(spark: SparkSession, source: str, ledger_path: str, checkpoint: str, files_per_trigger: int = 100, known: DataFrame | None = None) -> int:
     """Take in all files of ``source`` that were not taken in before; returns how many rows that added."""
-    size = lambda: spark.read.schema(ROWS).option("pathGlobFilter", "*.parquet").parquet(ledger_path).count()
-    spark.createDataFrame([], ROWS).write.mode("append").parquet(ledger_path)
-    before = size()
-    start_ledger(spark, source, ledger_path, checkpoint, files_per_trigger).awaitTermination()
-    return size() - before
+    query = start_ledger(spark, source, ledger_path, checkpoint, files_per_trigger, known=known)
+    query.awaitTermination()
+    return added_rows(query)
+
+
+def added_rows(query: StreamingQuery) -> int:
+    """Rows that a ledger query added since its start."""
+    return sum(p.observedMetrics[METRICS]["added"] for p in query.recentProgress if METRICS in p.observedMetrics)
+
+
+def read_ledger(spark: SparkSession, ledger_path: str, known: DataFrame | None = None) -> DataFrame:
+    """The rows of a ledger, behind those of earlier runs."""
+    own = spark.read.schema(ROWS).parquet(ledger_path)
+    return own if known is None else known.select(*own.columns).unionByName(own)
 
 
 def ledger_index(ledger: DataFrame) -> DataFrame:
