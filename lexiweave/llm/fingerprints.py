@@ -130,15 +130,15 @@ def _scan(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # bucket, id, text, anchors
         for batch in batches:
-            ids, texts, buckets, ahead = (batch.column(c) for c in range(4))
-            ids, buckets, ahead = ids.to_pylist(), buckets.to_pylist(), ahead.to_pylist()
+            texts = batch.column(1)
+            ids, buckets, ahead, named = (batch.column(c).to_pylist() for c in (0, 2, 3, 4))
             rows = []
             for row in range(batch.num_rows):
                 text = texts[row].as_py() or ""
                 mine = anchors(code_points(text), p)
                 if held is not None and held[0] == buckets[row]:
                     rows.append(_row(held, text, mine, p))
-                held = None if ahead[row] else (buckets[row], ids[row], text, mine)
+                held = None if ahead[row] else (buckets[row], ids[row] if named[row] else None, text, mine)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_OUT)
 
@@ -167,7 +167,7 @@ def fingerprint_documents(docs: DataFrame, params: Params = Params(), id_col: st
     empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = bounded(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).isNotNull().alias("named"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = per_partition * parts
     at = [i / n for i in range(n)]
@@ -185,9 +185,9 @@ def fingerprint_documents(docs: DataFrame, params: Params = Params(), id_col: st
             F.struct(bucket.alias("bucket"), F.lit(False).alias("ahead")),
             F.struct(F.pmod(bucket - 1, F.lit(len(edges))).alias("bucket"), F.lit(True).alias("ahead")),
         )).otherwise(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("ahead"))))
-    ).select("doc_id", "text", F.explode("copies").alias("c")).select("doc_id", "text", "c.bucket", "c.ahead")
+    ).select("doc_id", "text", "named", F.explode("copies").alias("c")).select("doc_id", "text", "named", "c.bucket", "c.ahead")
     # An id that fits the look-ahead may repeat; the scan stops at the first such row.
-    placed = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text")
-    return placed.select("doc_id", "text", "bucket", "ahead").mapInArrow(
+    placed = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "named", "text")
+    return placed.select("doc_id", "text", "bucket", "ahead", "named").mapInArrow(
         _scan(params), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    ).withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    )

@@ -5,16 +5,22 @@
 2. A class keeps the ``sketch`` smallest hashes of its set. The ``indexed``
    smallest of these go to inverted lists.
 3. Lists of up to ``list_limit`` classes give all their pairs. In longer lists
-   every class is paired with three hubs, then with three more from outside the
-   list's largest component; classes that these leave in different components
-   meet on whole sets in blocks of the list (see ``_block_links``), so that no
+   every class is paired with three hubs. Classes that these leave in different
+   components are listed anew by the rarest values of their whole sketches, as
+   many as two similar classes cannot both lack. Short ones of these lists give
+   their pairs; in long ones there are three more hubs, and what is still apart
+   meets on whole sets in blocks of the list (see ``_block_links``), so that no
    list is cut off and none is expanded in one task.
 4. The union sketch of a pair estimates its similarity. Pairs that the
    estimate, with a margin of ``sigmas`` deviations, leaves possible are
    confirmed on the full sets; only confirmed pairs link.
 
-Two classes that are similar enough share one of the ``indexed`` values but for
-a chance of ``(1 - similarity) ** indexed``, 1e-14 at 0.75 with 24.
+Chances of missing a pair, at similarity 0.75: none of the ``indexed`` values is
+shared, ``0.25 ** 24``, below 1e-14; and, for classes of more shingles than a
+sketch holds, the estimate lies ``sigmas`` deviations off (step 4), or the
+sketches share so many values fewer than expected (step 3), 3e-7 each at 5. A
+larger similarity makes all of them smaller. ``EXACT`` has sketches that are
+whole sets, so that nothing is left to chance, at the cost of sets in the lists.
 """
 
 from __future__ import annotations
@@ -31,11 +37,13 @@ from pyspark.sql import functions as F
 
 from lexiweave.llm.batches import bounded
 from lexiweave.operators.components import connected_components
-from lexiweave.runtime import Scratch
+from lexiweave.runtime import Scratch, running_total_by_order
 
 
 #: Ids of so many pairs, 16 bytes each, are broadcast to thin out the texts before these are shuffled; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
+#: Pairs of one class that one task confirms; the text of that class is sent once for so many.
+HUB_PAIRS = 500
 #: Words whose hashes a task remembers.
 CACHED_WORDS = 200_000
 #: A task joins so many links at a time before it passes their forest on.
@@ -56,6 +64,10 @@ class Params:
     sigmas: float = 5.0
 
 
+#: No estimate and no sampled value: every sketch is a whole set.
+EXACT = Params(sketch=1 << 30, indexed=1 << 30)
+
+
 class WordHashes(dict):
     """Hash of each word seen; emptied when it holds too many words. One task has one."""
 
@@ -113,19 +125,23 @@ def _sketches(k: int, words: int):
 
 
 def _confirm(words: int, percent: int):
+    """Rows ``a, part, side, b, text`` in this order, a hub's text before its partners', to the pairs that hold on whole sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, group, hubs = WordHashes(), None, []
         for batch in batches:
-            keep, last, last_set = [], None, None
-            left, right = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                t = left[i].as_py()
-                if t != last:
-                    last, last_set = t, shingle_set(t, words, hashes)
-                other = shingle_set(right[i].as_py(), words, hashes)
-                both = len(np.intersect1d(last_set, other, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(last_set) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            sides, keep, texts = batch.column(2).to_pylist(), [], batch.column(4)
+            for i, key in enumerate(keys):
+                if key != group:
+                    group, hubs = key, []
+                own = shingle_set(texts[i].as_py(), words, hashes)
+                if sides[i] == 0:
+                    hubs.append(own)
+                    keep.append(False)
+                else:
+                    shared = ((len(np.intersect1d(hub, own, assume_unique=True)), len(hub)) for hub in hubs)
+                    keep.append(any(both > 0 and 100 * both >= percent * (n + len(own) - both) for both, n in shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -323,9 +339,14 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     lengths = values.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
     lists = scratch.keep(values.join(lengths, "v"), "lists")
     few, many = lists.where(F.col("length") <= p.list_limit), lists.where(F.col("length") > p.list_limit)
-    close = few.select("v", F.col("rep").alias("a"), F.col("n_shingles").alias("n")).join(
-        few.select("v", F.col("rep").alias("b"), F.col("n_shingles").alias("m")), "v"
-    ).where(f"a < b and 100 * least(n, m) >= {p.percent} * greatest(n, m)").select("a", "b")
+
+    def pairs_of(short: DataFrame) -> DataFrame:
+        """All pairs of the classes of short lists, if their sizes let them be similar."""
+        return short.select("v", F.col("rep").alias("a"), F.col("n_shingles").alias("n")).join(
+            short.select("v", F.col("rep").alias("b"), F.col("n_shingles").alias("m")), "v"
+        ).where(f"a < b and 100 * least(n, m) >= {p.percent} * greatest(n, m)").select("a", "b")
+
+    close = pairs_of(few)
     # The hubs of a long list: the class whose values are the most common, the smallest one, and one by chance.
     central = many.groupBy("rep").agg(F.sum("length").alias("central"))
     many = scratch.keep(many.join(central, "rep"), "long")
@@ -347,10 +368,13 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
         ids = open_.select(F.col("a").alias("doc_id")).union(open_.select(F.col("b").alias("doc_id"))).distinct()
         ids = F.broadcast(ids) if open_.count() <= BROADCAST_PAIRS else ids
         texts = own.join(ids, "doc_id", "left_semi")
-        with_text = open_.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
-            texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
-        ).select("a", "b", "ta", "tb")
-        return scratch.keep(sure.union(with_text.mapInArrow(_confirm(p.words, p.percent), "a long, b long")), name)
+        # A hub's text goes to each part of its pairs once, not to each pair.
+        parts = open_.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+        placed = scratch.keep(open_.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b"), "parts")
+        hubs = placed.select("a", "part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
+        others = placed.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "text")
+        dealt = hubs.union(others).repartition("a", "part").sortWithinPartitions("a", "part", "side")
+        return scratch.keep(sure.union(dealt.mapInArrow(_confirm(p.words, p.percent), "a long, b long")), name)
 
     def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs whose ends are not yet in one component."""
@@ -364,35 +388,44 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     found = scratch.keep(_components(confirmed(first, "first")), "found")
     found = _joined_up(found, confirmed(across(likely, found), "second"), scratch)
 
-    # Long lists: what the hubs left apart. A similar pair shares well over a quarter of the indexed values,
-    # all of them from long lists, or it was met in a short one; so the rarest few lists of a class suffice.
-    small = F.least(F.col("n_shingles"), F.lit(p.indexed))
-    need = F.greatest(F.lit(1), F.floor(small / 4)).cast("int")
-    by = F.sort_array(F.collect_list(F.struct("length", "v")))
-    rare = many.groupBy("rep").agg(by.alias("by"), F.first("n_shingles").alias("n_shingles"), F.first("central").alias("central"))
-    rare = rare.where(F.size("by") >= need).select(
-        "rep", "n_shingles", "central", "by", F.posexplode(F.slice("by", F.lit(1), F.size("by") - need + 1)).alias("at", "key")
-    ).select("rep", "n_shingles", "central", F.col("key.v").alias("v"), F.when(F.col("at") > 0, F.get("by", F.col("at") - 1)["v"]).otherwise(F.lit(-1)).alias("earlier"))
-    rare = scratch.keep(rare, "rare")
-
-    def still_apart(found: DataFrame) -> DataFrame:
+    def still_apart(lists: DataFrame, found: DataFrame) -> DataFrame:
         """The lists that hold several components, with the largest one of each."""
-        placed = rare.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         held = placed.groupBy("v", "component").agg(F.count("*").alias("n"))
         held = held.groupBy("v").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1")
         return placed.join(held, "v")
 
-    # Once more with hubs from outside the largest component of each list.
-    apart = scratch.keep(still_apart(found), "apart")
+    # Long lists: what the hubs left apart. Two classes of it that are similar share at least ``least`` values of their whole
+    # sketches, so they share one of those that remain of each when all but ``least - 1`` of its values, the commonest ones, are taken off.
+    left = still_apart(many.select("v", "rep"), found).select("rep").distinct()
+    values = scratch.keep(reps.join(left, "rep").select("rep", "n_shingles", F.explode("sketch").alias("v")), "values")
+    size, share = F.size("by"), p.percent / 100
+    sampled = F.floor(size * share - p.sigmas * F.sqrt(size * (share * (1 - share))))
+    least = F.greatest(F.lit(1), F.when(100 * F.col("n_shingles") <= p.percent * p.sketch, F.ceil(size * p.percent / 100)).otherwise(sampled))
+    ranked = values.join(values.groupBy("v").agg(F.count("*").alias("n")), "v").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("n", "v"))).alias("by"), F.first("n_shingles").alias("n_shingles")
+    )
+    rare = scratch.keep(ranked.select("rep", "n_shingles", F.explode(F.slice("by", F.lit(1), (size - least + 1).cast("int"))).alias("x")).where("x.n > 1").select("rep", "n_shingles", F.col("x.v").alias("v")), "rare")
+    lengths = rare.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
+    rare = scratch.keep(rare.join(lengths, "v"), "rare_lists")
+    close, rare = pairs_of(rare.where(F.col("length") <= p.list_limit)), rare.where(F.col("length") > p.list_limit)
+    by = F.sort_array(F.collect_list(F.struct("length", "v")))
+    rare = rare.groupBy("rep").agg(by.alias("by"), F.first("n_shingles").alias("n_shingles"), F.sum("length").alias("central")).select(
+        "rep", "n_shingles", "central", "by", F.posexplode("by").alias("at", "key")
+    ).select("rep", "n_shingles", "central", F.col("key.v").alias("v"), F.when(F.col("at") > 0, F.get("by", F.col("at") - 1)["v"]).otherwise(F.lit(-1)).alias("earlier"))
+    rare = scratch.keep(rare, "rare_long")
+
+    # Once more with short lists, and with hubs from outside the largest component of each long one.
+    apart = scratch.keep(still_apart(rare, found), "apart")
     rest = hubs_of(apart.where("component <> largest"), 2)
     again = apart.join(rest, "v").select("rep", "component", F.explode("hubs").alias("hub")).where("rep <> hub").select(
         F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")
-    ).distinct()
-    likely = scratch.keep(_estimated(across(again, found), reps, p), "likely2")
+    )
+    likely = scratch.keep(_estimated(across(close.union(again).distinct(), found), reps, p), "likely2")
     found = _joined_up(found, confirmed(likely, "third"), scratch)
 
     # And what is left, block by block, on whole sets.
-    apart = scratch.keep(still_apart(found).select("v", "rep", "n_shingles", "component", "earlier"), "apart")
+    apart = scratch.keep(still_apart(rare, found).select("v", "rep", "n_shingles", "component", "earlier"), "apart")
     ids = apart.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids
     sets = own.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(p.words), "rep long, shingles array<long>")
@@ -407,17 +440,22 @@ def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The rows of ``docs`` whose id stands for its group; columns as they came.
 
     Of rows that repeat a kept id, all stay. Rows with a null id are documents
-    of their own, numbered above all ids or, where ids go beyond 2**62, below:
-    one row of each group of these stays too. Ids near both ends of the long
-    range beside null ids are an error.
+    of their own that count as larger than all ids: one row of a group that
+    has no other stays too.
     """
-    unnamed, rows = docs.where("doc_id is null"), docs.withColumn("__id", F.col("doc_id"))
+    spark, unnamed, rows = docs.sparkSession, docs.where("doc_id is null"), docs.withColumn("__id", F.col("doc_id"))
     if not unnamed.isEmpty():
-        # The number is not the same each time it is computed, so it is written once.
-        low, high = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
-        number = F.monotonically_increasing_id()
-        number = number + F.lit(high + 1) if high < 1 << 62 else F.lit(low - 1) - number
-        numbered = Scratch(docs.sparkSession, "unnamed").keep(unnamed.withColumn("__id", number), "numbered")
-        rows = rows.where("doc_id is not null").unionByName(numbered)
+        scratch = Scratch(spark, "unnamed")
+        named, high = docs.where("doc_id is not null"), docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        if high >= 1 << 62:  # no room above: ids make way for their places in their order
+            places = running_total_by_order(named.select("doc_id").distinct(), ["doc_id"], "__id")
+            places = scratch.keep(places, "places")
+            high = places.count()
+            rows = named.join(places, "doc_id").select(*docs.columns, "__id")
+        else:
+            rows = rows.where("doc_id is not null")
+        # The numbers are not the same each time they are computed, so they are written once.
+        numbered = scratch.keep(unnamed.withColumn("__id", F.monotonically_increasing_id() + F.lit(high + 1)), "numbered")
+        rows = rows.unionByName(numbered)
     kept = near_duplicates(rows, params, "__id").where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return rows.join(kept, rows["__id"] == kept["__kept"], "left_semi").drop("__id")

@@ -56,3 +56,11 @@ def test_likeness_orders_copies_edits_and_strangers():
     f = lambda t: parse(render(anchors(code_points(t))))
     assert likeness(f(a), f(a)) == 1 and likeness(f(""), f("")) == 1 and likeness(f(""), f(a)) == 0
     assert likeness(f(a), f(edited(a, b))) > 0.4 > 0.2 > likeness(f(a), f(b))
+
+
+def test_null_ids_come_before_the_least_id(spark):
+    rows = [(-(2**63), "aaaa bbbb"), (None, "cccc dddd"), (2**63 - 1, "eeee ffff"), (None, None)]
+    got = fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(None, sha("")), (None, sha("cccc ddaa")), (-(2**63), sha("aaaa bbee")), (2**63 - 1, sha("eeee ff"))]
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)

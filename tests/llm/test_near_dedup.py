@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lexiweave.llm.near_dedup import Params, keep_one, near_duplicates, shingle_set
+from lexiweave.llm.near_dedup import EXACT, Params, keep_one, near_duplicates, shingle_set
 
 
 def brute(rows, words=5, percent=75):
@@ -81,3 +81,28 @@ def test_null_ids_are_kept_or_stand_behind_an_id(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "x y"), (None, "x y"), (None, None), (7, None)]
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(None, 2, 4, False), (4, 2, 4, True), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (7, 0, 7, True)]))
+
+
+def test_null_ids_beside_both_ends_of_the_long_range(spark):
+    least, most, same = -(2**63), 2**63 - 1, "one two three four five six seven"
+    rows = [(least, "a b", "low"), (most, same, "high"), (None, same, "copy"), (None, "x y z", "alone"), (0, "x y", "zero"), (None, "x y z", "again")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = [r.source for r in kept.collect()]
+    assert kept.columns == ["doc_id", "text", "source"] and sorted(set(got) - {"alone", "again"}) == ["high", "low", "zero"] and len(got) == 4
+
+
+def test_exact_sketches(spark, docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    out = near_duplicates(docs, EXACT)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, brute(rows)))
+
+
+def test_a_very_long_text_and_a_hub_with_many_partners(spark, monkeypatch):
+    from lexiweave.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "HUB_PAIRS", 3)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=300)
+    rows = [(i, " ".join([*base[:-1], words[i]])) for i in range(30)] + [(100, " ".join(rng.choices(words, k=300_000)))]
+    assert sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
