@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lexiweave.functions.text import cost_usd, request_id
 from lexiweave.operators.balance import cap_and_renumber, cap_per_cue, first_wins
-from lexiweave.runtime import running_total
+from lexiweave.runtime import running_total_by_order
+
+#: So many states, one row each, are broadcast.
+STATES = 10_000
 
 
 def request_index(cues: DataFrame, repetitions: int, first: int = 0) -> DataFrame:
@@ -139,7 +142,30 @@ def reconcile(existing: DataFrame, late: DataFrame, repetitions: int, position:
     return kept.withColumn("custom_id", request_id(F.col("cue"), F.col("trial"))).drop("__late", "__at")
 
 
+def reconciled_artefacts(
+    index: DataFrame, existing: DataFrame, late: DataFrame, usage: DataFrame, late_usage: DataFrame, still_open: DataFrame, repetitions: int, prices: tuple[float, float], position: str = "position"
+) -> dict[str, DataFrame]:
+    """What a run consists of after late results were taken in, to be committed as one: rows, index, usage, checkpoint and progress.
+
+    ``rows`` are those of ``reconcile``; ``index`` numbers their ids. Usage of
+    late results counts if their id is among these; all earlier usage stays, but
+    costs are those of completed ids. Submitted are completed ids and those of
+    batches that are ``still_open``.
+    """
+    rows = reconcile(existing, late, repetitions, position)
+    done = rows.select("custom_id").distinct()
+    columns = ["custom_id", "input_tokens", "output_tokens"]
+    spent = usage.select(columns).unionByName(usage_of(late_usage, done).select(columns))
+    states = done.withColumn("state", F.lit("completed"))
+    checkpoint = states.unionByName(done.union(still_open.select("custom_id")).distinct().withColumn("state", F.lit("submitted")))
+    counts = run_progress(index, states).select("total", "completed", "remaining", "percent_complete")
+    progress = counts.crossJoin(F.broadcast(usage_cost(usage_of(spent, done), *prices)))
+    return {"rows": rows, "index": sorted_ids(states).select("position", "custom_id"), "usage": spent, "checkpoint": checkpoint, "progress": progress}
+
+
 def sorted_ids(states: DataFrame) -> DataFrame:
     """``state, position, custom_id`` of ``custom_id, state``: each state's distinct ids, numbered from 0 in order."""
     ids = states.select("state", "custom_id").where("state is not null and custom_id is not null").distinct()
-    return running_total(ids, group=["state"], buckets={"id": F.substring("custom_id", 1, 3)}, order=["custom_id"], out="position").select("state", "position", "custom_id")
+    placed = running_total_by_order(ids, ["state", "custom_id"], "at")
+    first = placed.groupBy("state").agg(F.min("at").alias("first"))
+    return placed.join(F.broadcast(first) if first.count() <= STATES else first, "state").select("state", (F.col("at") - F.col("first")).alias("position"), "custom_id")

@@ -12,7 +12,7 @@ from lexiweave.operators import balance, compare, ledger, lexicon, network, stat
 from lexiweave.plans import cleaning, views
 from lexiweave.plans.views import with_views
 from lexiweave.runtime import Scratch
-from lexiweave.sources import envelopes, files
+from lexiweave.sources import commits, envelopes, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -683,6 +683,33 @@ def stream_ledger(spark, d):
     return ledger_index(read_ledger(spark, f"{s.root}/ledger"))
 
 
+_RECONCILED = """, a AS (SELECT custom_id, cue, trial, min(event_id) AS position, 0 AS late FROM ledger WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT custom_id, cue, trial, min(event_id) AS position, 1 AS late FROM ledger WHERE event_type = 'view' GROUP BY ALL),
+    m AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE custom_id NOT IN (SELECT custom_id FROM a) AND (cue, trial) NOT IN (SELECT (cue, trial) FROM a)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY late, position) AS rn, count(*) OVER (PARTITION BY cue) AS n FROM m), r AS (SELECT left(sha1(cue || '|' || (rn - 1)), 16) AS custom_id, cue, (rn - 1)::INT AS trial FROM k WHERE n >= 10 AND rn <= 10),
+    u AS (SELECT custom_id, coalesce(k, 0) AS i, coalesce(k % 7, 0) AS o FROM ledger WHERE event_type = 'click' UNION ALL SELECT custom_id, coalesce(k, 0), coalesce(k % 7, 0) FROM ledger WHERE event_type = 'view' AND custom_id IN (SELECT custom_id FROM r)),
+    t AS (SELECT coalesce(sum(i), 0) AS i, coalesce(sum(o), 0) AS o FROM u WHERE custom_id IN (SELECT custom_id FROM r)), n AS (SELECT count(*) AS total, count(*) FILTER (custom_id IN (SELECT custom_id FROM r)) AS done FROM idx)
+    SELECT 'rows' AS artefact, custom_id, cue || '#' || trial AS detail FROM r UNION ALL SELECT 'index', custom_id, (row_number() OVER (ORDER BY custom_id) - 1)::VARCHAR FROM (SELECT DISTINCT custom_id FROM r)
+    UNION ALL SELECT 'usage', custom_id, i || '|' || o FROM u UNION ALL SELECT DISTINCT 'checkpoint', custom_id, 'completed' FROM r
+    UNION ALL SELECT 'checkpoint', custom_id, 'submitted' FROM (SELECT custom_id FROM r UNION SELECT custom_id FROM ledger WHERE event_type = 'purchase')
+    UNION ALL SELECT 'progress', '', done || ' of ' || total || ', ' || i || ' ' || o || ', cost ' || round((i / 1e6 * 0.25 + o / 1e6 * 2.0) * 1e6)::BIGINT FROM n, t"""
+
+
+@query(with_views("requests", "ledger") + _INDEX + _RECONCILED)
+def reconciled_artefacts(spark, d):
+    """The five artefacts of a reconciled run, as read from the version that was committed last."""
+    own, versions = views.ledger(spark, d), commits.Versions(spark, f"{Scratch(spark, 'run').root}/run")
+    a, b = (_of_type(spark, d, k).groupBy("custom_id", "cue", "trial").agg(F.min("event_id").alias("position")) for k in ("click", "view"))
+    spent = [_of_type(spark, d, k).select("custom_id", F.coalesce("k", F.lit(0)).alias("input_tokens"), F.coalesce(F.col("k") % 7, F.lit(0)).alias("output_tokens")) for k in ("click", "view")]
+    versions.commit({"rows": a, "usage": spent[0]})
+    made = ledger.reconciled_artefacts(_index(spark, d), versions.read("rows"), b, versions.read("usage"), spent[1], own.where("event_type = 'purchase'"), 10, (0.25, 2.0))
+    versions.commit(made)
+    line = lambda name, detail, key="custom_id": versions.read(name).select(F.lit(name).alias("artefact"), F.expr(key).alias("custom_id"), F.expr(detail).alias("detail"))
+    return (
+        line("rows", "cue || '#' || trial").union(line("index", "string(position)")).union(line("usage", "input_tokens || '|' || output_tokens")).union(line("checkpoint", "state"))
+        .union(line("progress", "completed || ' of ' || total || ', ' || input_tokens || ' ' || output_tokens || ', cost ' || cast(round(cost_usd * 1e6) as bigint)", "''"))
+    )
+
+
 _EVENT_KIND = "CASE event_type WHEN 'click' THEN 'request' WHEN 'view' THEN 'result' WHEN 'error' THEN 'lost' ELSE 'poll' END"
 _EVENT_ID = "CASE event_type WHEN 'click' THEN 'r' || event_id % 40 WHEN 'view' THEN 'r' || {} % 40 END"
 _INSIDE = "flatten(list_transform(opened, lambda o: o.ids))"

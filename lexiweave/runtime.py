@@ -52,7 +52,7 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -85,16 +85,16 @@ class Scratch:
         """Delete a table that ``keep`` wrote, when nothing reads it any more."""
         path = getattr(kept, "_lexiweave_path", None)
         if path:
-            _delete(self.spark, path)
+            delete(self.spark, path)
 
     def close(self) -> None:
         """Delete all tables of this Scratch, when no result that reads them is needed any more."""
-        _delete(self.spark, self.root)
+        delete(self.spark, self.root)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every scratch table of this application; results that still read one must have been written before."""
-    _delete(spark, _job_root(spark))
+    delete(spark, _job_root(spark))
 
 
 def hash_buckets(rows: int, least: int = 2048) -> int:

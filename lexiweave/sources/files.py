@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.functions.text import strip
+from lexiweave.sources import commits
 
 RAW = "cue string, trial string, raw_text string, parsed string, ok string"
 TRIALS = "cue string, R1 string, R2 string, R3 string"
@@ -51,17 +54,33 @@ def discover_runs(spark: SparkSession, root: str, manifest: str = "manifest.json
 
 
 def create_or_load(row: DataFrame, path: str) -> DataFrame:
-    """A one-row table as JSON; one that is there already wins over ``row``."""
-    row.coalesce(1).write.mode("ignore").json(path)
-    return row.sparkSession.read.schema(row.schema).json(path)
+    """A one-row table as a JSON file; one that is there already wins over ``row``, also one that comes first only just."""
+    spark = row.sparkSession
+    if not commits.exists(spark, path):
+        with contextlib.suppress(commits.Conflict):
+            commits.put_text(spark, _one_line(row), path, replace=False)
+    return spark.read.schema(row.schema).json(path)
 
 
 def rewrite(row: DataFrame, path: str) -> DataFrame:
-    """Replace a one-row JSON table, with a fresh ``updated_at`` if it has one; ``row`` may have been read from it."""
+    """Replace a one-row JSON file in one step, with a fresh ``updated_at`` if it has one; ``row`` may have been read from it."""
     fresh = row.withColumn("updated_at", utc_now()) if "updated_at" in row.columns else row
-    spark, values, schema = row.sparkSession, fresh.limit(1).collect(), fresh.schema
-    spark.createDataFrame(values, schema).coalesce(1).write.mode("overwrite").json(path)
-    return spark.read.schema(schema).json(path)
+    commits.put_text(row.sparkSession, _one_line(fresh), path)
+    return row.sparkSession.read.schema(fresh.schema).json(path)
+
+
+def _one_line(row: DataFrame) -> str:
+    first = row.select(F.to_json(F.struct(*row.columns)).alias("line")).first()
+    return f"{first['line']}\n" if first else ""
+
+
+def read_or_default(spark: SparkSession, path: str, schema: str, default: DataFrame) -> DataFrame:
+    """The object of a JSON file as one row; ``default`` if the file is missing, malformed or no object."""
+    if not commits.exists(spark, path):
+        return default
+    text = spark.read.text(path, wholetext=True).limit(1)
+    found = text.select(json_object(F.col("value"), schema, F.lit(None)).alias("r")).where("r is not null").select("r.*")
+    return default if found.isEmpty() else found
 
 
 def utc_now() -> Column:

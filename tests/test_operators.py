@@ -106,7 +106,7 @@ def test_payload_of_several_lines(spark):
 
 def test_manifests_and_runs(spark, tmp_path):
     row = lambda n: spark.createDataFrame([(n, "running", "")], "run string, state string, updated_at string")
-    path = str(tmp_path / "runs/r1/m")
+    path = str(tmp_path / "runs/r1/m.json")
     assert files.create_or_load(row("a"), path).first().run == "a"
     kept = files.create_or_load(row("b"), path)
     assert kept.first().run == "a"
