@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def edge_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: distinct rows on each side, those on one side only, and IDENTICAL or DIFF."""
-    a, b = left.distinct().withColumn("__l", F.lit(1)), right.distinct().withColumn("__r", F.lit(1))
-    return a.join(b, left.columns, "full").agg(
-        F.count("__l").alias("n_left"), F.count("__r").alias("n_right"),
-        F.count_if(F.col("__r").isNull()).alias("only_left"), F.count_if(F.col("__l").isNull()).alias("only_right"),
+    """One row: distinct rows on each side, those on one side only, and IDENTICAL or DIFF; nulls are alike, as in ``EXCEPT``."""
+    both = left.withColumns({"__l": F.lit(1), "__r": F.lit(0)}).unionByName(right.select(*left.columns).withColumns({"__l": F.lit(0), "__r": F.lit(1)}))
+    rows = both.groupBy(*left.columns).agg(F.max("__l").alias("__l"), F.max("__r").alias("__r"))
+    return rows.agg(
+        F.count_if(F.col("__l") == 1).alias("n_left"), F.count_if(F.col("__r") == 1).alias("n_right"),
+        F.count_if(F.col("__r") == 0).alias("only_left"), F.count_if(F.col("__l") == 0).alias("only_right"),
     ).withColumn("verdict", F.when((F.col("only_left") == 0) & (F.col("only_right") == 0), "IDENTICAL").otherwise("DIFF"))
 
 

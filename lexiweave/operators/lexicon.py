@@ -15,8 +15,9 @@ from lexiweave.runtime import Scratch
 
 
 def replace_cells(df: DataFrame, columns: list[str], pairs: DataFrame) -> DataFrame:
-    """Each cell of ``columns`` that is a key of ``pairs`` (first column) becomes its value (second)."""
+    """Each cell of ``columns`` that is a key of ``pairs`` (first column) becomes its value (second); ``pairs`` is made once, not for each column."""
     key, value = pairs.columns
+    pairs = Scratch(df.sparkSession, "pairs").keep(pairs.where(F.col(key) != F.col(value)), "pairs")
     for c in columns:
         lookup = pairs.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
         df = df.join(lookup, df[c] == lookup["__k"], "left").withColumn(c, F.coalesce("__v", c)).drop("__k", "__v")
@@ -29,9 +30,8 @@ def distinct_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def map_cells(df: DataFrame, columns: list[str], pairs: DataFrame) -> DataFrame:
-    """Cells by ``pairs(cell, out)``, which is written once and joined once for each column; others stay, null is blank."""
-    kept = Scratch(df.sparkSession, "cells").keep(pairs.select("cell", "out").where("cell <> out"), "pairs")
-    return replace_cells(df.withColumns({c: F.coalesce(c, F.lit("")) for c in columns}), columns, kept)
+    """Cells by ``pairs(cell, out)``, which is joined once for each column; others stay, null is blank."""
+    return replace_cells(df.withColumns({c: F.coalesce(c, F.lit("")) for c in columns}), columns, pairs.select("cell", "out"))
 
 
 def spelling_dictionary(lines: DataFrame) -> DataFrame:
@@ -94,6 +94,21 @@ def subgraph(edges: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out
 
 
+def direct_subgraph(edges: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Edges with both ends in the lexicon by any of their noun forms, spaces read as underscores: ``dogs`` by ``dog``.
+
+    Every node is looked up once, however many edges it has.
+    """
+    words = lexicon.select(F.col("word").alias("form")).distinct()
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("tgt")).distinct()
+    forms = nodes.select("node", F.explode(lemma_candidates(F.replace("node", F.lit(" "), F.lit("_")))).alias("form"))
+    kept = Scratch(edges.sparkSession, "nodes").keep(forms.join(words, "form", "left_semi").select("node").distinct(), "nodes")
+    out = edges
+    for end in ("src", "tgt"):
+        out = out.join(kept, out[end] == kept["node"], "left_semi")
+    return out
+
+
 def within_norms(words: DataFrame, length: tuple[int, int] = (4, 9), zipf: tuple[float, float] = (2.5, 5.0)) -> DataFrame:
     """Rows of ``word, zipf`` whose word has letters and hyphens only, and whose length and frequency lie within the bounds."""
     return words.where(F.length("word").between(*length) & F.col("zipf").between(*zipf) & F.col("word").rlike("^[a-zA-Z-]+$"))

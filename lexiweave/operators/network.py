@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.operators.components import connected_components
-from lexiweave.operators.lexicon import subgraph
+from lexiweave.operators.lexicon import direct_subgraph, subgraph
 
 
 def directed_edges(trials: DataFrame) -> DataFrame:
@@ -45,10 +45,15 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(nodes, edges["src"] == nodes["node"], "left_semi")
 
 
-def filtered_graph(trials: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """Trials to the largest component: count, merge, lexicon, weight over 1, component, in this order."""
+def filtered_graph(trials: DataFrame, lexicon: DataFrame | None = None, direct: bool = False) -> DataFrame:
+    """Trials to the largest component: count, merge, lexicon, weight over 1, component, in this order.
+
+    With ``direct`` a node is in the lexicon if any of its noun forms is.
+    """
     edges = undirected(directed_edges(trials))
-    return largest_component(not_idiosyncratic(subgraph(edges, lexicon) if lexicon is not None else edges))
+    if lexicon is not None:
+        edges = (direct_subgraph if direct else subgraph)(edges, lexicon)
+    return largest_component(not_idiosyncratic(edges))
 
 
 def strongest(edges: DataFrame, word: str, k: int) -> DataFrame:

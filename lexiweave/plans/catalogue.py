@@ -12,7 +12,7 @@ from lexiweave.operators import balance, compare, ledger, lexicon, network, stat
 from lexiweave.plans import cleaning, views
 from lexiweave.plans.views import with_views
 from lexiweave.runtime import Scratch
-from lexiweave.sources import commits, envelopes, files
+from lexiweave.sources import commits, envelopes, files, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -507,9 +507,28 @@ def largest_component(spark, d):
     return network.largest_component(_heavy(spark, d))
 
 
-@query(with_views("heavy") + _COMPONENTS + _LARGEST + " SELECT h.* FROM heavy h JOIN comp ON node = src JOIN best USING (component)")
+def _known_pairs(known: str) -> str:
+    """``heavy`` again, of pairs that a condition on ``{word}`` admits to the lexicon."""
+    return with_views("pairs", "lexicon") + ", heavy AS (SELECT * FROM pairs WHERE wt > 1 AND " + " AND ".join(known.format(word=f"replace({c}, ' ', '_')") for c in ("src", "tgt")) + ")"
+
+
+_LARGEST_EDGES = _COMPONENTS + _LARGEST + " SELECT h.* FROM heavy h JOIN comp ON node = src JOIN best USING (component)"
+_DIRECT = "(" + " OR ".join(["{{word}} IN (SELECT word FROM lexicon)"] + [f"ends_with({{{{word}}}}, '{e}') AND left({{{{word}}}}, length({{{{word}}}}) - {len(e)}) || '{r}' IN (SELECT word FROM lexicon)" for e, r in _RULES]).replace("{{", "{").replace("}}", "}") + ")"
+
+
+@query(_known_pairs("{word} IN (SELECT word FROM lexicon)") + _LARGEST_EDGES)
 def full_graph(spark, d):
-    return network.filtered_graph(views.trials(spark, d))
+    return network.filtered_graph(views.trials(spark, d), views.lexicon(spark, d))
+
+
+@query(_known_pairs(_DIRECT) + _LARGEST_EDGES)
+def full_graph_direct(spark, d):
+    return network.filtered_graph(views.trials(spark, d), views.lexicon(spark, d), direct=True)
+
+
+@query(_known_pairs(_DIRECT).replace("wt > 1 AND", "") + " SELECT * FROM heavy")
+def lexicon_subgraph_direct(spark, d):
+    return lexicon.direct_subgraph(network.undirected(network.directed_edges(views.trials(spark, d))), views.lexicon(spark, d))
 
 
 @query(with_views("heavy") + ", near AS (SELECT CASE WHEN src = 'the' THEN tgt ELSE src END AS word, wt FROM heavy WHERE src = 'the' OR tgt = 'the') SELECT word, wt, round(wt / sum(wt) OVER (), 6) AS share FROM near ORDER BY wt DESC, word LIMIT 10")
@@ -752,6 +771,15 @@ def admission_log(spark, d):
     return log.select("run", "seq", "step", F.col("at").cast("timestamp_ntz").alias("moment"), "action", "batch", T.join_pipe(F.col("ids")).alias("ids"))
 
 
+@query(with_views("vectors") + " SELECT word, list_sum(list_transform(vec, lambda x: floor(x::DOUBLE * 1000000)::BIGINT))::BIGINT AS total, len(vec)::INT AS dim FROM vectors")
+def binary_vectors(spark, d):
+    """Vectors written as binary files and read back in ranges."""
+    path = f"{Scratch(spark, 'vectors').root}/binary"
+    vectors.write_binary_vectors(views.vectors(spark, d), path)
+    back = vectors.read_binary_vectors(spark, path)
+    return back.select("word", F.aggregate("vec", F.lit(0).cast("long"), lambda s, x: s + F.floor(x.cast("double") * 1000000)).alias("total"), F.size("vec").alias("dim"))
+
+
 @query(with_views("directed") + " SELECT * FROM directed")
 def sink_roundtrip(spark, d):
     path = f"{Scratch(spark, 'files').root}/edges"

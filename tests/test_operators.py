@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiweave.functions import text as T
-from lexiweave.operators import balance, compare, network, stats
+from lexiweave.operators import balance, compare, lexicon, network, stats
 from lexiweave.operators import ledger as ledger_ops
 from lexiweave.operators.components import connected_components
 from lexiweave.plans import cleaning
@@ -158,3 +158,18 @@ def test_components_of_words_and_numbers(spark):
     assert sorted(map(tuple, got)) == [("a", "a"), ("b", "a"), ("c", "a"), ("k", "k"), ("z", "z"), ("é", "z")]
     chain = connected_components(spark.range(300).selectExpr("id as src", "id + 1 as tgt")).collect()
     assert len(chain) == 301 and {r.component for r in chain} == {0}
+
+
+def test_nulls_are_alike_in_edge_lists(spark):
+    schema = "src string, tgt string, wt long"
+    a, b = (spark.createDataFrame(rows, schema) for rows in ([("a", None, 1), (None, None, None), ("a", None, 1)], [(None, None, None), ("a", None, 1)]))
+    assert tuple(compare.edge_diff(a, b).first()) == (2, 2, 0, 0, "IDENTICAL")
+    c = spark.createDataFrame([("a", None, 2), (None, None, None)], schema)
+    assert tuple(compare.edge_diff(a, c).first()) == (2, 2, 1, 1, "DIFF")
+
+
+def test_direct_lookup_keeps_forms_of_a_word(spark):
+    edges = spark.createDataFrame([("dogs", "big cats", 3), ("dogs", "zzz", 4), ("men", "dog", 5)], "src string, tgt string, wt long")
+    words = spark.createDataFrame([("dog",), ("big_cat",), ("man",)], "word string")
+    assert sorted(map(tuple, lexicon.direct_subgraph(edges, words).collect())) == [("dogs", "big cats", 3), ("men", "dog", 5)]
+    assert lexicon.subgraph(edges, words).count() == 0
