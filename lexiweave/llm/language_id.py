@@ -21,9 +21,10 @@ PIECE = 1 << 21
 class Params:
     """n-grams of 1 to ``longest`` characters, hashed to ``buckets``; ``smooth`` is added to every count.
 
-    ``buckets`` and ``model`` are powers of two. The model has ``model``
-    numbers at most, whatever the number of languages: beyond ``model /
-    buckets`` languages (512) each has fewer buckets.
+    At most ``model`` numbers are in memory and broadcast at a time: of more
+    than ``model / buckets`` languages (512), so many are compared with all
+    texts, then the next, and so on. Neither that nor other languages change
+    what a language weighs.
     """
 
     longest: int = 3
@@ -50,8 +51,8 @@ def has_letter(text: str | None) -> bool:
 
 
 @dataclass(frozen=True)
-class Model:
-    """``weights[bucket, language]``: log-probabilities; ``prior[language]``."""
+class Part:
+    """Some of the languages: ``weights[bucket, language]`` are log-probabilities, ``prior[language]`` as well."""
 
     languages: list[str]
     prior: np.ndarray
@@ -59,6 +60,36 @@ class Model:
     params: Params
 
 
+class Model:
+    """What was learned: the languages, their shares, and their counts as a table from which parts are loaded."""
+
+    def __init__(self, languages: list[str], prior: np.ndarray, params: Params, counts: DataFrame | None = None, scratch: Scratch | None = None):
+        self.languages, self.prior, self.params, self._counts, self._scratch = languages, prior, params, counts, scratch
+
+    def parts(self) -> Iterator[Part]:
+        """One part after another, in the order of the languages."""
+        p, width = self.params, max(1, self.params.model // self.params.buckets)
+        for at in range(0, len(self.languages), width):
+            names = self.languages[at : at + width]
+            weights = np.full((p.buckets, len(names)), p.smooth, np.float32)
+            if self._counts is None:
+                weights[:] = 0
+            else:
+                of = {lang: j for j, lang in enumerate(names)}
+                own = self._counts.where((F.col("bucket") >= 0) & (F.col("lang") >= names[0]) & (F.col("lang") <= names[-1]))
+                for row in own.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).toLocalIterator():
+                    count = np.full(p.buckets, p.smooth)
+                    real = np.array([(y["bucket"], y["n"]) for y in row["x"]], np.int64)
+                    np.add.at(count, real[:, 0], real[:, 1])
+                    weights[:, of[row["lang"]]] = np.log(count / count.sum())
+            yield Part(names, self.prior[at : at + width], weights, p)
+
+    def close(self) -> None:
+        """Forget the counts; no part can be loaded any more."""
+        if self._scratch is not None:
+            self._scratch.close()
+
+
 def _counts(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -93,39 +124,27 @@ def _counts(p: Params):
 def fit(docs: DataFrame, params: Params = Params(), text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from every row with a text and a language.
 
-    Tasks count n-grams, Spark sums the counts; what reaches the driver is the
-    model itself, language by language.
+    Tasks count n-grams, Spark sums the counts; what reaches the driver is one
+    row a language, and the model part by part when it is used.
     """
     rows = bounded(docs).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counted = rows.mapInArrow(_counts(params), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     scratch = Scratch(docs.sparkSession, "language")
     counted = scratch.keep(counted, "counts")
     languages = sorted(r["lang"] for r in counted.where("bucket = -1").select("lang").toLocalIterator())
-    buckets = params.buckets
-    while buckets > 1 and buckets * len(languages) > params.model:
-        buckets //= 2
-    of = {lang: j for j, lang in enumerate(languages)}
-    prior = np.zeros(len(languages))
-    weights = np.full((buckets, len(languages)), params.smooth, np.float32)
-    for row in counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).toLocalIterator():
-        at = np.array([(y["bucket"], y["n"]) for y in row["x"]], np.int64)
-        own = np.full(buckets, params.smooth)
-        real = at[at[:, 0] >= 0]
-        np.add.at(own, real[:, 0] % buckets, real[:, 1])
-        weights[:, of[row["lang"]]] = np.log(own / own.sum())
-        prior[of[row["lang"]]] = at[at[:, 0] == -1, 1].sum()
-    scratch.close()
-    return Model(languages, np.log(prior / prior.sum()) if languages else prior, weights, params)
-
-
-def _logs(model: Model, texts: list[str]) -> np.ndarray:
+    docs_of = {r["lang"]: r["n"] for r in counted.where("bucket = -1").toLocalIterator()}
+    prior = np.array([docs_of[lang] for lang in languages], np.float64)
+    return Model(languages, np.log(prior / prior.sum()) if languages else prior, params, counted, scratch)
+
+
+def _logs(model: Part, texts: list[str]) -> np.ndarray:
     """Log-probability of each text (rows) in each language (columns).
 
     The n-grams of all texts are looked up one after another, in pieces of
     bounded size, whatever the length of a text, and summed by text.
     """
     found = [grams(t, model.params) for t in texts]
-    buckets, ends = np.concatenate(found) % np.uint32(len(model.weights)), np.cumsum([len(g) for g in found])
+    buckets, ends = np.concatenate(found), np.cumsum([len(g) for g in found])
     logs = np.tile(model.prior, (len(texts), 1))
     step = max(1, PIECE // len(model.languages))
     for at in range(0, len(buckets), step):
@@ -137,16 +156,22 @@ def _logs(model: Model, texts: list[str]) -> np.ndarray:
     return logs
 
 
-def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    names, scores = ["und"] * len(texts), [0.0] * len(texts)
-    at = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
+def _compare(part: Part, texts: list[str | None], best: tuple[list, list, list]) -> tuple[list[str], list[float], list[float]]:
+    """The likeliest languages so far: name, log-probability, and the sum of all languages' probabilities in shares of its own."""
+    names, logs, sums = map(list, best)
+    at = [i for i, t in enumerate(texts) if has_letter(t)] if part.languages else []
     if at:
-        logs = _logs(model, [texts[i] for i in at])
-        best = np.argmax(logs, 1)
-        share = 1 / np.exp(logs - logs[np.arange(len(at)), best][:, None]).sum(1)
-        for i, j, x in zip(at, best, share, strict=True):
-            names[i], scores[i] = model.languages[j], float(x)
-    return names, scores
+        own = _logs(part, [texts[i] for i in at])
+        top = np.argmax(own, 1)
+        most = own[np.arange(len(at)), top]
+        total = np.exp(own - most[:, None]).sum(1)
+        for i, j, x, n in zip(at, top.tolist(), most.tolist(), total.tolist(), strict=True):
+            if names[i] == "und" or x > logs[i]:
+                sums[i] = n + (sums[i] * float(np.exp(logs[i] - x)) if names[i] != "und" else 0.0)
+                names[i], logs[i] = part.languages[j], x
+            else:
+                sums[i] += n * float(np.exp(x - logs[i]))
+    return names, logs, sums
 
 
 def predict(
@@ -157,25 +182,45 @@ def predict(
     A null text and one without a letter is ``und`` with score 0. So is every
     text when there is no labelled text to learn from: then there is no
     language to name. Ties go to the first language by name. A text may have
-    any length; what is looked up at a time is bounded.
+    any length; what is looked up at a time is bounded. Between two parts of a
+    model the rows are written, so one part is in memory at a time.
     """
-    shared = bounded(docs).sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.select(*keep).schema]
+    context, scratch = bounded(docs).sparkSession.sparkContext, Scratch(docs.sparkSession, "predict")
+    fields = list(docs.select(*keep).schema)
     # A text that is kept crosses to Python once.
     at_text = [f.name for f in fields].index(text_col) if text_col in keep else len(fields)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out[0]}` string, `{out[1]}` double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                names, scores = _predict(shared.value, part.column(at_text).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(fields))), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*(f.name for f in fields), *out],
-                )
-
-    return docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__text")])).mapInArrow(run, schema)
+    rows = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("__text")]))
+    kinds = lambda s: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s)
+    parts = model.parts()
+    part, first, before = next(parts, Part([], model.prior, np.empty((1, 0), np.float32), model.params)), True, None
+    while part is not None:
+        later = next(parts, None)
+        shared, given = context.broadcast(part), len(rows.columns) - (0 if first else 3)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, given=given, first=first, last=later is None) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    own = batch.slice(at, 64)
+                    n = own.num_rows
+                    best = (["und"] * n, [0.0] * n, [0.0] * n) if first else tuple(own.column(given + i).to_pylist() for i in range(3))
+                    names, logs, sums = _compare(shared.value, own.column(at_text).to_pylist(), best)
+                    if last:
+                        scores = [0.0 if name == "und" else 1 / total for name, total in zip(names, sums, strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*(own.column(i) for i in range(len(fields))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), *out]
+                        )
+                    else:
+                        yield pa.RecordBatch.from_arrays(
+                            [*(own.column(i) for i in range(given)), pa.array(names, pa.string()), pa.array(logs, pa.float64()), pa.array(sums, pa.float64())],
+                            names=[*own.schema.names[:given], "__name", "__log", "__sum"],
+                        )
+
+        if later is None:
+            return rows.mapInArrow(run, f"{kinds(fields)}, `{out[0]}` string, `{out[1]}` double")
+        rows = scratch.keep(rows.mapInArrow(run, f"{kinds(list(rows.schema)[:given])}, `__name` string, `__log` double, `__sum` double"), "compared")
+        shared.destroy()
+        scratch.drop(before)
+        part, first, before = later, False, rows
 
 
 def held_out(id_col: str = "doc_id"):
@@ -190,7 +235,10 @@ def identify(docs: DataFrame, params: Params = Params()) -> DataFrame:
     doc_id, text and lang are ignored.
     """
     own = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
-    return predict(own, fit(own.where("not held_out"), params), ["doc_id", "held_out"])
+    model = fit(own.where("not held_out"), params)
+    out = predict(own, model, ["doc_id", "held_out"])
+    model.close()
+    return out
 
 
 def keep_known(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -200,6 +248,8 @@ def keep_known(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """
     model = fit(docs.where(~held_out()), params)
     if not model.languages:
-        model = Model(["unknown"], np.zeros(1), np.zeros((params.buckets, 1), np.float32), params)
+        model = Model(["unknown"], np.zeros(1), params)
     cols = docs.columns
-    return predict(docs, model, cols, out=("__lang_pred", "__score")).where("__lang_pred <> 'und'").select(*cols)
+    known = predict(docs, model, cols, out=("__lang_pred", "__score")).where("__lang_pred <> 'und'").select(*cols)
+    model.close()
+    return known
