@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiweave.functions import payloads
 from lexiweave.functions import text as T
 from lexiweave.operators import balance, compare, ledger, lexicon, network, stats
 from lexiweave.plans import cleaning, views
 from lexiweave.plans.views import with_views
 from lexiweave.runtime import Scratch
-from lexiweave.sources import commits, envelopes, files, vectors
+from lexiweave.sources import commits, envelopes, files, memo, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -222,6 +223,19 @@ def prompts(spark, d):
     return views.requests(spark, d).select("cue", T.prompt(F.col("cue")).alias("prompt"))
 
 
+_SYSTEM = "'" + payloads.SYSTEM_PROMPT.replace("'", "''") + "'"
+_LINE_A = f"{{'custom_id': custom_id, 'params': {{'model': 'm1', 'max_tokens': 32, 'temperature': 0.5::DOUBLE, 'system': [{{'type': 'text', 'text': {_SYSTEM}}}], 'messages': [{{'role': 'user', 'content': [{{'type': 'text', 'text': prompt}}]}}]}}}}"
+_LINE_B = f"{{'custom_id': custom_id, 'method': 'POST', 'url': '/v1/chat/completions', 'body': {{'model': 'm2', 'max_completion_tokens': 64, 'temperature': 1.0::DOUBLE, 'messages': [{{'role': 'system', 'content': {_SYSTEM}}}, {{'role': 'user', 'content': prompt}}], 'reasoning_effort': 'low'}}}}"
+
+
+@query(with_views("requests") + f", p AS (SELECT left(sha1(cue || '|' || trial), 16) AS custom_id, 'Input: ' || cue || chr(10) || 'Output:' AS prompt FROM requests, range(20) r(trial)) SELECT custom_id, to_json({_LINE_A})::VARCHAR AS line_a, to_json({_LINE_B})::VARCHAR AS line_b FROM p")
+def request_payloads(spark, d):
+    """A line of a batch file for each request, for either provider."""
+    a, b = payloads.Settings("m1", 32, 0.5), payloads.Settings("m2", 64, 1.0, effort="low")
+    line = lambda f, s: f(F.col("custom_id"), F.col("cue"), s)
+    return ledger.request_index(views.requests(spark, d), 20).select("custom_id", line(payloads.batch_line_a, a).alias("line_a"), line(payloads.batch_line_b, b).alias("line_b"))
+
+
 # Vectors and statistics
 
 _COS = "1 - list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[])"
@@ -780,6 +794,15 @@ def binary_vectors(spark, d):
     return back.select("word", F.aggregate("vec", F.lit(0).cast("long"), lambda s, x: s + F.floor(x.cast("double") * 1000000)).alias("total"), F.size("vec").alias("dim"))
 
 
+@query(with_views("compounds") + " SELECT squashed, expanded, 1 AS made FROM compounds")
+def memo_compounds(spark, d):
+    """The compound dictionary, made by a first job and found by a second one."""
+    root, lex = f"{Scratch(spark, 'memo').root}/memo", views.lexicon(spark, d)
+    jobs = [memo.Memo(spark, root) for _ in range(2)]
+    found = [job.table("compounds", {"lexicon": lex}, lambda: lexicon.compound_dictionary(lex)) for job in jobs]
+    return found[-1].withColumn("made", F.lit(sum(job.made for job in jobs)))
+
+
 @query(with_views("directed") + " SELECT * FROM directed")
 def sink_roundtrip(spark, d):
     path = f"{Scratch(spark, 'files').root}/edges"
