@@ -277,6 +277,15 @@ def correlations(spark, d):
     return c.withColumns({k: F.round(k, 5) for k in ("pearson_r", "spearman_r")})
 
 
+@query(with_views("vectors", "vector_edges") + _DIST + _RANKED + """, words AS (SELECT src AS word FROM vector_edges UNION SELECT tgt FROM vector_edges), c AS (SELECT round(corr(wt, distance), 5) AS p, round(corr(rw, rd), 5) AS s FROM r)
+    SELECT 'pearson_r' AS metric, p AS value FROM c UNION ALL SELECT 'spearman_r', s FROM c UNION ALL SELECT 'missing_words', (SELECT count(*) FROM words WHERE word NOT IN (SELECT word FROM vectors))::DOUBLE
+    UNION ALL SELECT 'missing_edges', (SELECT count(*) FROM dist WHERE distance IS NULL)::DOUBLE""")
+def correlation_figures(spark, d):
+    """The rows of ``correlation_table`` but its two probabilities, which SQL has no function for."""
+    rows = stats.correlation_table(views.vector_edges(spark, d), views.vectors(spark, d))
+    return rows.where("metric not like '%_p'").withColumn("value", F.round("value", 5))
+
+
 @query()
 def correlation_table(spark, d):
     return stats.correlation_table(views.vector_edges(spark, d), views.vectors(spark, d)).withColumn("value", F.round("value", 6))
@@ -803,6 +812,71 @@ def memo_compounds(spark, d):
     return found[-1].withColumn("made", F.lit(sum(job.made for job in jobs)))
 
 
+def _echo():
+    """A scorer for the test tables: the cue, a fixed word, and the cue with an ending."""
+    def score(prompts: list[str]) -> list[str]:
+        cues = [p.removeprefix("Input: ").removesuffix("\nOutput:") for p in prompts]
+        return [f"<think>{c}</think> 1. {c}, 2. sea, {c}s" for c in cues]
+
+    return score
+
+
+@query(with_views("lexicon") + f""", c AS (SELECT DISTINCT word AS cue FROM lexicon WHERE NOT regexp_matches(word, '[-_]')), a AS (SELECT cue, list_filter([cue, 'sea', cue || 's'], lambda w: w NOT IN {_FILL}) AS w FROM c)
+    SELECT cue, trial_id::INT AS trial_id, coalesce(w[1], 'NaN') AS R1, coalesce(w[2], 'NaN') AS R2, coalesce(w[3], 'NaN') AS R3 FROM a, range(1, 4) t(trial_id)""")
+def probe_run(spark, d):
+    """Three trials of each cue; the first one is there already when the run begins."""
+    from lexiweave.streaming.probe import run_probe
+
+    cues, path = views.lexicon(spark, d).where("word not rlike '[-_]'").select(F.col("word").alias("cue")), f"{Scratch(spark, 'probe').root}/answers"
+    for repetitions in (1, 3):
+        answers = run_probe(cues, repetitions, path, "echo", _echo, T.probe_answers_a)
+    return answers
+
+
+@query("""WITH n AS (SELECT (user_id % 4)::INT AS lane, count(*) AS n FROM events GROUP BY ALL) SELECT lane, f::BIGINT AS flush, least(64, n - 64 * f)::INT AS lines FROM (SELECT lane, n, unnest(range((n + 63) // 64)) AS f FROM n)""")
+def flush_sizes(spark, d):
+    """Events by lane, passed on 64 at a time, and what is left at the end."""
+    from lexiweave.streaming.probe import end_lanes, start_flushes
+
+    s, e = Scratch(spark, "flushes"), views.table(spark, d, "events")
+    lines = e.select((F.col("user_id") % 4).cast("int").alias("lane"), F.col("event_id").cast("string").alias("line"), F.lit(False).alias("last"))
+    for part in (lines.where("line % 2 = 0"), lines.where("line % 2 = 1")):
+        part.write.mode("append").json(f"{s.root}/in")
+        start_flushes(spark, f"{s.root}/in", f"{s.root}/out", f"{s.root}/state").awaitTermination()
+    end_lanes(spark, f"{s.root}/in", 4)
+    start_flushes(spark, f"{s.root}/in", f"{s.root}/out", f"{s.root}/state").awaitTermination()
+    return spark.read.schema("lane int, flush long, lines array<string>").parquet(f"{s.root}/out").select("lane", "flush", F.size("lines").alias("lines"))
+
+
+@query(with_views("requests", "ledger") + _INDEX + """, h AS (SELECT custom_id, min(event_id % 2) AS half FROM ledger GROUP BY custom_id), t AS (SELECT count(*) AS total FROM idx),
+    b AS (SELECT half + 1 AS step, (SELECT count(*) FROM ledger WHERE event_id % 2 = half) AS rows_in, count(*) AS added, sum(count(*)) OVER (ORDER BY half) AS done FROM h GROUP BY half)
+    SELECT step::INT AS step, rows_in, added, (total - done)::BIGINT AS remaining, CASE WHEN total > 0 THEN round(100.0::DOUBLE * done / total, 4) ELSE 0.0 END AS percent_complete FROM b, t""")
+def stream_progress(spark, d):
+    """How far a run had come after each of two batches of its ledger, as a listener saw it."""
+    import time
+
+    from lexiweave.streaming import progress
+    from lexiweave.streaming.ledger import run_ledger
+
+    s, own = Scratch(spark, "progress"), views.ledger(spark, d)
+    rows = own.select("event_id", "custom_id", "cue", "trial", F.lit("").alias("raw_text"), F.lit("").alias("parsed"), F.lit(True).alias("ok"), F.lit("").alias("updated_at"))
+    listener = progress.ProgressRows(spark, f"{s.root}/progress")
+    spark.streams.addListener(listener)
+    try:
+        for half in (0, 1):
+            rows.where(F.col("event_id") % 2 == half).drop("event_id").write.mode("append").json(f"{s.root}/in")
+            run_ledger(spark, f"{s.root}/in", f"{s.root}/ledger", f"{s.root}/state", files_per_trigger=1_000_000)
+        for _ in range(150):  # the listener hears of a batch a little later
+            if progress.read_progress(spark, f"{s.root}/progress").count() >= 2:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    totals = ledger.run_progress(_index(spark, d), own.limit(0).select("custom_id", F.lit("").alias("state")))
+    seen = progress.live_progress(progress.read_progress(spark, f"{s.root}/progress"), totals, 0.25, 2.0)
+    return seen.select((F.col("batch") + 1).cast("int").alias("step"), "rows_in", "added", "remaining", "percent_complete")
+
+
 @query(with_views("directed") + " SELECT * FROM directed")
 def sink_roundtrip(spark, d):
     path = f"{Scratch(spark, 'files').root}/edges"
