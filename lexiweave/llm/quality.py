@@ -24,13 +24,17 @@ from lexiweave.runtime import Scratch
 
 @dataclass(frozen=True)
 class Params:
-    """The model is fitted on the ``sample`` labelled documents with the smallest hashed ids (all, if fewer)."""
+    """The model is fitted on the ``sample`` labelled documents with the smallest hashed ids (all, if fewer).
+
+    Fitting ends after ``rounds``, or when no weight moves by ``settled``.
+    """
 
     sample: int = 10000
     buckets: int = 1 << 17
     least_docs: int = 4
     l1: float = 2e-4
     rounds: int = 800
+    settled: float = 1e-4
     threshold: float = 0.5
 
 
@@ -48,22 +52,28 @@ class _Buckets(dict):
         return h
 
 
+_MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
+_CAPITALS, _DIGITS = list(range(65, 91)), list(range(48, 58))
 _EDGE = b".,;:!?\"'()[]{}|#$%&*+-=<>/\\`~^_@"
 
 
 def features(text: str | None, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of a document: shape first, then its distinct words, trimmed of punctuation, each 1."""
+    """Columns and values of a document: its shape first, then its distinct words, trimmed of punctuation, each 1.
+
+    The shape is a constant, the shares of marks, capitals and digits, the mean
+    length of words, the share of distinct ones, of repeated lines, and length.
+    """
     raw = (text or "").encode("utf-8", "surrogatepass")
     tokens = raw.split()
     n = max(1, len(tokens))
     size = max(1, len(raw))
-    marks = sum(map(raw.count, (b"#", b"$", b"%", b"&", b"*", b"|", b"!")))
+    bytes_ = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    share = lambda kinds: float(bytes_[kinds].sum()) / size
     kinds = {w.strip(_EDGE) for w in raw.lower().split()}
     kinds.discard(b"")
     lines = raw.split(b"\n")
     shape = np.array([
-        1.0, min(1.0, marks / n), min(1.0, raw.count(b"|") / n), min(1.0, raw.count(b"!") / n),
-        sum(map(raw.count, (b"E", b"A", b"T", b"O", b"N"))) / size * 4, len(kinds) / n,
+        1.0, share(_MARKS) * 4, share(_CAPITALS) * 4, share(_DIGITS) * 4, min(2.0, size / n / 8), len(kinds) / n,
         1 - len(set(lines)) / len(lines), min(1.0, np.log1p(n) / 8),
     ])
     words = np.unique(np.fromiter(map(buckets.__getitem__, kinds), np.int64, len(kinds)))
@@ -99,8 +109,9 @@ def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width:
         new = v - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        v = new + (before - 1) / t * (new - w)
-        w = new
+        v, moved, w = new + (before - 1) / t * (new - w), np.abs(new - w).max(), new
+        if moved < p.settled:
+            break
     return w
 
 
@@ -174,10 +185,22 @@ def _logit(x):
     return F.log(x / (1 - x))
 
 
+def with_site(docs: DataFrame, url: str = "url") -> DataFrame:
+    """``docs`` with ``host`` and ``path`` of a URL column: the site's name in lower case, and the first part of the path on it.
+
+    A URL that is null or has no host has neither; one without a path has an empty one.
+    """
+    parsed = lambda part: F.try_parse_url(F.col(url), F.lit(part))
+    host = F.lower(parsed("HOST"))
+    first = F.regexp_extract(F.coalesce(parsed("PATH"), F.lit("")), "^/([^/]*)", 1)
+    return docs.withColumns({"host": host, "path": F.when(host.isNotNull(), first)})
+
+
 def score(docs: DataFrame, labels: DataFrame, params: Params = Params(), host: str = "source", path: str = "lang") -> DataFrame:
     """One row per input row: ``doc_id, p_doc, p_host, p_path, quality, p_toxic, kept``.
 
-    ``host`` names the site column and ``path`` the part of the site. Null
+    ``host`` names the site column and ``path`` the part of the site, such as
+    those of ``with_site``; without URLs any two nested groupings will do. Null
     hosts and paths are groups of their own; a text that is null or empty has
     only its shape as evidence. A document's own evidence is left out of its
     path's mean, so a path of one document is its host's posterior. ``kept``
