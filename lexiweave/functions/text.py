@@ -72,13 +72,6 @@ def wide(responses: Column) -> dict[str, Column]:
     return {r: F.coalesce(F.get(responses, F.lit(i)), F.lit("")) for i, r in enumerate(RESPONSES)}
 
 
-def strip_articles(response: Column, is_cue) -> Column:
-    """Each prefix once, in order, unless the value so far is itself a cue. ``is_cue(Column) -> Column``."""
-    for article in ARTICLES:
-        response = F.when(response.startswith(article) & ~is_cue(response), F.substring(response, len(article) + 1, 1 << 30)).otherwise(response)
-    return response
-
-
 def drop_self(response: Column, cue: Column) -> Column:
     return F.when(response == cue, F.lit("")).otherwise(response)
 

@@ -128,7 +128,7 @@ def status_line(progress: DataFrame) -> DataFrame:
 def sync_campaign(rows: DataFrame, ledger: DataFrame, repetitions: int) -> DataFrame:
     """Ledger rows after a run's ``custom_id, cue, trial, ...`` were taken in: at most ``repetitions`` a cue by trial, ids once, the ledger's first."""
     capped = cap_per_cue(rows.where("cue <> ''"), repetitions, ["trial", "custom_id"])
-    fresh = first_wins(capped, "custom_id", "trial").join(ledger.select("custom_id"), "custom_id", "left_anti")
+    fresh = first_wins(capped.withColumn("__at", F.struct("trial", "cue")), "custom_id", "__at").join(ledger.select("custom_id"), "custom_id", "left_anti")
     return ledger.unionByName(fresh.select(*ledger.columns))
 
 

@@ -30,7 +30,6 @@ def test_articles(spark, cues, said, want):
     rows = spark.createDataFrame([("c", said, "", "")], "cue string, R1 string, R2 string, R3 string")
     known = spark.createDataFrame([(c,) for c in cues], "cue string")
     assert cleaning.strip_articles(rows, known).first().R1 == want
-    assert one(spark, T.strip_articles(F.col("t"), lambda c: c.isin(cues)), t=said) == want
 
 
 @pytest.mark.parametrize("cells, want", [(("a", "b", "b"), ("b", "", "")), (("", "x", "y"), ("x", "y", "")), (("", "", "y"), ("y", "", "")), (("x", "", "y"), ("x", "y", ""))])
@@ -67,6 +66,7 @@ def test_components_of_a_chain_and_a_loop(spark):
     assert out == {i: 0 for i in range(61)} | {100: 100, 101: 100, 200: 200}
 
 
+# Published correlations of 68 pairs and their probabilities.
 @pytest.mark.parametrize("r, n, p", [(-0.04337925463914871, 68, 0.7254023442020483), (-0.08213856825177354, 68, 0.5054744222249548), (1.0, 9, 0.0), (1.0, 2, 1.0)])
 def test_p_values(r, n, p):
     assert abs(stats.correlation_p(r, n) - p) < 1e-12
