@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiweave.llm.batches import bounded
@@ -48,6 +48,8 @@ HUB_PAIRS = 500
 CACHED_WORDS = 200_000
 #: A task joins so many links at a time before it passes their forest on.
 FOREST_EDGES = 500_000
+#: Of the lists that come before one, a class carries so many, the nearest ones, to tell whom it has met.
+MET_LISTS = 16
 
 
 @dataclass(frozen=True)
@@ -205,15 +207,37 @@ def _forest(a: list[np.ndarray], b: list[np.ndarray], ids: np.ndarray, group: np
     return out
 
 
+def _unmet(component: np.ndarray, met: list[np.ndarray], n: int) -> np.ndarray:
+    """Which rows have a partner on the other side, in another component, with whom they share no list of ``met``.
+
+    The first ``n`` rows are one side; if there are no others, they are both.
+    """
+    values, codes = np.unique(np.concatenate(met), return_inverse=True)
+    rows = np.repeat(np.arange(len(met)), [len(x) for x in met])
+    left, right = slice(0, n), slice(n, None) if n < len(met) else slice(0, n)
+    apart = component[left][:, None] != component[right][None, :]
+    for at in range(0, len(values), 2048):
+        mine = (codes >= at) & (codes < at + 2048)
+        on = np.zeros((len(met), min(2048, len(values) - at)), np.float32)
+        on[rows[mine], codes[mine] - at] = 1
+        apart &= on[left] @ on[right].T == 0
+    out = np.zeros(len(met), bool)
+    out[left] |= apart.any(1)
+    out[right] |= apart.any(0)
+    return out
+
+
 def _block_links(members: DataFrame, sets: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
     """Confirmed links ``(a, b)`` within long lists between classes still in different components.
 
-    ``members(v, rep, n_shingles, component, earlier)``, ``earlier`` being the
-    class's list before this one. A list is dealt by component (small ones
-    together), earlier list and size band into blocks of bounded size. Two
-    blocks meet only if they are not of one component, not of one earlier list
-    (there their classes met) and of bands that can be similar. A task compares
-    the whole sets of two blocks and returns no more links than it has classes.
+    ``members(v, rep, n_shingles, component, earlier, met)``, ``earlier`` being
+    the class's list before this one and ``met`` its nearest lists before. A
+    list is dealt by component (small ones together), earlier list and size
+    band into blocks of bounded size. Two blocks meet only if they are not of
+    one component, not of one earlier list (there their classes met) and of
+    bands that can be similar. Of two blocks, only the classes that have a
+    partner not met in any list before get their whole sets. A task compares
+    these and returns no more links than it has classes.
     """
     large = p.block // 4
 
@@ -229,7 +253,7 @@ def _block_links(members: DataFrame, sets: DataFrame, scratch: Scratch, p: Param
     )
     placed = scratch.keep(
         placed.join(cells, ["v", "label", "before", "band"]).select(
-            "v", "rep", "component", "earlier",
+            "v", "rep", "component", "earlier", "met",
             F.struct("label", "before", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")).alias("block"),
         ), "placed",
     )
@@ -238,10 +262,15 @@ def _block_links(members: DataFrame, sets: DataFrame, scratch: Scratch, p: Param
         "i <= j and not (i.label = j.label and i.label <> -1) and not (i.before = j.before and i.before <> -1) and abs(i.band - j.band) <= 1"
     )
     # The narrow rows meet first; whole sets join last and cross to the comparing tasks once, those of a block that meets itself not twice.
-    cols = ["v", "i", "j", "side", "rep", "component", "earlier"]
+    meets = scratch.keep(meets.withColumn("meet", F.monotonically_increasing_id()), "meets")
+    cols = ["meet", "side", "rep", "component", "earlier", "met"]
     left = meets.join(placed.withColumnRenamed("block", "i"), ["v", "i"]).withColumn("side", F.lit(0)).select(cols)
     right = meets.where("i <> j").join(placed.withColumnRenamed("block", "j"), ["v", "j"]).withColumn("side", F.lit(1)).select(cols)
 
+    def unmet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("side", kind="stable")
+        return pdf[_unmet(pdf.component.to_numpy(), list(pdf.met), int((pdf.side == 0).sum()))].drop(columns="met")
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "rep"], kind="stable")
         n = int((pdf.side == 0).sum())
@@ -252,7 +281,8 @@ def _block_links(members: DataFrame, sets: DataFrame, scratch: Scratch, p: Param
             sets, ids, group, earlier = sets * 2, np.tile(ids, 2), np.tile(group, 2), np.tile(earlier, 2)
         return pd.DataFrame(_forest(sets[:n], sets[n:], ids, group, earlier, p.percent), columns=["a", "b"], dtype="int64")
 
-    return left.union(right).join(sets, "rep").groupBy("v", "i", "j").applyInPandas(compare, "a long, b long")
+    narrow = left.union(right).groupBy("meet").applyInPandas(unmet, "meet long, side int, rep long, component long, earlier long")
+    return scratch.keep(narrow, "unmet").join(sets, "rep").groupBy("meet").applyInPandas(compare, "a long, b long")
 
 
 def _whole_sets(words: int):
@@ -348,8 +378,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
 
     close = pairs_of(few)
     # The hubs of a long list: the class whose values are the most common, the smallest one, and one by chance.
-    central = many.groupBy("rep").agg(F.sum("length").alias("central"))
-    many = scratch.keep(many.join(central, "rep"), "long")
+    many = scratch.keep(many.withColumn("central", F.sum("length").over(Window.partitionBy("rep"))), "long")
 
     def hubs_of(members: DataFrame, turn: int) -> DataFrame:
         return members.groupBy("v").agg(F.array_distinct(F.array(
@@ -409,10 +438,11 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     lengths = rare.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
     rare = scratch.keep(rare.join(lengths, "v"), "rare_lists")
     close, rare = pairs_of(rare.where(F.col("length") <= p.list_limit)), rare.where(F.col("length") > p.list_limit)
-    by = F.sort_array(F.collect_list(F.struct("length", "v")))
+    by, at = F.sort_array(F.collect_list(F.struct("length", "v"))), F.col("at")
     rare = rare.groupBy("rep").agg(by.alias("by"), F.first("n_shingles").alias("n_shingles"), F.sum("length").alias("central")).select(
         "rep", "n_shingles", "central", "by", F.posexplode("by").alias("at", "key")
-    ).select("rep", "n_shingles", "central", F.col("key.v").alias("v"), F.when(F.col("at") > 0, F.get("by", F.col("at") - 1)["v"]).otherwise(F.lit(-1)).alias("earlier"))
+    ).select("rep", "n_shingles", "central", F.col("key.v").alias("v"), F.when(at > 0, F.get("by", at - 1)["v"]).otherwise(F.lit(-1)).alias("earlier"),
+             F.slice("by.v", F.greatest(at - MET_LISTS + 1, F.lit(1)), F.least(at, F.lit(MET_LISTS))).alias("met"))
     rare = scratch.keep(rare, "rare_long")
 
     # Once more with short lists, and with hubs from outside the largest component of each long one.
@@ -425,7 +455,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     found = _joined_up(found, confirmed(likely, "third"), scratch)
 
     # And what is left, block by block, on whole sets.
-    apart = scratch.keep(still_apart(rare, found).select("v", "rep", "n_shingles", "component", "earlier"), "apart")
+    apart = scratch.keep(still_apart(rare, found).select("v", "rep", "n_shingles", "component", "earlier", "met"), "apart")
     ids = apart.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids
     sets = own.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(p.words), "rep long, shingles array<long>")

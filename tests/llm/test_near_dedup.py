@@ -106,3 +106,20 @@ def test_a_very_long_text_and_a_hub_with_many_partners(spark, monkeypatch):
     base = rng.choices(words, k=300)
     rows = [(i, " ".join([*base[:-1], words[i]])) for i in range(30)] + [(100, " ".join(rng.choices(words, k=300_000)))]
     assert sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
+def test_classes_that_met_in_any_earlier_list_are_not_sent_again():
+    """Rows of one side have partners unmet only if these are of another component and share none of the lists before."""
+    import numpy as np
+
+    from lexiweave.llm.near_dedup import _unmet
+
+    met = [np.array(x, np.int64) for x in ([1, 2], [1], [2], [], [2, 3], [1, 4])]
+    component = np.array([10, 11, 12, 13, 14, 10])
+    assert _unmet(component, met, 4).tolist() == [False, True, True, True, True, True]
+    assert _unmet(component[:2], met[:2], 2).tolist() == [False, False]  # a block that meets itself
+    assert _unmet(component[1:3], met[1:3], 2).tolist() == [True, True]
+    rng = np.random.default_rng(5)
+    component, met = rng.integers(0, 6, 90), [rng.choice(9000, rng.integers(0, 40), replace=False) % 4999 for _ in range(90)]
+    pairs = [(i, j) for i in range(30) for j in range(30, 90) if component[i] != component[j] and not set(met[i]) & set(met[j])]
+    assert set(np.flatnonzero(_unmet(component, met, 30))) == {i for pair in pairs for i in pair}
