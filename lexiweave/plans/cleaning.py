@@ -11,21 +11,35 @@ from lexiweave.operators.lexicon import distinct_cells, lemma_pairs, lemmatise,
 from lexiweave.runtime import Scratch
 
 
+#: So many exceptions, some 60 bytes each, are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 1_000_000
+
+
 def strip_articles(trials: DataFrame, cues: DataFrame) -> DataFrame:
     """Responses without leading articles, where what has the article is not itself a cue.
 
     Only the distinct responses that begin with an article are looked up among
-    the cues, once for each article in turn.
+    the cues that do, once for each article in turn. What a cue holds back is
+    written as a table of exceptions; all others lose their articles where they are.
     """
-    known = cues.select(F.col("cue").alias("__c")).distinct()
-    led = F.lit(False)
-    for article in T.ARTICLES:
-        led = led | F.col("cell").startswith(article)
-    pairs = distinct_cells(trials, list(T.RESPONSES)).where(led).withColumn("out", F.col("cell"))
+    def led(c: str):
+        return F.expr(" or ".join(f"startswith({c}, '{a}')" for a in T.ARTICLES))
+
+    def bare(c):
+        return F.regexp_replace(c, "^" + "".join(f"(?:{a})?" for a in T.ARTICLES), "")
+
+    known = cues.where(led("cue")).select(F.col("cue").alias("__c")).distinct()
+    pairs = distinct_cells(trials, list(T.RESPONSES)).where(led("cell")).withColumn("out", F.col("cell"))
     for article in T.ARTICLES:
-        bare = F.when(F.col("out").startswith(article) & F.col("__c").isNull(), F.substring("out", len(article) + 1, 1 << 30)).otherwise(F.col("out"))
-        pairs = pairs.join(known, pairs["out"] == known["__c"], "left").select("cell", bare.alias("out"))
-    return map_cells(trials, list(T.RESPONSES), pairs)
+        step = F.when(F.col("out").startswith(article) & F.col("__c").isNull(), F.substring("out", len(article) + 1, 1 << 30)).otherwise(F.col("out"))
+        pairs = pairs.join(known, pairs["out"] == known["__c"], "left").select("cell", step.alias("out"))
+    held = Scratch(trials.sparkSession, "articles").keep(pairs.where(F.col("out") != bare(F.col("cell"))), "held")
+    held = F.broadcast(held) if held.count() <= BROADCAST_CELLS else held
+    rows = trials.withColumns({c: F.coalesce(c, F.lit("")) for c in T.RESPONSES})
+    for c in T.RESPONSES:
+        lookup = held.select(F.col("cell").alias("__k"), F.col("out").alias("__v"))
+        rows = rows.join(lookup, rows[c] == lookup["__k"], "left").withColumn(c, F.coalesce("__v", bare(F.col(c)))).drop("__k", "__v")
+    return rows
 
 
 def normalise(trials: DataFrame) -> DataFrame:

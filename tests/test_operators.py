@@ -173,3 +173,17 @@ def test_direct_lookup_keeps_forms_of_a_word(spark):
     words = spark.createDataFrame([("dog",), ("big_cat",), ("man",)], "word string")
     assert sorted(map(tuple, lexicon.direct_subgraph(edges, words).collect())) == [("dogs", "big cats", 3), ("men", "dog", 5)]
     assert lexicon.subgraph(edges, words).count() == 0
+
+
+def test_articles_go_without_a_shuffle_of_rows(spark):
+    from lexiweave.plans.cleaning import strip_articles
+    from lexiweave.runtime import setting
+
+    cells = [("the cat", "a the dog", "to go"), ("a an the to be", "the the x", None), ("the", "a ", "an a b"), ("the dog", "a the cat", "theatre")]
+    rows = spark.createDataFrame([("c", *r) for r in cells], "cue string, R1 string, R2 string, R3 string")
+    cues = spark.createDataFrame([("the dog",), ("to go",), ("c",), (None,)], "cue string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out = strip_articles(rows, cues)
+        got = {tuple(r)[1:] for r in out.collect()}
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert got == {("cat", "the dog", "to go"), ("be", "the x", ""), ("the", "", "a b"), ("the dog", "cat", "theatre")}
