@@ -16,10 +16,17 @@ def edge_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     ).withColumn("verdict", F.when((F.col("only_left") == 0) & (F.col("only_right") == 0), "IDENTICAL").otherwise("DIFF"))
 
 
+def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``word, __l, __r``: each word once, with 1 for the sides that have it. Rows are counted down to words before they are shuffled."""
+    rows = left.select("word", F.lit(1).alias("__l"), F.lit(0).alias("__r")).union(right.select("word", F.lit(0), F.lit(1)))
+    return rows.groupBy("word").agg(F.max("__l").alias("__l"), F.max("__r").alias("__r"))
+
+
 def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.select("word").intersect(right.select("word"))
+    """Words of both sides, each once; null is a word like any other."""
+    return _sides(left, right).where("__l = 1 and __r = 1").select("word")
 
 
 def unique(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Words of the left side that the right one lacks."""
-    return left.select("word").subtract(right.select("word"))
+    """Words of the left side that the right one lacks, each once."""
+    return _sides(left, right).where("__r = 0").select("word")

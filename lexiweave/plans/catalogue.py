@@ -343,13 +343,13 @@ def probe_tasks(spark, d):
 @query(with_views("trials") + " SELECT trial, cue FROM trials WHERE cue IN (SELECT R1 FROM trials)")
 def semi_cues(spark, d):
     t = views.trials(spark, d)
-    return t.select("trial", "cue").join(t.select(F.col("R1").alias("cue")), "cue", "left_semi").select("trial", "cue")
+    return t.select("trial", "cue").join(t.select(F.col("R1").alias("cue")).distinct(), "cue", "left_semi").select("trial", "cue")
 
 
 @query(with_views("trials") + " SELECT DISTINCT R1 AS cue FROM trials WHERE R1 NOT IN (SELECT cue FROM trials)")
 def absent_cues(spark, d):
     t = views.trials(spark, d)
-    return t.select(F.col("R1").alias("cue")).subtract(t.select("cue"))
+    return compare.unique(t.select(F.col("R1").alias("word")), t.select(F.col("cue").alias("word"))).withColumnRenamed("word", "cue")
 
 
 @query(with_views("ledger") + " SELECT custom_id, cue, trial, event_id FROM ledger WHERE cue IN (SELECT cue FROM ledger GROUP BY cue HAVING count(*) >= 50)")

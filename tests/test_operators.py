@@ -175,6 +175,15 @@ def test_direct_lookup_keeps_forms_of_a_word(spark):
     assert lexicon.subgraph(edges, words).count() == 0
 
 
+def test_words_of_two_sides_are_compared_without_a_join_of_rows(spark):
+    from lexiweave.operators import compare
+
+    left, right = (spark.createDataFrame([(w,) for w in words], "word string") for words in (["a", "a", None, "b", "c"], ["b", "b", "d", None]))
+    both, own = compare.overlap(left, right), compare.unique(left, right)
+    assert sorted(map(repr, (r.word for r in both.collect()))) == ["'b'", "None"] and sorted(r.word for r in own.collect()) == ["a", "c"]
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (both, own))
+
+
 def test_articles_go_without_a_shuffle_of_rows(spark):
     from lexiweave.plans.cleaning import strip_articles
     from lexiweave.runtime import setting
