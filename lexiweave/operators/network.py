@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiweave.operators.components import connected_components
 from lexiweave.operators.lexicon import direct_subgraph, subgraph
+from lexiweave.runtime import Scratch
 
 
 def directed_edges(trials: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
-    """Edges of the component with the most nodes; of equal ones that with the smallest node."""
+    """Edges of the component with the most nodes; of equal ones that with the smallest node. The edges are made once."""
+    edges = Scratch(edges.sparkSession, "graph").keep(edges, "edges")
     found = components(edges)
     best = found.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     nodes = found.join(F.broadcast(best), "component", "left_semi").select("node")

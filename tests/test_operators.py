@@ -196,3 +196,12 @@ def test_articles_go_without_a_shuffle_of_rows(spark):
         got = {tuple(r)[1:] for r in out.collect()}
         assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert got == {("cat", "the dog", "to go"), ("be", "the x", ""), ("the", "", "a b"), ("the dog", "cat", "theatre")}
+
+
+def test_largest_component_makes_its_edges_once(spark):
+    from lexiweave.operators.network import largest_component
+
+    edges = spark.range(6).selectExpr("concat('w', id div 2 * 2) as src", "concat('w', id div 2 * 2 + 1 + id % 2) as tgt", "id as wt")
+    kept = largest_component(edges)
+    assert "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, kept.collect())) == [("w0", "w1", 0), ("w0", "w2", 1), ("w2", "w3", 2), ("w2", "w4", 3), ("w4", "w5", 4), ("w4", "w6", 5)]
