@@ -1,7 +1,9 @@
 """The ledger as a stream: every request id is added once, however often it arrives.
 
-Which ids were taken is keyed state of the stream (RocksDB), so the work of a
-micro-batch follows its own rows, not the size of the ledger. State, source
+Of a micro-batch's rows the earliest of each id is found by a shuffle; which
+ids were taken is keyed state of the stream (RocksDB, Spark's own
+``dropDuplicates``), so the work of a micro-batch follows its own rows, not the
+size of the ledger, and Python takes rows in Arrow batches only. State, source
 offsets and the files of the sink go by the same batch number: a batch that is
 replayed after a failure finds the state from before it and its files are
 committed once.
@@ -11,13 +13,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import ExitStack
-from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from lexiweave.runtime import setting
+from lexiweave.sources import commits
 
 # The fields of a ledger row.
 ROWS = "custom_id string, cue string, trial int, raw_text string, parsed string, ok boolean, updated_at string"
@@ -34,24 +39,36 @@ def stateful_settings(spark: SparkSession) -> ExitStack:
     return stack
 
 
-class FirstOfId(StatefulProcessor):
-    """Passes the earliest row of an id on, the first time that the id arrives."""
+#: So many rows of a partition are held before all but the earliest of each id go.
+HELD_ROWS = 100_000
+#: What makes a row the earliest of its id: ids of earlier runs, then Spark's order of structs, nulls first.
+_ORDER = [("custom_id", "ascending"), ("known", "descending"), *[(c, "ascending") for c in ("updated_at", "cue", "trial", "raw_text", "parsed", "ok")]]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getValueState("taken", "taken boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        # Nulls come first, as in Spark's order of structs.
-        order = lambda r: [(v is not None, v if v is not None else 0) for v in (r.updated_at, r.cue, r.trial, r.raw_text, r.parsed, r.ok)]
-        if not self.taken.exists():
-            self.taken.update((True,))
-            yield min(rows, key=order)
+def _first_of_ids(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    rows = pa.Table.from_batches(held)
+    large = pa.schema([f.with_type(pa.large_string()) if pa.types.is_string(f.type) else f for f in rows.schema])
+    rows = rows.cast(large)
+    rows = rows.take(pc.sort_indices(rows, sort_keys=_ORDER, null_placement="at_start"))
+    ids, first = rows.column("custom_id").combine_chunks(), np.ones(rows.num_rows, bool)
+    first[1:] = pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)
+    return rows.filter(pa.array(first)).to_batches(max_chunksize=10_000)
 
-    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
-        self.taken.update((True,))
 
-    def close(self) -> None:
-        pass
+def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The earliest row of each id of a partition."""
+    held, n, most, schema = [], 0, HELD_ROWS, None
+    for batch in batches:
+        schema = schema or batch.schema
+        held.append(batch)
+        n += batch.num_rows
+        if n > most:
+            held = [b.cast(schema) for b in _first_of_ids(held)]
+            n = sum(b.num_rows for b in held)
+            most = max(HELD_ROWS, 2 * n)
+    if n:
+        for batch in _first_of_ids(held):
+            yield batch.cast(schema)
 
 
 def start_ledger(
@@ -60,14 +77,20 @@ def start_ledger(
     """Take in the JSON-lines files of ``source``: those there are, or new ones every ``poll`` (such as ``5 seconds``).
 
     ``ledger_path`` belongs to the stream. Ids of ``known``, the ledger of
-    earlier runs, count as taken; it is read once, when the checkpoint is new.
+    earlier runs, count as taken; it is read once, when the checkpoint is new,
+    and its ids are a source of their own, all in the first batch.
     Rows without an id are left out. To pause, ``stop`` the query; a new one
     with the same checkpoint resumes where it stood. Each batch reports how
     many rows it added.
     """
-    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files_per_trigger).json(source).where("custom_id <> ''")
-    before = known.select("custom_id").where("custom_id <> ''").distinct().groupBy("custom_id") if known is not None else None
-    fresh = stream.groupBy("custom_id").transformWithState(FirstOfId(), ROWS, "Append", "None", initialState=before)
+    before = f"{checkpoint}/known"
+    if not commits.exists(spark, f"{checkpoint}/offsets"):
+        ids = known.select("custom_id").where("custom_id <> ''").distinct() if known is not None else spark.range(0).select(F.lit("").alias("custom_id"))
+        ids.write.mode("overwrite").json(before)
+    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files_per_trigger).json(source).where("custom_id <> ''").withColumn("known", F.lit(False))
+    taken = spark.readStream.schema("custom_id string").json(before).withColumn("known", F.lit(True))
+    rows = stream.unionByName(taken, allowMissingColumns=True).repartition("custom_id").mapInArrow(_earliest, f"{ROWS}, known boolean")
+    fresh = rows.dropDuplicates(["custom_id"]).where("not known").drop("known")
     fresh = fresh.observe(METRICS, F.count("*").alias("added"))
     writer = fresh.writeStream.format("parquet").option("path", ledger_path).option("checkpointLocation", checkpoint)
     with stateful_settings(spark):

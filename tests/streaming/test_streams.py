@@ -4,6 +4,8 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+
 from lexiweave.streaming import admission, ledger
 from lexiweave.streaming.admission import EVENTS, Limits
 from lexiweave.streaming.ledger import ROWS
@@ -137,3 +139,20 @@ def test_a_batch_costs_what_it_holds(spark, tmp_path):
     query = ledger.start_ledger(spark, source, path, state)
     query.awaitTermination()
     assert sum(p.numInputRows for p in query.recentProgress) == 10 and ledger.added_rows(query) == 5
+
+
+def test_a_batch_is_cut_down_to_first_rows_before_the_state(spark, tmp_path, monkeypatch):
+    """Ids are state of Spark's own; nulls and ids of earlier runs come first, however the rows are cut."""
+    source, path, state = (str(tmp_path / x) for x in ("in", "ledger", "state"))
+    write(spark, [(f"id{i % 7}", None if i == 11 else "c", i, "", "", i % 2 == 0, "1") for i in range(40)], ROWS, source)
+    query = ledger.start_ledger(spark, source, path, state, known=spark.createDataFrame([("id2", "c", 0, "", "", True, "9")], ROWS))
+    query.awaitTermination()
+    assert [o.operatorName for p in query.recentProgress for o in p.stateOperators][:1] == ["dedupe"]
+    assert sorted((r.custom_id, r.trial) for r in ledger.read_ledger(spark, path).collect()) == [("id0", 0), ("id1", 1), ("id3", 3), ("id4", 11), ("id5", 5), ("id6", 6)]
+    monkeypatch.setattr(ledger, "HELD_ROWS", 3)
+    names = [x.split()[0] for x in ROWS.split(",")]
+    rows = [dict(zip(names, (f"id{i % 5}", "c", i, None, "", True, str(9 - i % 3)), strict=True)) | {"known": i == 8} for i in range(30)]
+    schema = pa.schema([("custom_id", pa.string()), ("cue", pa.string()), ("trial", pa.int32()), ("raw_text", pa.string()), ("parsed", pa.string()), ("ok", pa.bool_()), ("updated_at", pa.string()), ("known", pa.bool_())])
+    found = pa.Table.from_batches(ledger._earliest(pa.RecordBatch.from_pylist(rows[i : i + 4], schema) for i in range(0, 30, 4)), schema).to_pylist()
+    want = {k: min((r for r in rows if r["custom_id"] == k), key=lambda r: (not r["known"], r["updated_at"], r["trial"])) for k in {r["custom_id"] for r in rows}}
+    assert {r["custom_id"]: r for r in found} == want and len(found) == 5
