@@ -29,6 +29,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     )
 
 
+def undirected_edges(trials: DataFrame) -> DataFrame:
+    """``undirected(directed_edges(trials))``, with both directions of a pair counted together."""
+    said = trials.select(F.coalesce("cue", F.lit("")).alias("cue"), F.explode(F.array("R1", "R2", "R3")).alias("said")).where("cue <> '' and said <> '' and cue <> said")
+    both = said.groupBy(F.least("cue", "said").alias("src"), F.greatest("cue", "said").alias("tgt")).agg(F.count_if(F.col("cue") < F.col("said")).alias("up"), F.count("*").alias("n"))
+    return both.select("src", "tgt", F.greatest(F.col("up"), F.col("n") - F.col("up")).alias("wt"))
+
+
 def not_idiosyncratic(edges: DataFrame) -> DataFrame:
     return edges.where("wt > 1")
 
@@ -52,7 +59,7 @@ def filtered_graph(trials: DataFrame, lexicon: DataFrame | None = None, direct:
 
     With ``direct`` a node is in the lexicon if any of its noun forms is.
     """
-    edges = undirected(directed_edges(trials))
+    edges = undirected_edges(trials)
     if lexicon is not None:
         edges = (direct_subgraph if direct else subgraph)(edges, lexicon)
     return largest_component(not_idiosyncratic(edges))

@@ -474,7 +474,7 @@ def edges_legacy(spark, d):
 
 @query(with_views("pairs") + " SELECT * FROM pairs")
 def edges_undirected_max(spark, d):
-    return network.undirected(network.directed_edges(views.trials(spark, d)))
+    return network.undirected_edges(views.trials(spark, d))
 
 
 @query(with_views("directed") + " SELECT DISTINCT src, tgt FROM directed")
@@ -491,22 +491,22 @@ def cue_balance_class(spark, d):
 
 @query(with_views("pairs") + " SELECT (SELECT count(*) FROM (SELECT src FROM pairs UNION SELECT tgt FROM pairs)) AS nodes, (SELECT count(*) FROM pairs) AS edges")
 def graph_size(spark, d):
-    return network.graph_size(network.undirected(network.directed_edges(views.trials(spark, d))))
+    return network.graph_size(network.undirected_edges(views.trials(spark, d)))
 
 
 @query(with_views("pairs") + " SELECT DISTINCT word FROM (SELECT src AS word FROM pairs UNION SELECT tgt FROM pairs)")
 def vocabulary(spark, d):
-    return network.vocabulary(network.undirected(network.directed_edges(views.trials(spark, d))))
+    return network.vocabulary(network.undirected_edges(views.trials(spark, d)))
 
 
 @query(with_views("pairs", "lexicon") + " SELECT * FROM pairs WHERE replace(src, ' ', '_') IN (SELECT word FROM lexicon) AND replace(tgt, ' ', '_') IN (SELECT word FROM lexicon)")
 def lexicon_subgraph(spark, d):
-    return lexicon.subgraph(network.undirected(network.directed_edges(views.trials(spark, d))), views.lexicon(spark, d))
+    return lexicon.subgraph(network.undirected_edges(views.trials(spark, d)), views.lexicon(spark, d))
 
 
 @query(with_views("heavy") + " SELECT * FROM heavy")
 def idiosyncratic_filter(spark, d):
-    return network.not_idiosyncratic(network.undirected(network.directed_edges(views.trials(spark, d))))
+    return network.not_idiosyncratic(network.undirected_edges(views.trials(spark, d)))
 
 
 _COMPONENTS = """, sym AS (SELECT src, tgt FROM heavy UNION SELECT tgt, src FROM heavy), comp(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM sym UNION
@@ -514,7 +514,7 @@ _COMPONENTS = """, sym AS (SELECT src, tgt FROM heavy UNION SELECT tgt, src FROM
 
 
 def _heavy(spark, d):
-    return network.not_idiosyncratic(network.undirected(network.directed_edges(views.trials(spark, d))))
+    return network.not_idiosyncratic(network.undirected_edges(views.trials(spark, d)))
 
 
 @query(with_views("heavy") + _COMPONENTS + " SELECT node, component FROM comp")
@@ -551,7 +551,7 @@ def full_graph_direct(spark, d):
 
 @query(_known_pairs(_DIRECT).replace("wt > 1 AND", "") + " SELECT * FROM heavy")
 def lexicon_subgraph_direct(spark, d):
-    return lexicon.direct_subgraph(network.undirected(network.directed_edges(views.trials(spark, d))), views.lexicon(spark, d))
+    return lexicon.direct_subgraph(network.undirected_edges(views.trials(spark, d)), views.lexicon(spark, d))
 
 
 @query(with_views("heavy") + ", near AS (SELECT CASE WHEN src = 'the' THEN tgt ELSE src END AS word, wt FROM heavy WHERE src = 'the' OR tgt = 'the') SELECT word, wt, round(wt / sum(wt) OVER (), 6) AS share FROM near ORDER BY wt DESC, word LIMIT 10")
@@ -573,7 +573,7 @@ def unique_words(spark, d):
 
 @query(with_views("heavy") + " SELECT (SELECT count(*) FROM pairs) AS n_left, (SELECT count(*) FROM heavy) AS n_right, (SELECT count(*) FROM (FROM pairs EXCEPT FROM heavy)) AS only_left, (SELECT count(*) FROM (FROM heavy EXCEPT FROM pairs)) AS only_right, 'DIFF' AS verdict")
 def edge_diff(spark, d):
-    pairs = network.undirected(network.directed_edges(views.trials(spark, d)))
+    pairs = network.undirected_edges(views.trials(spark, d))
     return compare.edge_diff(pairs, network.not_idiosyncratic(pairs))
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lexiweave.functions import text as T
 
+#: A task takes about so many bytes of text apart.
+PIECE = 16_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +19,22 @@ def _words(text: str = "text"):
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: x != "")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, dealt anew in pieces of about ``PIECE`` bytes of text, so that a task holds as much in a large table as in a small one."""
+    docs = docs.select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PIECE)), "doc_id", "text")
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``trial, cue, R1, R2, R3``: the words of each document, four by four; the last row of a document may end in blanks.
 
     ``trial`` is the document's number and, in the last 32 bits, the row's.
     """
-    own = table(spark, sf_dir, "documents").select("doc_id", _words().alias("w")).where("size(w) > 0")
-    rows = own.select("doc_id", F.posexplode_outer(F.expr("transform(sequence(0, (size(w) - 1) div 4), i -> slice(w, cast(i * 4 + 1 as int), 4))")).alias("i", "r")).where("r is not null")
-    return rows.select((F.col("doc_id") * (1 << 32) + F.col("i")).alias("trial"), *[F.coalesce(F.get("r", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(T.CELLS)])
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}++(?:[^\p{L}]++\p{L}++){0,3}+"), F.lit(0))
+    rows = dealt(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(runs).alias("i", "run"))
+    own = rows.select((F.col("doc_id") * (1 << 32) + F.col("i")).alias("trial"), F.split("run", r"[^\p{L}]+").alias("w"))
+    return own.select("trial", *[F.coalesce(F.get("w", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(T.CELLS)])
 
 
 def _capitals(c: str):

@@ -11,7 +11,7 @@ from lexiweave.functions import text as T
 from lexiweave.operators import balance, compare, lexicon, network, stats
 from lexiweave.operators import ledger as ledger_ops
 from lexiweave.operators.components import connected_components
-from lexiweave.plans import cleaning
+from lexiweave.plans import cleaning, views
 from lexiweave.sources import envelopes, files
 from lexiweave.streaming.ledger import ROWS, run_ledger, start_ledger
 
@@ -205,3 +205,24 @@ def test_largest_component_makes_its_edges_once(spark):
     kept = largest_component(edges)
     assert "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, kept.collect())) == [("w0", "w1", 0), ("w0", "w2", 1), ("w2", "w3", 2), ("w2", "w4", 3), ("w4", "w5", 4), ("w4", "w6", 5)]
+
+
+def test_pairs_are_counted_in_one_shuffle(spark):
+    rows = [("b", "a", "a", "c"), ("a", "b", "a", ""), (None, "a", "b", None), ("c", "b", None, "c"), ("", "a", "b", "c"), ("a", "b", "b", "c")]
+    trials = spark.createDataFrame(rows, "cue string, R1 string, R2 string, R3 string")
+    found = network.undirected_edges(trials)
+    want = network.undirected(network.directed_edges(trials))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) == [("a", "b", 3), ("a", "c", 1), ("b", "c", 1)]
+    assert found.dtypes == want.dtypes
+    assert found.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_trials_are_dealt_in_pieces_by_the_size_of_texts(spark, tmp_path, monkeypatch):
+    texts = [None, "", " .. ", "Eins zwei, drei-vier f\u00fcnf!", "a b c d", "x" * 1000, "\n a \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(views, "PIECE", 20)
+    found = views.trials(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 40
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (3 << 32, "eins", "zwei", "drei", "vier"), ((3 << 32) + 1, "f\u00fcnf", "", "", ""), (4 << 32, "a", "b", "c", "d"), (5 << 32, "x" * 1000, "", "", ""), (6 << 32, "a", "", "", ""),
+    ]
