@@ -48,8 +48,9 @@ def normalise(trials: DataFrame) -> DataFrame:
 
 
 def unique_cues(trials: DataFrame, spelling: DataFrame, compounds: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Distinct cues by their own chain: spelling before compounds, the other way round than rows."""
+    """Distinct cues by their own chain: spelling before compounds, the other way round than rows. The trials are read once."""
     cues = trials.select(F.replace(F.lower("cue"), F.lit("_"), F.lit(" ")).alias("cue")).distinct()
+    cues = Scratch(trials.sparkSession, "cues").keep(cues, "said")
     cues = lemmatise(replace_cells(replace_cells(cues, ["cue"], spelling), ["cue"], compounds), ["cue"], lexicon)
     return cues.where("cue <> ''").select("cue").distinct()
 

@@ -226,3 +226,18 @@ def test_trials_are_dealt_in_pieces_by_the_size_of_texts(spark, tmp_path, monkey
     assert sorted(tuple(r) for r in found.collect()) == [
         (3 << 32, "eins", "zwei", "drei", "vier"), ((3 << 32) + 1, "f\u00fcnf", "", "", ""), (4 << 32, "a", "b", "c", "d"), (5 << 32, "x" * 1000, "", "", ""), (6 << 32, "a", "", "", ""),
     ]
+
+
+def test_unique_cues_read_the_trials_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def tally(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    trials = spark.createDataFrame([("Sea_dogs",), ("sea dogs",), ("hands",), ("",)], "cue string").mapInArrow(tally, "cue string")
+    words = spark.createDataFrame([("sea dog",)], "word string")
+    none = spark.createDataFrame([], "k string, v string")
+    assert sorted(r.cue for r in cleaning.unique_cues(trials, none, none, words).collect()) == ["hand", "sea dog"]
+    assert read.value == 4
