@@ -40,11 +40,18 @@ def balance(rows: DataFrame, cues: DataFrame, n: int, seed: int, key: list[str])
 
 
 def align(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` rows ``cue, trial, responses`` per cue present; fillers take the next trial numbers and no responses."""
-    drawn = cap_per_cue(rows.withColumn("__draw", draw_key(seed, "cue", "trial")), n, ["__draw", "trial"]).select("cue", "trial", "responses")
-    have = drawn.groupBy("cue").agg(F.count("*").cast("int").alias("__n")).where(F.col("__n") < n)
-    pad = have.select("cue", F.explode(F.sequence(F.col("__n"), F.lit(n - 1))).alias("trial"), F.array().cast("array<string>").alias("responses"))
-    return drawn.unionByName(pad)
+    """``n`` rows ``cue, trial, responses`` per cue present; fillers take the next trial numbers and no responses.
+
+    The rows are read and shuffled once: the last drawn row of a cue brings its fillers.
+    """
+    w = Window.partitionBy("cue").orderBy(draw_key(seed, "cue", "trial"), "trial")
+    drawn = rows.select("cue", "trial", "responses", F.row_number().over(w).alias("__rn")).where(F.col("__rn") <= n)
+    have = drawn.withColumn("__n", F.count("*").over(Window.partitionBy("cue")).cast("int"))
+    own = F.array(F.struct("trial", "responses"))
+    empty = F.array().cast(rows.schema["responses"].dataType)
+    fill = F.transform(F.sequence(F.col("__n"), F.lit(n - 1)), lambda t: F.struct(t.cast(rows.schema["trial"].dataType).alias("trial"), empty.alias("responses")))
+    last = (F.col("__rn") == F.col("__n")) & (F.col("__n") < n)
+    return have.select("cue", F.explode(F.when(last, F.concat(own, fill)).otherwise(own)).alias("__row")).select("cue", "__row.trial", "__row.responses")
 
 
 def sample_cues(cues: DataFrame, k: int, seed: int) -> DataFrame:

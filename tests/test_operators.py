@@ -217,6 +217,16 @@ def test_pairs_are_counted_in_one_shuffle(spark):
     assert found.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_alignment_shuffles_rows_once(spark):
+    rows = [(c, t, [f"{c}{t}"]) for c, m in (("a", 5), ("b", 2), (None, 1), ("c", 3)) for t in range(10, 10 + m)]
+    found = balance.align(spark.createDataFrame(rows, "cue string, trial long, responses array<string>"), 3, 42)
+    got = {c: sorted((r.trial, tuple(r.responses)) for r in found.collect() if r.cue == c) for c in ("a", "b", None, "c")}
+    assert got["b"] == [(2, ()), (10, ("b10",)), (11, ("b11",))] and got[None] == [(1, ()), (2, ()), (10, ("None10",))]
+    assert got["c"] == [(t, (f"c{t}",)) for t in (10, 11, 12)] and len(got["a"]) == 3 and all(r for _, r in got["a"])
+    assert dict(found.dtypes)["trial"] == "bigint"
+    assert found.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_trials_are_dealt_in_pieces_by_the_size_of_texts(spark, tmp_path, monkeypatch):
     texts = [None, "", " .. ", "Eins zwei, drei-vier f\u00fcnf!", "a b c d", "x" * 1000, "\n a \n"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
