@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.runtime import Scratch
 
+#: Edges that a task joins up at a time.
+JOINED_EDGES = 1 << 20
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node sends its larger neighbours to its smallest neighbour or itself."""
@@ -65,3 +71,54 @@ def connected_components(
         raise RuntimeError("components did not settle")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).union(base.where("u = v"))
     return found.groupBy("node").agg(F.min("component").alias("component"))
+
+
+def _stars(names: tuple[str, str], limit: int):
+    """Of every ``limit`` edges of a task: each node, once, with the smallest node that these edges join it to."""
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        ends = pa.chunked_array(table.column(0).chunks + table.column(1).chunks).combine_chunks().dictionary_encode()
+        nodes, codes = ends.dictionary, ends.indices.to_numpy()
+        order = pc.sort_indices(nodes).to_numpy()  # strings: by their UTF-8 bytes, as Spark
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        u, v = rank[codes[: table.num_rows]], rank[codes[table.num_rows :]]
+        least = np.arange(len(order))
+        while len(u):
+            np.minimum.at(least, np.maximum(u, v), np.minimum(u, v))
+            while not np.array_equal(least, up := least[least]):
+                least = up
+            u, v = least[u], least[v]
+            u, v = u[u != v], v[u != v]
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(order)), nodes.take(pa.array(order[least]))], names=list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= limit:
+                yield star(held)
+                held, rows = [], 0
+        if rows:
+            yield star(held)
+
+    return run
+
+
+def joined_components(edges: DataFrame, src: str = "src", tgt: str = "tgt", joined: int = JOINED_EDGES) -> DataFrame:
+    """``connected_components`` of strings or whole numbers, for many edges to a node.
+
+    Each task joins up the edges it holds, ``joined`` at a time, and passes on
+    one row a node. A node then takes its smallest label, and its labels are
+    linked: the rounds run on labels alone, few of which are left where most
+    nodes hang together. The smallest node of a component is always a label.
+    """
+    scratch = Scratch(edges.sparkSession, "joined")
+    clean = edges.select(F.col(src).alias("u"), F.col(tgt).alias("v")).where("u is not null and v is not null")
+    stars = clean.mapInArrow(_stars(("u", "v"), joined), clean.schema)
+    labels = scratch.keep(stars.groupBy("u").agg(F.min("v").alias("least"), F.collect_set("v").alias("labels")), "labels")
+    links = labels.where("size(labels) > 1").select("least", F.explode("labels").alias("label")).where("least <> label").distinct()
+    found = connected_components(links, "least", "label").withColumnRenamed("node", "least")
+    return labels.join(found, "least", "left").select(F.col("u").alias("node"), F.coalesce("component", "least").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.operators.components import connected_components
+from lexiweave.operators.components import joined_components
 from lexiweave.operators.lexicon import direct_subgraph, subgraph
 from lexiweave.runtime import Scratch
 
@@ -42,7 +42,7 @@ def not_idiosyncratic(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: components named by their smallest node."""
-    return connected_components(edges)
+    return joined_components(edges)
 
 
 def largest_component(edges: DataFrame) -> DataFrame:

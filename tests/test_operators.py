@@ -2,6 +2,8 @@
 
 import math
 import os
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from lexiweave.functions import text as T
 from lexiweave.operators import balance, compare, lexicon, network, stats
 from lexiweave.operators import ledger as ledger_ops
-from lexiweave.operators.components import connected_components
+from lexiweave.operators.components import connected_components, joined_components
 from lexiweave.plans import cleaning, views
+from lexiweave.runtime import Scratch
 from lexiweave.sources import envelopes, files
 from lexiweave.streaming.ledger import ROWS, run_ledger, start_ledger
 
@@ -251,3 +254,26 @@ def test_unique_cues_read_the_trials_once(spark):
     none = spark.createDataFrame([], "k string, v string")
     assert sorted(r.cue for r in cleaning.unique_cues(trials, none, none, words).collect()) == ["hand", "sea dog"]
     assert read.value == 4
+
+
+@pytest.mark.parametrize("joined", [3, 1 << 20])
+def test_joined_components_are_those_of_the_rounds(spark, joined):
+    draw = random.Random(5)
+    words = ["\uffff", "\U0001f600", "é", "", *(f"w{i}" for i in range(60))]
+    rows = [(draw.choice(words), draw.choice(words)) for _ in range(45)] + [(None, "w1"), ("w2", None), ("lone", "lone"), ("\U0001f601", "\ufffe")]
+    for edges in (spark.createDataFrame(rows, "src string, tgt string").repartition(3), spark.range(300).selectExpr("id as src", "id + 1 as tgt"), spark.createDataFrame([], "src string, tgt string")):
+        got, want = (Counter(map(tuple, found.collect())) for found in (joined_components(edges, joined=joined), connected_components(edges)))
+        assert got == want
+
+
+def test_components_write_rows_by_nodes_not_by_edges(spark, monkeypatch):
+    written, keep = [], Scratch.keep
+
+    def counted(self, df, name):
+        kept = keep(self, df, name)
+        written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    edges = spark.range(4000).selectExpr("concat('w', id % 63) as src", "concat('w', id * 7 % 64) as tgt").repartition(4)
+    assert network.components(edges).count() == 64 and max(written) == 64
