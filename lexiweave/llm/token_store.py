@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,29 @@ SHARDS = (
 )
 #: A shard is closed at so many ids; one longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-#: Encoded words that a Python worker keeps, twice over; once between tasks.
+#: So many encoded words, of 16 ids on average at most, and those of one batch, a Python worker keeps.
 CACHED_WORDS = 300_000
+#: Texts whose words are encoded together.
+BATCH_TEXTS = 1024
 
-_SPACE, _SPACES = re.compile(r"\s"), re.compile(r"\s\s")
+_SPACE = re.compile(r"\s")
+#: What ``\s`` stands for in Python; Arrow's expressions know the ASCII ones only.
+_TWO_SPACES = "[" + "".join(f"\\x{{{i:x}}}" for i in range(0x3001) if chr(i).isspace()) + "]{2}"
 #: Marks that never join a letter or digit before them; an apostrophe may.
 _MARKS = ".,;:!?#$%&*|()+-"
+_LETTER_END = "[" + "".join(f"\\x{{{i:x}}}" for i in range(0x250) if chr(i).isalnum()) + "]$"
+_LETTERS = "".join(chr(i) for i in range(0x250) if chr(i).isalpha())
+_LETTERS_ONLY = f"^\n?[{_LETTERS}]+$"
+_BEFORE_MARKS = f"^(?s:.*)[^{re.escape(_MARKS)}]"
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
 
+def _runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordEncoder:
     """Ids of texts by a byte-level BPE file, as bytes; words already seen are not encoded again.
 
@@ -47,113 +62,152 @@ class WordEncoder:
     the ids of a text are those of its words, each with the space before it.
     It cuts around a lone line end and between a letter and a mark as well.
     New words of a batch are encoded as one text, a line each. A text that holds
-    an added token, such as ``<|endoftext|>``, is encoded whole.
+    an added token, such as ``<|endoftext|>``, is encoded whole. Words of Latin
+    letters are one piece each, so the library is told to cut at line ends only.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Split
 
         self.tokenizer = Tokenizer.from_file(path)
+        cuts = self.tokenizer.pre_tokenizer
+        self.letters = None
+        if isinstance(cuts, ByteLevel) and cuts.use_regex and not cuts.add_prefix_space and self.tokenizer.normalizer is None:
+            as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.byte_names = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in _LETTERS + " \n"}
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = Split(self.byte_names[10], "isolated")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cached = cached
-        #: By the word, ids of the word with a space before it; words of an earlier time are moved over when met again.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        #: Words seen, without marks at their end; of each, where its ids with a space before it lie in ``flat``, and in how many batches it was met.
+        self.known = pa.array([], pa.string())
+        self.starts = self.sizes = self.met = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, f"<u{self.width}")
+        self.tails: dict[str, np.ndarray] = {}
         self.line = self._ids("\n")
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._ids(text), f"<u{self.width}").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Fill ``known`` for these words; those that begin with a line end stand after it, not after a space."""
-        if len(self.known) > self.cached:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        plain: dict[str, None] = {}
-        parted = []
-        for w in words:
-            got = older.get(w)
-            if got is not None:
-                known[w] = got
-                continue
-            stem = w.rstrip(_MARKS)
-            if stem != w and stem and stem[-1].isalnum() and stem[-1] < "\u0250":
-                parted.append((w, stem, w[len(stem) :]))
-                w = stem  # noqa: PLW2901
-                if w in known:
+    def _ids(self, text: str, letters: bool = False) -> np.ndarray:
+        tokenizer, text = (self.letters, text.translate(self.byte_names)) if letters else (self.tokenizer, text)
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+
+    def _forget(self) -> None:
+        """Keep the words met in several batches since the last time."""
+        kept = self.met > 1
+        self.known = self.known.filter(pa.array(kept))
+        self.flat = _runs(self.flat, self.starts[kept], self.sizes[kept])
+        self.sizes = self.sizes[kept]
+        self.starts, self.met = np.cumsum(self.sizes) - self.sizes, np.zeros(len(self.sizes), np.int64)
+        self.tails.clear()
+
+    def _learn(self, words: pa.Array) -> None:
+        """Add these words, many at a time; those that begin with a line end stand after it, not after a space."""
+        after = pc.starts_with(words, "\n")
+        only = pc.and_(pc.match_substring_regex(words, _LETTERS_ONLY), self.letters is not None and len(self.line) == 1)
+        learned: list[str] = []
+        flat, sizes = [self.flat], [self.sizes]
+
+        def add(part: list[str], ids: np.ndarray, own: np.ndarray) -> None:
+            learned.extend(part)
+            flat.append(ids)
+            sizes.append(own)
+
+        for space, letters in ((" ", True), (" ", False), ("", True), ("", False)):
+            group = words.filter(pc.and_(pc.equal(after, not space), pc.equal(only, letters))).to_numpy(zero_copy_only=False).tolist()
+            for at in range(0, len(group), 4096):
+                part = group[at : at + 4096]
+                rests = part if space else [w[1:] for w in part]
+                if not letters and (len(self.line) != 1 or "" in rests or _SPACE.search("".join(rests))):  # a word that lines cannot part is encoded by itself
+                    odd = [len(self.line) != 1 or not r or bool(_SPACE.search(r)) for r in rests]
+                    for w in (w for w, x in zip(part, odd, strict=True) if x):
+                        ids = self._ids(space + w)
+                        add([w], ids, np.array([len(ids)]))
+                    part, rests = ([y for y, x in zip(z, odd, strict=True) if not x] for z in (part, rests))
+                if not part:
                     continue
-            plain[w] = None
-        self._encode([w for w in plain if w[:1] != "\n"], "", " ")
-        self._encode([w for w in plain if w[:1] == "\n"], "\n", "")
-        for w, stem, tail in parted:
-            end = self.tails.get(tail)
-            if end is None:
-                end = self.tails[tail] = self._bytes(tail)
-            known[w] = known[stem] + end
-
-    def _encode(self, words: list[str], lead: str, space: str) -> None:
-        """Encode words after a space, or after the line end they begin with, many at a time."""
-        before, skip = (self._bytes(lead), len(lead)) if lead else (b"", 0)
-        known, width = self.known, self.width
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            rests = [w[skip:] for w in part] if skip else part
-            if len(self.line) != 1 or "" in rests or _SPACE.search("".join(rests)):  # a word that lines cannot part is encoded by itself
-                odd = [len(self.line) != 1 or not r or bool(_SPACE.search(r)) for r in rests]
-                for w in (w for w, x in zip(part, odd, strict=True) if x):
-                    known[w] = self._bytes(space + w if space else w)
-                part, rests = ([y for y, x in zip(z, odd, strict=True) if not x] for z in (part, rests))
-            if not part:
-                continue
-            ids = np.array(self._ids(space + f"\n{space}".join(rests) + "\n"), f"<u{width}")
-            ends, raw, start = (np.flatnonzero(ids == self.line[0]) * width).tolist(), ids.tobytes(), 0
-            if len(ends) != len(part):
-                raise ValueError("this tokenizer joins words to line ends")
-            for w, end in zip(part, ends, strict=True):
-                known[w] = before + raw[start:end]
-                start = end + width
-
-    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        cut, new, known = [], set(), self.known
-        for text in texts:
-            if not text:
-                cut.append(None)
+                ids = self._ids(space + f"\n{space}".join(rests) + "\n", letters)
+                ends = np.flatnonzero(ids == self.line[0])
+                if len(ends) != len(part):
+                    raise ValueError("this tokenizer joins words to line ends")
+                own = np.diff(ends, prepend=-1)  # with a line end, after a word or before it
+                if space:
+                    add(part, np.delete(ids, ends), own - 1)
+                else:
+                    add(part, np.concatenate([self.line, ids[:-1]]), own)
+        self.known = pa.concat_arrays([self.known, pa.array(learned, self.known.type)])
+        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.met = np.concatenate([self.met, np.zeros(len(learned), np.int64)])
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words one after another, and how many each has."""
+        if max(len(self.known), len(self.tails), len(self.flat) // 16) > self.cached:
+            self._forget()
+        bare = pc.utf8_rtrim(words, _MARKS)
+        parted = pc.and_(pc.not_equal(bare, words), pc.match_substring_regex(bare, _LETTER_END))
+        stems = pc.if_else(parted, bare, words)
+        at = pc.index_in(stems, self.known)
+        before = len(self.known)
+        if at.null_count:
+            new = pc.unique(stems.filter(at.is_null()))
+            self._learn(new)
+            at = pc.coalesce(at, pc.add(pc.index_in(stems, self.known.slice(before)), before))
+        at = at.to_numpy()
+        hit = np.zeros(len(self.known), bool)
+        hit[at] = True
+        self.met += hit
+
+        ends = pc.replace_substring_regex(words.filter(parted), _BEFORE_MARKS, "").dictionary_encode()
+        for tail in ends.dictionary.to_pylist():
+            if tail not in self.tails:
+                self.tails[tail] = self._ids(tail)
+        place = {tail: i for i, tail in enumerate(self.tails, 1)}
+        own = np.array([0, *map(len, self.tails.values())], np.int64)
+        tails = np.zeros(len(words), np.int64)
+        tails[parted.to_numpy(zero_copy_only=False)] = np.array([place[tail] for tail in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+        flat = np.concatenate([self.flat, *self.tails.values()])
+        starts = np.stack([self.starts[at], (len(self.flat) + np.cumsum(own) - own)[tails]], 1)
+        sizes = np.stack([self.sizes[at], own[tails]], 1)
+        return _runs(flat, starts.ravel(), sizes.ravel()), sizes.sum(1)
+
+    def batch(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.string()).fill_null("")
+        n = len(texts)
+        loose = pc.match_substring_regex(texts, _TWO_SPACES)
+        whole = pa.array(np.zeros(n, bool))
+        for t in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, t))
+        plain = pc.if_else(pc.or_(loose, whole), "", texts)
+        # A lone line end is a piece of its own. What stands before the first cut, and texts with an added token, go to the library together.
+        cut = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        offsets, words = cut.offsets.to_numpy(), cut.values
+        firsts = words.take(pa.array(offsets[:-1])).to_pylist()
+        counts, later = np.diff(offsets) - 1, {}
+        rest = np.ones(len(words), bool)
+        rest[offsets[:-1] - cut.offsets[0].as_py()] = False
+        more: list[str] = []
+        for i in np.flatnonzero(pc.or_(loose, whole)).tolist():
+            text = texts[i].as_py()
+            if whole[i].as_py():
+                firsts[i] = text
                 continue
-            if any(t in text for t in self.added):
-                cut.append((text, ()))
-                continue
-            if _SPACES.search(text):
-                first, *words = _BEFORE_WORD.split(text)
-                words = [w[1:] for w in words]  # none begins with a line end: a non-space character follows the space
-            else:
-                first, *words = text.replace("\n", " \n").split(" ")  # a lone line end is a piece of its own
-            cut.append((first, words))
-            new.update(words)
-        new.difference_update(known)
-        self._learn(new)
-        if self.known is not known:  # a new time has begun: words met before it must be at hand too
-            self._learn({w for c in cut if c for w in c[1]} - self.known.keys())
-        # What stands before the first cut, and texts with an added token, go to the library together.
-        whole = [c[0] for c in cut if c and c[0]]
-        firsts = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
-        get = self.known.__getitem__
-        for c in cut:
-            if c is None:
-                yield b""
-            else:
-                first = np.array(next(firsts).ids, f"<u{self.width}").tobytes() if c[0] else b""
-                yield first + b"".join(map(get, c[1]))
-
-    def rest(self) -> None:
-        """Between tasks: keep the words of the present time only."""
-        self.older = {}
-        self.tails.clear()
+            firsts[i], *own = _BEFORE_WORD.split(text)
+            later[i] = n + len(later)
+            more += [w[1:] for w in own]  # none begins with a line end: a non-space character follows the space
+            counts = np.append(counts, len(own))
+        words = pa.concat_arrays([words.filter(pa.array(rest)), pa.array(more, pa.string())]).dictionary_encode()
+        flat, sizes = self._parts(words.dictionary)
+        codes = words.indices.to_numpy()
+        sizes, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        raw = _runs(flat, starts, sizes).tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])] * self.width
+        begun = iter(self.tokenizer.encode_batch_fast([f for f in firsts if f], add_special_tokens=False))
+        for i, first in enumerate(firsts):
+            lead = np.array(next(begun).ids, f"<u{self.width}").tobytes() if first else b""
+            at = later.get(i, i)
+            yield lead + raw[ends[at] : ends[at + 1]]
 
 
 @lru_cache(maxsize=2)
@@ -162,8 +216,8 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def _encoded(encode: WordEncoder, texts: pa.Array) -> Iterator[bytes]:
-    for at in range(0, len(texts), 256):
-        yield from encode.batch(texts.slice(at, 256).to_pylist())
+    for at in range(0, len(texts), BATCH_TEXTS):
+        yield from encode.batch(texts.slice(at, BATCH_TEXTS))
 
 
 def _pack(path: str, end_id: int, shard_ids: int):
@@ -192,7 +246,6 @@ def _pack(path: str, end_id: int, shard_ids: int):
                     docs, ends, ids, total, seq = [], [], [], 0, seq + 1
         if docs:
             yield shard()
-        encode.rest()
 
     return run
 

@@ -81,3 +81,39 @@ def test_single_documents_and_long_texts(spark, tmp_path):
     got = {r.doc_id: r.ids for r in document_ids(spark, store, df.where("doc_id in (1, 3, 4, 9)")).collect()}
     assert got == {i: whole([texts[i]])[0] + [2] for i in (1, 3, 4)}
     assert {r.doc_id: r.ids for r in read_ids(spark, store).collect()} == {i: x + [2] for i, x in zip(texts, whole([t or "" for t in texts.values()]), strict=True)}
+
+
+class Counted:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.chars = inner, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.chars += sum(map(len, texts))
+        return self.inner.encode_batch_fast(texts, **how)
+
+
+def test_words_of_letters_are_not_cut_again():
+    enc = WordEncoder(P.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"Wört{chr(97 + i % 26)}{chr(97 + i // 26)}{'.' * (i % 3)}" for i in range(600)) + f"\nñandú {k}" for k in range(3)]
+    enc.tokenizer = Counted(enc.tokenizer)
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.batch(texts)] == whole(texts)
+    assert enc.tokenizer.chars < 100
+
+
+def test_common_words_outlast_the_rare_ones():
+    enc = WordEncoder(P.path("byte_bpe_50k.json"), cached=30)
+    rounds = [[" ".join(["x", *(f"{w}'s" for w in ("le", "la", "the")), *(f"{k}-{i}" for i in range(20))])] for k in range(9)]
+    for texts in rounds:
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.batch(texts)] == whole(texts)
+    assert len(enc.known) <= 60 and {"le's", "la's", "the's"} <= set(enc.known.to_pylist())
+
+
+def test_odd_spaces_letters_and_marks():
+    draw = np.random.default_rng(3)
+    parts = [" ", " ", " ", "\n", "\t", " ", "　", "\x1c", "\x85", "a", "the", "é", "ß", "ǅ", "ɐ", "漢", "😀", "1", "²", "'s", ".", "...", "-", "_", "\r\n", "Ġ", "Ċ", "ʰ", "́", "\x00", "]", "<|endoftext|>"]
+    enc = WordEncoder(P.path("byte_bpe_50k.json"), cached=40)
+    for _ in range(20):
+        texts = ["".join(draw.choice(parts, draw.integers(0, 25))) for _ in range(40)] + [None, ""]
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.batch(texts)] == whole([t or "" for t in texts])
